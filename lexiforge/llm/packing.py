@@ -64,10 +64,10 @@ def project(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     full = counts > 0
     if full.any():
         for k in range(DIMS):
-            part = ((h >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.float64) / 32768.0 - 1.0
-            total = np.concatenate(([0.0], np.cumsum(part)))
-            mean = (total[first[1:]] - total[first[:-1]])[full] / counts[full]
-            out[full, k] = np.clip((0.5 + np.arctan(6.0 * np.round(mean, 9)) / np.pi) * (1 << BITS), 0, (1 << BITS) - 1)
+            total = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum((h >> np.uint64(16 * k)) & np.uint64(0xFFFF), out=total[1:])
+            mean = (total[first[1:]] - total[first[:-1]])[full] / counts[full] / 32768.0 - 1.0
+            out[full, k] = np.clip((0.5 + np.arctan(6.0 * mean) / np.pi) * (1 << BITS), 0, (1 << BITS) - 1)
     return out
 
 

@@ -24,10 +24,52 @@ from pyspark.sql import functions as F
 from lexiforge.llm.words import as_strings
 
 END_ID = 0
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Known(dict):
+    """Word -> ids as bytes. A word asked for the first time gets an empty buffer that is filled once its ids are known;
+    None marks what may not be encoded apart from its neighbours.
+
+    A letter and a full stop or comma after it, and a line end between other characters, always part two pieces, so
+    such words are made of the ids of their parts.
+    """
+
+    def __init__(self, bare: "_Known | None" = None) -> None:
+        self.new: list[str] = []
+        self.made: list[tuple[bytearray, list]] = []
+        self.bare = bare  # words that follow a line end, without a space
+
+    def __missing__(self, word: str) -> bytearray | None:
+        if not word or word[0].isspace() or word[-1].isspace():
+            self[word] = None
+            return None
+        buffer = self[word] = bytearray()
+        if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
+            self.made.append((buffer, [self[word[:-1]], PLAIN[word[-1]]]))
+        elif "\n" in word and self.bare is not None:
+            first, *rest = word.split("\n")
+            parts = [self[first], *(x for r in rest for x in (PLAIN["\n"], self.bare[r]))]
+            if None in parts:
+                self.new.append(word)
+            else:
+                self.made.append((buffer, parts))
+        else:
+            self.new.append(word)
+        return buffer
+
+    def fill(self) -> None:
+        for buffer, parts in self.made:
+            for part in parts:
+                buffer += part
+        self.made = []
+
+
+#: Ids of the marks that words are parted at, filled from the vocabulary.
+PLAIN: dict[str, bytes] = {}
+
+
 class Encoder:
     """Byte-level BPE by the tokenizers library, remembering the ids of words.
 
@@ -41,43 +83,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
+        for mark in ".,\n":
+            PLAIN[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known = _Known(_Known())
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = piece.startswith("\u0120")  # how byte-level vocabularies write a space
 
-    def _learn(self, parts: set[str], known: dict) -> None:
-        """Ids of words that follow a space: many in one call, told apart by the pieces that begin with a space."""
-        clean = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update((p, None) for p in parts)
-        for at in range(0, len(clean), 256):
-            some = clean[at : at + 256]
+    def _learn_bare(self, known: _Known) -> None:
+        for word, e in zip(known.new, self.tokenizer.encode_batch_fast(known.new, add_special_tokens=False), strict=True):
+            part = np.array(e.ids, "<u4").tobytes()
+            known[word] += part
+            known[word] = part
+        known.new = []
+        known.fill()
+
+    def _learn(self, known: _Known) -> None:
+        """Ids of new words that follow a space: many in one call, told apart by the pieces that begin with a space."""
+        for at in range(0, len(known.new), 256):
+            some = known.new[at : at + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self.spaced[ids])
             if len(edges) == len(some):
                 raw, edges = ids.tobytes(), [*(edges * 4).tolist(), len(ids) * 4]
-                known.update(zip(some, [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)], strict=True))
+                parts = [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
             else:
-                known.update((p, np.array(self.tokenizer.encode(" " + p, add_special_tokens=False).ids, "<u4").tobytes()) for p in some)
+                parts = [np.array(self.tokenizer.encode(" " + p, add_special_tokens=False).ids, "<u4").tobytes() for p in some]
+            for word, part in zip(some, parts, strict=True):
+                known[word] += part
+                known[word] = part
+        known.new = []
+        self._learn_bare(known.bare)
+        known.fill()
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """For each text its ids with the end id, as little-endian unsigned 32-bit integers."""
-        end = END_ID.to_bytes(4, "little")
-        cut = [t.split(" ") for t in texts]
-        new = set().union(*[c[1:] for c in cut]) if cut else set()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-        self._learn(new - self.known.keys(), self.known)
-        firsts = self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        out, get = [], self.known.__getitem__
-        for t, c, first in zip(texts, cut, firsts, strict=True):
-            try:
-                if len(c) > 1 and c[0][-1:].isspace():
-                    raise TypeError
-                out.append(b"".join([np.array(first.ids, "<u4").tobytes(), *map(get, c[1:]), end]))
-            except TypeError:  # a part is None: white space beside a space, or none at all
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids if t else []
-                out.append(np.array([*ids, END_ID], "<u4").tobytes())
+        if len(self.known) > CACHE_WORDS:
+            self.known = _Known(_Known())
+        known, end = self.known, END_ID.to_bytes(4, "little")
+        heads, tails = [], []
+        for t in texts:
+            head, *rest = t.split(" ")
+            heads.append(head)
+            tails.append(list(map(known.__getitem__, rest)))
+        self._learn(known)
+        firsts = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+        out = []
+        for t, head, first, tail in zip(texts, heads, firsts, tails, strict=True):
+            if None in tail or (tail and head[-1:].isspace()):  # white space beside a space
+                out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], "<u4").tobytes())
+            else:
+                out.append(b"".join([np.array(first.ids, "<u4").tobytes(), *tail, end]))
         return out
 
 
