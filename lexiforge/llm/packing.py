@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.tokens import encoder, small_lists
+from lexiforge.llm.tokens import ENCODE_BYTES, encoder
 from lexiforge.llm.words import blocks, hashes, words
 
 DIMS, BITS = 4, 12
@@ -91,20 +91,23 @@ def _pack(path: str, length: int, with_ids: bool):
         for batch in batches:
             keys = batch.column(2).to_numpy()
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in small_lists(batch.column(1)):
+            for block in blocks(batch.column(1), ENCODE_BYTES):
+                flat, counts = coder.encode_block(block)
+                view, begin = memoryview(flat.astype("<i4", copy=False)).cast("B"), 0
                 rows: list[list] = [[] for _ in schema.names]
-                for i, raw in enumerate(coder.encode_bytes(texts), first):
-                    n, start, view = len(raw) >> 2, 0, memoryview(raw)
+                for i, n in enumerate(counts.tolist(), block.first):
+                    start = 0
                     while start < n:
                         size = min(n - start, length - at % length)
-                        part = view[4 * start : 4 * (start + size)]
-                        values = [doc_ids[i], start, size, zlib.crc32(part), n, base + at // length, at % length, int(keys[i])]
+                        lo = begin + start
+                        values = [doc_ids[i], start, size, zlib.crc32(view[4 * lo : 4 * (lo + size)]), n, base + at // length, at % length, int(keys[i])]
                         if with_ids:
-                            values.append(np.frombuffer(part, "<i4"))
+                            values.append(flat[lo : lo + size])
                         for column, v in zip(rows, values, strict=True):
                             column.append(v)
                         start += size
                         at += size
+                    begin += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     return run

@@ -21,120 +21,126 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.words import as_strings
+from lexiforge.llm.words import Block, blocks, hashes, mix, words
 
 END_ID = 0
-CACHE_WORDS = 300_000
+ENCODE_BYTES = 1 << 19  # texts encoded at once
+
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[32] = False
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of white space beyond ASCII
 _encoders: dict[str, "Encoder"] = {}
 
 
-class _Known(dict):
-    """Word -> ids as bytes. A word asked for the first time gets an empty buffer that is filled once its ids are known;
-    None marks what may not be encoded apart from its neighbours.
-
-    A letter and a full stop or comma after it, and a line end between other characters, always part two pieces, so
-    such words are made of the ids of their parts.
-    """
-
-    def __init__(self, bare: "_Known | None" = None) -> None:
-        self.new: list[str] = []
-        self.made: list[tuple[bytearray, list]] = []
-        self.bare = bare  # words that follow a line end, without a space
-
-    def __missing__(self, word: str) -> bytearray | None:
-        if not word or word[0].isspace() or word[-1].isspace():
-            self[word] = None
-            return None
-        buffer = self[word] = bytearray()
-        if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
-            self.made.append((buffer, [self[word[:-1]], PLAIN[word[-1]]]))
-        elif "\n" in word and self.bare is not None:
-            first, *rest = word.split("\n")
-            parts = [self[first], *(x for r in rest for x in (PLAIN["\n"], self.bare[r]))]
-            if None in parts:
-                self.new.append(word)
-            else:
-                self.made.append((buffer, parts))
-        else:
-            self.new.append(word)
-        return buffer
-
-    def fill(self) -> None:
-        for buffer, parts in self.made:
-            for part in parts:
-                buffer += part
-        self.made = []
-
-
-#: Ids of the marks that words are parted at, filled from the vocabulary.
-PLAIN: dict[str, bytes] = {}
-
-
 class Encoder:
     """Byte-level BPE by the tokenizers library, remembering the ids of words.
 
     Its pre-tokenizer always begins a piece at a space that stands between two other characters, so a text
     without other white space next to a space is the sum of its parts cut there. Other texts are encoded whole.
+    Words are looked up by their 64-bit hash in a direct-mapped table of fixed size, without a Python loop;
+    words that it lacks are encoded once a block, many in one call.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, slots: int = 1 << 21, store: int = 1 << 23) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        for mark in ".,\n":
-            PLAIN[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
-        self.known = _Known(_Known())
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = piece.startswith("\u0120")  # how byte-level vocabularies write a space
-
-    def _learn_bare(self, known: _Known) -> None:
-        for word, e in zip(known.new, self.tokenizer.encode_batch_fast(known.new, add_special_tokens=False), strict=True):
-            part = np.array(e.ids, "<u4").tobytes()
-            known[word] += part
-            known[word] = part
-        known.new = []
-        known.fill()
-
-    def _learn(self, known: _Known) -> None:
-        """Ids of new words that follow a space: many in one call, told apart by the pieces that begin with a space."""
-        for at in range(0, len(known.new), 256):
-            some = known.new[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            edges = np.flatnonzero(self.spaced[ids])
-            if len(edges) == len(some):
-                raw, edges = ids.tobytes(), [*(edges * 4).tolist(), len(ids) * 4]
-                parts = [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        self.keys, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.store = np.full(store, END_ID, np.uint16 if size <= 1 << 16 else np.uint32)
+        self.used = 1  # the end id stands at 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Appends to the store, which grows for a block and is emptied between blocks."""
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store) // 2), self.store.dtype)])
+        at = self.used
+        self.store[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn(self, block: Block, starts: np.ndarray, ends: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the store the ids of these words stand, and how many. bare: no space comes before the word."""
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        word = lambda i: block.data[starts[i] - (not bare[i]) : ends[i]].tobytes().decode()
+        alone = np.flatnonzero(bare).tolist()
+        after = np.flatnonzero(~bare)
+        for lo in range(0, len(after), 1000):
+            some = after[lo : lo + 1000]
+            sizes = ends[some] - starts[some] + 1
+            edges = np.cumsum(sizes) - sizes
+            joined = block.data[np.arange(int(sizes.sum())) + np.repeat(starts[some] - 1 - edges, sizes)]
+            ids = np.array(self._encode([joined.tobytes().decode()])[0], self.store.dtype)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(some):
+                at[some] = self._keep(ids) + first
+                n[some] = np.diff(np.append(first, len(ids)))
             else:
-                parts = [np.array(self.tokenizer.encode(" " + p, add_special_tokens=False).ids, "<u4").tobytes() for p in some]
-            for word, part in zip(some, parts, strict=True):
-                known[word] += part
-                known[word] = part
-        known.new = []
-        self._learn_bare(known.bare)
-        known.fill()
-
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids with the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = _Known(_Known())
-        known, end = self.known, END_ID.to_bytes(4, "little")
-        heads, tails = [], []
-        for t in texts:
-            head, *rest = t.split(" ")
-            heads.append(head)
-            tails.append(list(map(known.__getitem__, rest)))
-        self._learn(known)
-        firsts = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-        out = []
-        for t, head, first, tail in zip(texts, heads, firsts, tails, strict=True):
-            if None in tail or (tail and head[-1:].isspace()):  # white space beside a space
-                out.append(np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], "<u4").tobytes())
-            else:
-                out.append(b"".join([np.array(first.ids, "<u4").tobytes(), *tail, end]))
+                alone += some.tolist()
+        for i, ids in zip(alone, self._encode([word(i) for i in alone]), strict=True):
+            at[i], n[i] = self._keep(np.array(ids, self.store.dtype)), len(ids)
+        return at, n
+
+    def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts, each text's followed by the end id, and how many each text has."""
+        if self.used > (1 << 23) * 3 // 4:
+            self.keys[:], self.used = 0, 1
+            self.store = self.store[: 1 << 23]
+        w = words(block, NOT_BLANK)
+        row = w.row
+        odd = beside_blank(block)
+        h = hashes(block, w)
+        bare = w.starts == block.offsets[row]
+        h[bare] = mix(h[bare] + np.uint64(1))
+        slot = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        at, n = self.at[slot], self.n[slot]
+        new = np.flatnonzero((self.keys[slot] != h) & ~odd[row])
+        if len(new):
+            keys, first, each = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[first]
+            new_at, new_n = self._learn(block, w.starts[one], w.ends[one], bare[one])
+            at[new], n[new] = new_at[each], new_n[each]
+            self.keys[slot[one]], self.at[slot[one]], self.n[slot[one]] = keys, new_at, new_n
+        n[odd[row]] = 0
+        at, n = np.insert(at, w.first[1:], 0), np.insert(n, w.first[1:], 1)
+        total = np.concatenate(([0], np.cumsum(n)))
+        flat = self.store[np.arange(total[-1]) + np.repeat(at - total[:-1], n)].astype(np.int32)
+        edges = total[w.first + np.arange(len(block) + 1)]
+        if odd.any():
+            parts = np.split(flat, edges[1:-1])
+            for i in np.flatnonzero(odd).tolist():
+                text = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode()
+                parts[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.int32)
+            flat, edges = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return flat, np.diff(edges)
+
+
+def beside_blank(block: Block) -> np.ndarray:
+    """Rows in which a space ends the text or stands beside white space, or that hold white space beyond ASCII."""
+    d, n = block.data, len(block.data)
+    out = np.zeros(len(block), bool)
+    if not n:
         return out
+    blank = np.flatnonzero(d == 32)
+    row = np.searchsorted(block.offsets, blank, "right") - 1
+    last, first = blank + 1 == block.offsets[row + 1], blank == block.offsets[row]
+    out[row[last | _SPACE[d[np.minimum(blank + 1, n - 1)]] | (~first & _SPACE[d[blank - 1]])]] = True
+    wide = np.flatnonzero(_WIDE[d])
+    a, b, c = d[wide].astype(np.int32), d[np.minimum(wide + 1, n - 1)], d[np.minimum(wide + 2, n - 1)]
+    hit = (a == 0xC2) & np.isin(b, (0x85, 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | np.isin(c, (0xA8, 0xA9, 0xAF))) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    out[np.searchsorted(block.offsets, wide[hit], "right") - 1] = True
+    return out
 
 
 def encoder(path: str) -> Encoder:
@@ -143,18 +149,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def small_lists(column: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """The texts of a batch in runs of about so many bytes, with the first one's position."""
-    arr = as_strings(column)
-    lengths = np.diff(np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]) if len(arr) else []
-    at = size = 0
-    for i, n in enumerate(lengths):
-        size += int(n)
-        if size >= chars or i == len(lengths) - 1:
-            yield at, arr.slice(at, i + 1 - at).to_pylist()
-            at, size = i + 1, 0
-
-
 def _encode_shard(path: str):
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -162,14 +156,12 @@ def _encode_shard(path: str):
         coder, shard, start = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in small_lists(batch.column(1)):
-                coded = coder.encode_bytes(texts)
-                n = np.fromiter((len(x) >> 2 for x in coded), np.int64, len(coded))
-                starts = start + np.concatenate(([0], np.cumsum(n)[:-1]))
-                start += int(n.sum())
-                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(coded), shard, np.int32)), ids.slice(at, len(coded)).cast(pa.int64()), pa.array(starts), pa.array(n), lists], schema=schema)
+            for block in blocks(batch.column(1), ENCODE_BYTES):
+                flat, n = coder.encode_block(block)
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), ids.slice(block.first, len(n)), pa.array(start + ends - n), pa.array(n), lists], schema=schema)
+                start += int(ends[-1])
 
     return run
 
