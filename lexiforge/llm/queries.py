@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import mixing, packing, quality, secrets, tokens, topk
+from lexiforge.llm import licences, mixing, packing, quality, secrets, tokens, topk
 from lexiforge.llm.shared import scratch_path
 
 
@@ -27,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(spark, folder)
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_licence_scan": op2_licence_scan,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op6_curve_packing": op6_curve_packing,
@@ -57,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licence_scan": licences.oracle(),
     "op8_source_mix": mixing.ORACLE,
 }
