@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import licences, mixing, packing, personal, quality, secrets, tokens, topk
+from lexiforge.llm import licences, mixing, nearcopies, packing, personal, quality, secrets, tokens, topk
 from lexiforge.llm.shared import scratch_path
 
 
@@ -39,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(documents(spark, sf_dir))
+
+
 def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licence_scan": op2_licence_scan,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_copies": op5_near_copies,
     "op6_curve_packing": op6_curve_packing,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_source_mix": op8_source_mix,
