@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import licences, mixing, nearcopies, packing, personal, quality, secrets, tokens, topk
+from lexiforge.llm import ctw, licences, mixing, nearcopies, packing, personal, quality, secrets, tokens, topk
 from lexiforge.llm.shared import scratch_path
 
 
@@ -55,6 +55,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(documents(spark, sf_dir))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan_personal(documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_curve_packing": op6_curve_packing,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_source_mix": op8_source_mix,
+    "op9_context_tree_score": op9_context_tree_score,
     "op10_personal_data": op10_personal_data,
 }
 
