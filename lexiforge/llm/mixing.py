@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import materialise, null_safe
+from lexiforge.llm.shared import join_rules, materialise, null_safe
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -58,14 +58,14 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     state = budgets.select("source", (F.col("target") - F.col("repeats") * F.col("source_size")).alias("_left"), F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_before"))
     kept = ["source", "_left", "_before"]
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        open_rows = null_safe(sizes, state, ["source"], "inner").where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_prefix"))
+        open_rows = join_rules(sizes, state, "source").where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_prefix"))
         sums = open_rows.groupBy(*kept, F.shiftright("hash", shift).alias("_bucket")).agg(F.sum("size").alias("_words"))
         run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         start = F.col("_before") + F.coalesce(F.sum("_words").over(run), F.lit(0))
         sums = sums.withColumn("_start", start)
         if shift:
             holds = (F.col("_start") <= F.col("_left")) & (F.col("_start") + F.col("_words") > F.col("_left"))
-            state = sums.where(holds).groupBy("source", "_left").agg(F.min("_bucket").alias("_prefix"), F.min_by("_start", "_bucket").alias("_before"))
+            state = materialise(sums.where(holds).groupBy("source", "_left").agg(F.min("_bucket").alias("_prefix"), F.min_by("_start", "_bucket").alias("_before")), "level")
         else:
             fits = F.col("_start") + F.col("_words") / 2 <= F.col("_left")
             state = sums.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("_bucket"))), F.min("_bucket") - 1).alias("last_hash"))
@@ -79,7 +79,7 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, times, taken for each row of docs (doc_id, source, text)."""
     sizes = materialise(sized(docs), "mixing")
-    ruled = null_safe(sizes, thresholds(sizes, weights, most), ["source"], "inner")
+    ruled = join_rules(sizes, materialise(thresholds(sizes, weights, most), "rules"), "source")
     times = F.col("repeats") + (F.col("hash") <= F.col("last_hash")).cast("long")
     return ruled.select("doc_id", "source", "size", "source_size", "target", times.alias("times")).withColumn("taken", F.col("size") * F.col("times"))
 
@@ -87,8 +87,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs as the mix takes them: rows that it takes more than once are repeated, others are left out."""
     sizes = materialise(sized(docs), "mixing")
-    rules = thresholds(sizes, weights, most).select("source", "repeats", "last_hash")
-    ruled = null_safe(docs.withColumn("_hash", row_hash()), rules.withColumnsRenamed({"repeats": "_repeats", "last_hash": "_last"}), ["source"], "inner")
+    rules = materialise(thresholds(sizes, weights, most), "rules").select("source", F.col("repeats").alias("_repeats"), F.col("last_hash").alias("_last"))
+    ruled = join_rules(docs.withColumn("_hash", row_hash()), rules, "source")
     times = F.col("_repeats") + (F.col("_hash") <= F.col("_last")).cast("long")
     return ruled.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)
 

@@ -58,3 +58,19 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
         c = left[k].eqNullSafe(renamed[f"_r_{k}"])
         cond = c if cond is None else cond & c
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+#: Rule tables up to so many rows are sent to every executor; larger ones are joined by an exchange with salted keys.
+MOST_SENT, SALTS = 20_000, 16
+
+
+def join_rules(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of rules, one rule a key (nulls meet). A hot key is never dealt to one task.
+
+    rules should be cheap to count. Keys without a rule are dropped.
+    """
+    if rules.count() <= MOST_SENT:
+        return null_safe(rows, F.broadcast(rules), [key], "inner")  # counted just now
+    salted = rules.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(SALTS)).cast("int"))
+    return null_safe(dealt, salted, [key, "_salt"], "inner").drop("_salt")
