@@ -14,8 +14,8 @@ returns for each text how many documents it links and one link to a smaller memb
 
 Results: class_id, the smallest doc_id that verified links reach; copy_of, the representative of an equal set; n_links, the
 documents whose similarity is at least the threshold (copies of the same set included). Null and empty texts have no
-shingles: they are in a class of their own, with no links. Rows without a doc_id take no part. Rows that share one are joined as one text each: all of
-them take part and the id gets the smallest class and the largest number of links. An empty table gives no rows.
+shingles: they are in a class of their own, with no links. Each row counts by itself, also if it shares a doc_id with
+others or has none (then class_id is null only if no linked row has one). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,26 +79,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, set_a long, set_b long, shingles int, paths binary, sketch binary"
+_SIGNED = "doc_id long, rep long, paths binary, sketch binary"
+NO_SHINGLES = 0
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """A number that stands for the set: equal for equal sets, NO_SHINGLES for the empty one."""
+    if not len(shingles):
+        return NO_SHINGLES
+    parts = np.array([np.bitwise_xor.reduce(mix(shingles)), mix(shingles + np.uint64(0x51ED270B)).sum(dtype=np.uint64), len(shingles)], np.uint64)
+    key = np.zeros(1, np.uint64)
+    for x in parts:
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + x)
+    return int(key.view(np.int64)[0]) or 1
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "set_a", "set_b", "shingles", "paths", "sketch"]
+    names = ["doc_id", "rep", "paths", "sketch"]
     for batch in batches:
         for block in blocks(batch.column(1)):
             n = len(block)
-            a, b, sizes = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
-            paths, sketches = [b""] * n, [b""] * n
+            keys, paths, sketches = [NO_SHINGLES] * n, [b""] * n, [b""] * n
             for i, s in enumerate(shingle_sets(block)):
-                sizes[i] = len(s)
                 if len(s):
-                    a[i], b[i] = np.bitwise_xor.reduce(mix(s)), mix(s + np.uint64(0x51ED270B)).sum(dtype=np.uint64)
-                    sig = signature(s)
+                    keys[i], sig = set_key(s), signature(s)
                     path = np.arange(TREES, dtype=np.uint64)
                     for d in range(DEPTH):
                         path = mix(path * np.uint64(0xD6E8FEB86659FD93) + sig[d::DEPTH])
                     paths[i], sketches[i] = path.tobytes(), (sig ^ (sig >> np.uint32(11))).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sizes), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(keys, pa.int64()), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())], names)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +139,7 @@ def _groups(table: pa.Table, n_keys: int) -> np.ndarray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of a cell's likely pairs. Columns: path, cell, rep, chunk, sketch."""
+    """(a, b): a spanning forest of a cell's likely pairs. Columns: path, cell, rep, sketch."""
     for table in runs(batches, 2):
         rep = table.column("rep").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
@@ -234,38 +243,35 @@ def roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [s.tobytes() for block in blocks(batch.column(1)) for s in shingle_sets(block)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "shingles"])
+        for block in blocks(batch.column(0)):
+            sets = list(shingle_sets(block))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, copy_of, n_links for each row of docs (doc_id, text); see the module for what they mean."""
     if similarity < SIMILARITY:
         raise ValueError(f"the forest is laid out for a similarity of {SIMILARITY} or more")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(texts.mapInArrow(_sign, _SIGNED), "signed")
-    full = signed.where(F.col("shingles") > 0)
-    classes = full.groupBy("set_a", "set_b", "shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
+    classes = signed.where(F.col("rep") != NO_SHINGLES).groupBy("rep").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    reps = full.join(classes, ["set_a", "set_b", "shingles"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
-    paths = reps.select("rep", "paths").mapInArrow(_spread, "rep long, path long")
-    met = paths.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-    met = materialise(met, "runs")
-    meeting = paths.join(met.select("path"), "path", "left_semi").join(signed.where(F.col("shingles") > 0).select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"]), "rep")
-    cells = in_cells(meeting, "path", met, CHUNK).select("path", "cell", "rep", "chunk", "sketch")
-    likely = cells.repartition("path", "cell").sortWithinPartitions("path", "cell", "rep").mapInArrow(_forest, "a long, b long")
-    likely = components(likely, "likely")
-    likely = likely.withColumnRenamed("node", "rep")
+    paths = classes.select("rep", "paths").mapInArrow(_spread, "rep long, path long")
+    met = materialise(paths.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "runs")
+    cells = in_cells(paths, "path", met, CHUNK).select("path", "cell", "rep").join(classes.select("rep", "sketch"), "rep")
+    likely = cells.select("path", "cell", "rep", "sketch").repartition("path", "cell").sortWithinPartitions("path", "cell", "rep").mapInArrow(_forest, "a long, b long")
+    likely = components(likely, "likely").withColumnRenamed("node", "rep")
     sizes = likely.groupBy("component").agg(F.count("*").alias("members"))
-    sets = texts.join(likely.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
-    weights = classes.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    together = in_cells(likely.join(weights, "rep").join(sets, "rep"), "component", sizes, CHUNK).select("component", "cell", "rep", "chunk", "weight", "shingles")
+    members = in_cells(likely.join(classes.select("rep", "weight"), "rep"), "component", sizes, CHUNK)
+    one = classes.join(likely.select("rep"), "rep", "left_semi").select("doc")  # one row's text of each class is enough
+    sets = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text").mapInArrow(_sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    together = members.join(sets, "rep").select("component", "cell", "rep", "chunk", "weight", "shingles")
     found = together.repartition("component", "cell").sortWithinPartitions("component", "cell", "rep").mapInArrow(_verify(similarity), "rep long, root long, links long")
     found = materialise(found, "links")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "linked").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.join(linked, "rep", "left").join(links, "rep", "left")
-    joined = full.select("doc_id", "set_a", "set_b", "shingles").join(of_class, ["set_a", "set_b", "shingles"])
-    rows = joined.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    alone = signed.where(F.col("shingles") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return rows.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of"), F.max("n_links").alias("n_links"))
+    small = classes.select("rep", "doc", "weight").join(linked, "rep", "left").join(links, "rep", "left")
+    named = linked.join(classes.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("class_id"))
+    ruled = small.join(named, "component", "left").select("rep", F.col("doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    full = signed.select("doc_id", "rep").join(ruled, "rep", "left")
+    return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
