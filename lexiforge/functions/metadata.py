@@ -63,17 +63,17 @@ def spec_number(text: Column) -> Column:
 
 def version_score(path: Column) -> Column:
     """The largest score over the version families; 0 without a version. Families share one scale."""
-    def best(low: Column) -> Column:
-        scores = []
-        for pattern, worth in P.VERSION_SCORES:
-            parts = [F.regexp_extract_all(low, F.lit(pattern), F.lit(g + 1)) for g in range(len(worth))]
+    def value(part: Column, w: int | None) -> Column:
+        return F.ascii(F.upper(part)).cast("long") if w is None else F.coalesce(part.try_cast("long"), F.lit(0)) * w
+
+    def family_score(low: Column, pattern: str, worth: tuple) -> Column:
+        def one(m: Column) -> Column:
+            return reduce(lambda a, b: a + b, [value(F.regexp_extract(m, pattern, g), w) for g, w in enumerate(worth, 1)])
 
-            def value(part: Column, w: int | None) -> Column:
-                return F.ascii(F.upper(part)).cast("long") if w is None else F.coalesce(part.try_cast("long"), F.lit(0)) * w
+        return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), one)), F.lit(0).cast("long"))
 
-            each = F.transform(F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)]), lambda m, worth=worth: reduce(lambda a, b: a + b, [value(m[f"g{i}"], w) for i, w in enumerate(worth)]))
-            scores.append(F.coalesce(F.array_max(each), F.lit(0).cast("long")))
-        return F.greatest(*scores)
+    def best(low: Column) -> Column:
+        return F.greatest(*[family_score(low, p, worth) for p, worth in P.VERSION_SCORES])
 
     return bind(F.lower(path), best)
 

@@ -163,14 +163,12 @@ def expansions(text: Column) -> Column:
 
 def query_ids(text: Column) -> Column:
     """array<struct<term, type, priority>>: identifiers of the upper-cased question, then its capitalised words."""
-    up = F.upper(plain(text))
-    found = [F.transform(all_matches(up, p), lambda m, kind=kind: F.struct(m.alias("term"), F.lit(kind).alias("type"), F.lit(1.0).alias("priority"))) for p, kind in _ids()]
-    terms = F.transform(all_matches(plain(text), r"\b[A-Z][A-Za-z]{3,}\b"), lambda m: F.struct(F.upper(m).alias("term"), F.lit("term").alias("type"), F.lit(0.8).alias("priority")))
-    return F.concat(*found, terms)
+    up, ascii_text = F.upper(plain(text)), plain(text)
 
+    def of(found: Column, kind: str, priority: float) -> Column:
+        return F.transform(found, lambda m: F.struct(F.upper(m).alias("term"), F.lit(kind).alias("type"), F.lit(priority).alias("priority")))
 
-def _ids():
-    return P.QUERY_IDS
+    return F.concat(*[of(all_matches(up, p), kind, 1.0) for p, kind in P.QUERY_IDS], of(all_matches(ascii_text, r"\b[A-Z][A-Za-z]{3,}\b"), "term", 0.8))
 
 
 def continues(text: Column, by_token: bool = False) -> Column:

@@ -1 +1,6 @@
+"""Registered queries of the retrieval pipeline."""
 
+from lexiforge.plans import text_queries  # noqa: F401
+from lexiforge.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
