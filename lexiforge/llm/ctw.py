@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import materialise
+from lexiforge.llm.shared import arrow_map, materialise
 from lexiforge.llm.words import Block, blocks, hashes, words
 
 DEPTH = 4
@@ -266,7 +266,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, f
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = texts.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count, "kind byte, key long, n long")
+    counted = arrow_map(texts.select((~F.col("held_out")).alias("train"), "text"), _count, "kind byte, key long, n long")
     counts = materialise(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     vocabulary = counts.where("kind = 1").select("key", "n")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, f
     model = spark.sparkContext.broadcast(fit_model(counts.where("kind = 0").select("key", "n"), depth, share))
     # a row's number within its scan; both uses of it come from the one exchange below
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = numbered.mapInArrow(_score(model, spark.sparkContext.broadcast(table), unit, room), _SCORED)
+    scored = arrow_map(numbered, _score(model, spark.sparkContext.broadcast(table), unit, room), _SCORED)
     # a text's own row meets no word; it is dealt by its number
     dealt = scored.withColumn("_key", F.coalesce("word", F.xxhash64("row")))
     met = dealt.join(vocabulary.withColumnsRenamed({"key": "_key", "n": "_n"}), "_key", "left")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.graph import components
-from lexiforge.llm.shared import materialise
+from lexiforge.llm.shared import arrow_map, materialise
 from lexiforge.llm.words import Block, blocks, hashes, mix, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -253,20 +253,23 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if similarity < SIMILARITY:
         raise ValueError(f"the forest is laid out for a similarity of {SIMILARITY} or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(texts.mapInArrow(_sign, _SIGNED), "signed")
+    signed = materialise(arrow_map(texts, _sign, _SIGNED), "signed")
     classes = signed.where(F.col("rep") != NO_SHINGLES).groupBy("rep").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    paths = classes.select("rep", "paths").mapInArrow(_spread, "rep long, path long")
+    paths = arrow_map(classes.select("rep", "paths"), _spread, "rep long, path long")
     met = materialise(paths.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "runs")
     cells = in_cells(paths, "path", met, CHUNK).select("path", "cell", "rep").join(classes.select("rep", "sketch"), "rep")
-    likely = cells.select("path", "cell", "rep", "sketch").repartition("path", "cell").sortWithinPartitions("path", "cell", "rep").mapInArrow(_forest, "a long, b long")
+    laid = cells.select("path", "cell", "rep", "sketch").repartition("path", "cell").sortWithinPartitions("path", "cell", "rep")
+    likely = arrow_map(laid, _forest, "a long, b long")
     likely = components(likely, "likely").withColumnRenamed("node", "rep")
     sizes = likely.groupBy("component").agg(F.count("*").alias("members"))
     members = in_cells(likely.join(classes.select("rep", "weight"), "rep"), "component", sizes, CHUNK)
     one = classes.join(likely.select("rep"), "rep", "left_semi").select("doc")  # one row's text of each class is enough
-    sets = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text").mapInArrow(_sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text")
+    sets = arrow_map(chosen, _sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
     together = members.join(sets, "rep").select("component", "cell", "rep", "chunk", "weight", "shingles")
-    found = together.repartition("component", "cell").sortWithinPartitions("component", "cell", "rep").mapInArrow(_verify(similarity), "rep long, root long, links long")
+    laid = together.repartition("component", "cell").sortWithinPartitions("component", "cell", "rep")
+    found = arrow_map(laid, _verify(similarity), "rep long, root long, links long")
     found = materialise(found, "links")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "linked").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.shared import arrow_map
 from lexiforge.llm.tokens import ENCODE_BYTES, encoder
 from lexiforge.llm.words import blocks, hashes, words
 
@@ -119,7 +120,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024, wit
     doc_id, start (ids of its document before the piece), length, ids_crc32, doc_tokens, sequence_id, offset,
     curve_key, and the ids themselves if asked for. The high bits of sequence_id are the range's number on the curve.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_keys, "doc_id long, text string, curve_key long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = arrow_map(texts, _keys, "doc_id long, text string, curve_key long")
     ordered = keyed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "text").select("doc_id", "text", "curve_key")
     columns = ", ".join(f"{n} long" for n, _ in _PIECE) + (", ids array<int>" if with_ids else "")
-    return ordered.mapInArrow(_pack(tokenizer_path, length, with_ids), columns)
+    return arrow_map(ordered, _pack(tokenizer_path, length, with_ids), columns)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.shared import arrow_map
 from lexiforge.llm.words import as_strings, blocks, words
 
 WINDOW = 20
@@ -132,4 +133,4 @@ def _scan(allow: tuple[str, ...], min_bits: dict[str, float]):
 def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, min_bits: dict[str, float] | None = None) -> DataFrame:
     """Spans of each of docs (doc_id, text); positions count code points, ends are exclusive."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(allow, min_bits or MIN_BITS), schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan(allow, min_bits or MIN_BITS), schema)

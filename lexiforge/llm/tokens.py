@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiforge.llm.shared import arrow_map
 from lexiforge.llm.words import Block, blocks, hashes, mix, words
 
 END_ID = 0
@@ -174,7 +175,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, row_gro
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sort("doc_id", "text")
-    coded = ordered.mapInArrow(_encode_shard(tokenizer_path), "shard int, doc_id long, local_start long, n_tokens long, ids array<int>")
+    coded = arrow_map(ordered, _encode_shard(tokenizer_path), "shard int, doc_id long, local_start long, n_tokens long, ids array<int>")
     options = {
         "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary#ids.list.element": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#local_start": "false", "parquet.enable.dictionary#n_tokens": "false",
@@ -206,7 +207,7 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     tokens = spark.read.parquet(f"{folder}/tokens").select("shard", "doc_id", "local_start", "ids")
     index = spark.read.parquet(f"{folder}/index").select("shard", F.col("start").alias("_base"))
     schema = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
-    digests = tokens.mapInArrow(_digest_with_count, schema)
+    digests = arrow_map(tokens, _digest_with_count, schema)
     return digests.join(index, "shard").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

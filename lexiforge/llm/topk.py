@@ -21,18 +21,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.llm.shared import arrow_map
+
 ROWS = 4096
 DIM_BLOCK = 16
 LANES = 16
 QUERIES_AT_ONCE = 256
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, rows).combine_chunks().to_batches()[0]
+            held = table.slice(rows).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _pack(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+        for part in gathered(batches, ROWS):
+            if part.num_rows:
                 lists = part.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
                 dims = max(1, int(sizes.max(initial=0)))
@@ -101,11 +115,11 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0)
     asked = usable.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n, m = vectors.select(F.count("*"), F.count(F.when(is_query, 1))).first()
     schema = "block long, dims int, ids binary, columns binary"
-    packed = lambda df, rows: df.repartition(max(1, math.ceil(rows / ROWS))).mapInArrow(_pack(scale), schema)
+    packed = lambda df, rows: arrow_map(df.repartition(max(1, math.ceil(rows / ROWS))), _pack(scale), schema)
     lanes = F.explode(F.array(*(F.lit(i) for i in range(LANES)))).alias("lane")
     queries = packed(asked, m).select(lanes, F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"))
     candidates = packed(usable, n).select(F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int").alias("lane"), "dims", "ids", "columns")
     cells = queries.join(candidates, "lane").select("q_dims", "q_ids", "q_columns", "dims", "ids", "columns")
-    found = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
+    found = arrow_map(cells, _cells(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
