@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lexiforge.llm.shared import arrow_map, materialise
 from lexiforge.llm.words import Block, blocks, hashes, words
 
-DEPTH = 4
-SHARE = 1 / 8192
+DEPTH = 6
+SHARE = 1 / 32768
 FREQUENT = 1 << 17
 END_BYTE = 0xFF  # no byte of UTF-8
 END_WORD = np.uint64(0x0E4D0E4D0E4D0E4D)
