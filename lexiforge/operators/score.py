@@ -94,7 +94,7 @@ def fuse(semantic: DataFrame, bm25_: DataFrame, keyword: DataFrame, exact: DataF
 def rerank(candidates: DataFrame, rerank_score: Column, mix: tuple[float, float] = V2.rerank_mix, clamp: bool = True) -> DataFrame:
     """final = mix of the hybrid and the re-ranker's score, the latter not below 0."""
     score = F.greatest(rerank_score, F.lit(0.0)) if clamp else rerank_score
-    return candidates.withColumn("final", F.round(mix[0] * F.col("hybrid") + mix[1] * score, 6))
+    return candidates.withColumn("final", F.round(mix[0] * F.col("hybrid") + mix[1] * score, 8))
 
 
 def lexical_overlap(text: Column, query: Column, cut: int = 1500) -> Column:
