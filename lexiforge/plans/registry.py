@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,12 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id int, text string")
 
 
+def ensure_checkpoint(spark: SparkSession) -> None:
+    """A folder for checkpoints: the session's, or a local one where it names none."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints")
+
+
 QUESTIONS = [
     (1, "which documents are licensed under the apache license version 2.0"),
     (2, 'where is "all rights reserved" or "MIT License" stated'),

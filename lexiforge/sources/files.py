@@ -55,7 +55,7 @@ def html_text_v1(html: Column) -> Column:
     """First generation: only scripts and styles go; lines are trimmed, parted at two spaces and joined by one."""
     bare = entities(F.regexp_replace(_without(html, ("script", "style")), r"(?s)<[^>]*+>", ""))
     parts = F.flatten(F.transform(F.split(bare, r"\r\n|[\n\r]"), lambda line: F.split(F.trim(line), "  ")))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda p: p != ""), " ")
+    return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), " ")
 
 
 def markdown_text(text: Column) -> Column:
@@ -70,7 +70,7 @@ def markdown_plain(text: Column) -> Column:
     text = markdown_text(text)
     for pattern in (r"(?m)^#+\s+", r"(?m)^[-*+]\s+", r"(?m)^\d+\.\s+"):
         text = F.regexp_replace(text, pattern, "")
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def headings(html: Column) -> Column:
