@@ -121,64 +121,60 @@ def bit_counts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """nodes: symbol counts of each context kept, by depth. After fitting: child tables and log10 probabilities."""
-
-    def __init__(self, levels: list[dict[int, np.ndarray]]) -> None:
-        """levels[d]: context (its d bytes, the nearest lowest) -> counts of 256 symbols; parents are always present."""
-        keys = [sorted(level) for level in levels]
-        number = {}
-        for d, level in enumerate(keys):
-            for key in level:
-                number[d, key] = len(number)
-        total = len(number)
-        counts = np.zeros((total, 256), np.int64)
-        for (d, key), i in number.items():
-            counts[i] = levels[d][key]
-        self.child = np.full((total, 256), -1, np.int32)
-        parent = np.full(total, -1, np.int64)
-        for (d, key), i in number.items():
-            if d:
-                up = number[d - 1, key & ((1 << (8 * (d - 1))) - 1)]
-                self.child[up, key >> (8 * (d - 1))] = i
-                parent[i] = up
-        rest = counts.copy()
-        np.subtract.at(rest, parent[parent >= 0], counts[parent >= 0])
-        depth_of = np.array([d for d, _ in number])
-        zeros, ones = bit_counts(counts)
-        own = kt_log(zeros, ones)
-        inner = np.zeros(total, bool)
-        inner[parent[parent >= 0]] = True
-        rest0, rest1 = bit_counts(rest)
-        below = np.where(inner[:, None], kt_log(rest0, rest1), 0.0)  # the further child is a leaf
-        weighted = own.copy()
-        stop = np.ones_like(own)  # share of the weight that stays at the node
-        for d in range(len(levels) - 1, -1, -1):
-            here = np.flatnonzero(depth_of == d)
-            split = here[inner[here]]
-            weighted[split] = np.logaddexp(own[split], below[split]) - math.log(2)
-            stop[split] = np.exp(own[split] - math.log(2) - weighted[split])
+    """Contexts by depth with their symbol counts; after fitting: child tables and log10 probabilities, one row a node.
+
+    Levels are worked off one at a time: only what later levels need is kept, in single precision.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """levels[d]: the ascending contexts (d bytes each, the nearest lowest) and their counts of 256 symbols; parents are always present."""
+        keys = [k for k, _ in levels]
+        base = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        self.depth = len(levels) - 1
+        self.child = np.full((base[-1], 256), -1, np.int32)
+        parents = [np.zeros(0, np.int64)]
+        for d in range(1, len(levels)):
+            up = np.searchsorted(keys[d - 1], keys[d] & ((1 << (8 * (d - 1))) - 1))
+            self.child[base[d - 1] + up, keys[d] >> (8 * (d - 1))] = base[d] + np.arange(len(keys[d]))
+            parents.append(up)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        from_below: np.ndarray | None = None
+        for d in range(self.depth, -1, -1):
+            counts = levels[d][1]
+            zeros, ones = bit_counts(counts)
+            weighted = kt_log(zeros, ones)
+            stop, rest_one = np.ones(weighted.shape, np.float32), np.full(weighted.shape, 0.5, np.float32)
+            if d < self.depth and len(keys[d + 1]):
+                rest = counts.copy()
+                np.subtract.at(rest, parents[d + 1], levels[d + 1][1])
+                split = np.unique(parents[d + 1])
+                rest0, rest1 = bit_counts(rest[split])
+                below = from_below[split] + kt_log(rest0, rest1)  # what the kept children do not hold is one further child
+                own = weighted[split]
+                weighted[split] = np.logaddexp(own, below) - math.log(2)
+                stop[split] = np.exp(own - math.log(2) - weighted[split])
+                rest_one[split] = (rest1 + 0.5) / (rest0 + rest1 + 1.0)
+            kept.append((stop, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), rest_one))
             if d:
-                np.add.at(below, parent[here], weighted[here])
-        one = (ones + 0.5) / (zeros + ones + 1.0)
-        rest_one = (rest1 + 0.5) / (rest0 + rest1 + 1.0)
-        #: For a node reached as the longest kept context: its weight goes to the further child if it has children.
-        reach, mixed = np.ones((total, 255)), np.zeros((total, 255))
-        final = np.zeros((total, 255))
+                from_below = np.zeros((len(keys[d - 1]), 255))
+                np.add.at(from_below, parents[d], weighted)
+        self.log10 = np.zeros((base[-1], 256), np.float32)
+        reach = mixed = None
         for d in range(len(levels)):
-            here = np.flatnonzero(depth_of == d)
-            up = parent[here]
+            stop, one, rest_one = kept.pop()
             if d:
-                reach[here] = reach[up] * (1 - stop[up])
-                mixed[here] = mixed[up]
-            mixed[here] += reach[here] * stop[here] * one[here]
-            final[here] = mixed[here] + reach[here] * (1 - stop[here]) * rest_one[here]
-        log1, log0 = np.log10(final), np.log10(1 - final)
-        tree = np.zeros((total, 512))
-        for k in range(1, 256):
-            tree[:, 2 * k] = tree[:, k] + log0[:, k - 1]
-            tree[:, 2 * k + 1] = tree[:, k] + log1[:, k - 1]
-        self.log10 = tree[:, 256:].astype(np.float32)
-        self.depth = len(levels) - 1
+                reach, mixed = after[parents[d]], mixed[parents[d]]
+            else:
+                reach, mixed = np.ones(stop.shape, np.float32), np.zeros(stop.shape, np.float32)
+            mixed = mixed + reach * stop * one
+            after = reach * (1 - stop)
+            final = (mixed + after * rest_one).astype(np.float64)  # reached as the longest kept context
+            log1, log0 = np.log10(final), np.log10(1 - final)
+            tree = np.zeros((len(final), 512))
+            for k in range(1, 256):
+                tree[:, 2 * k] = tree[:, k] + log0[:, k - 1]
+                tree[:, 2 * k + 1] = tree[:, k] + log1[:, k - 1]
+            self.log10[base[d] : base[d + 1]] = tree[:, 256:]
 
     def node_of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The longest kept context before each byte."""
@@ -204,23 +200,20 @@ class Model:
 def fit_model(counts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Model:
     """From gram counts (key, n). The driver receives, a depth, at most 1 / share contexts with their symbols."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    levels: list[dict[int, np.ndarray]] = []
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
     for d in range(depth + 1):
         by_gram = counts.groupBy((F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
         context = F.shiftright("gram", 8)
         least = 0 if d <= 1 else total * share
         kept = by_gram.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("context")
-        rows = by_gram.withColumn("context", context).join(F.broadcast(kept), "context").toArrow()  # at most 1 / share contexts
+        rows = by_gram.withColumn("context", context).join(F.broadcast(kept), "context").select("gram", "n").toArrow()  # at most 1 / share contexts
         gram, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-        level: dict[int, np.ndarray] = {} if len(gram) or d else {0: np.zeros(256, np.int64)}
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order]
-        edges = np.append(np.flatnonzero(np.append(True, (gram[1:] >> 8) != (gram[:-1] >> 8))), len(gram)) if len(gram) else np.zeros(1, int)
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            symbols = np.zeros(256, np.int64)
-            symbols[gram[lo:hi] & 255] = n[lo:hi]
-            level[int(gram[lo] >> 8)] = symbols
-        levels.append(level)
+        keys, row = np.unique(gram >> 8, return_inverse=True)
+        if not d and not len(keys):
+            keys = np.zeros(1, np.int64)
+        symbols = np.zeros((len(keys), 256), np.int64)
+        symbols[row, gram & 255] = n
+        levels.append((keys, symbols))
     return Model(levels)
 
 

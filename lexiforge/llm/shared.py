@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.session import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one only where the session sets none, as in tests."""
@@ -35,24 +34,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-_shipped: set[str] = set()
 BATCH_ROWS = 1000  # of an Arrow batch of texts, where the session has Spark's default of 10,000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def tidy(f: Callable) -> Callable:
     """f, after which the worker gives the memory of its batches back instead of keeping it while idle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
