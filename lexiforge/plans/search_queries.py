@@ -127,6 +127,11 @@ def _fused(spark, d, allowed=None, mode="post"):
     return R.hybrid(chunks(spark, d), questions(spark), _vectors(spark, d), _question_vectors(spark, d), allowed=allowed, filter_mode=mode)
 
 
+def _present(spark, d):
+    """Candidates that are documents: some vectors stand for none."""
+    return _fused(spark, d).join(chunks(spark, d).select("idx"), "idx", "left_semi")
+
+
 @query(f"WITH {_FUSED} SELECT query_id, idx, type, hybrid FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, idx) <= 40")
 def hybrid_topk(spark, d):
     return S.top(_fused(spark, d), 40, "hybrid").select("query_id", "idx", "type", "hybrid")
@@ -162,14 +167,14 @@ n AS (SELECT query_id, lang, count(*) AS c, max(hybrid) AS h, min(idx) AS i FROM
 best AS (SELECT query_id, arg_min(lang, struct_pack(a := -c, b := -h, c := i)) AS main FROM n GROUP BY query_id)
 SELECT query_id, idx, CASE WHEN lang <> main THEN 0.8 ELSE 1.0 END AS penalty, round(hybrid * CASE WHEN lang <> main THEN 0.8 ELSE 1.0 END, 6) AS penalised FROM kept JOIN best USING (query_id)""")
 def vendor_penalty(spark, d):
-    kept = S.top(_fused(spark, d), 12, "hybrid").join(chunks(spark, d).select("idx", "vendor"), "idx")
+    kept = S.top(_present(spark, d), 12, "hybrid").join(chunks(spark, d).select("idx", "vendor"), "idx")
     return S.vendor_penalty(kept).select("query_id", "idx", "penalty", "penalised")
 
 
 @query(f"""WITH {_FUSED}, kept AS (SELECT f.*, text, q FROM fused f JOIN documents ON doc_id = idx JOIN questions USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, idx) <= 40)
 SELECT query_id, idx, round(0.3 * hybrid + 0.7 * (len(list_intersect({tokens_sql('q')}, {tokens_sql('text[1:1500]')})) / len({tokens_sql("q")})), 8) AS final FROM kept""")
 def rerank_lexical(spark, d):
-    kept = S.top(_fused(spark, d), 40, "hybrid").join(chunks(spark, d).select("idx", "text"), "idx").join(F.broadcast(questions(spark).withColumnRenamed("text", "q")), "query_id")
+    kept = S.top(_present(spark, d), 40, "hybrid").join(chunks(spark, d).select("idx", "text"), "idx").join(F.broadcast(questions(spark).withColumnRenamed("text", "q")), "query_id")
     return S.rerank(kept, S.lexical_overlap(F.col("text"), F.col("q"))).select("query_id", "idx", "final")
 
 
@@ -177,7 +182,7 @@ _KEPT12 = f"""{_FUSED}, kept AS (SELECT query_id, idx, hybrid AS score, row_numb
 
 
 def _kept12(spark, d):
-    return S.top(_fused(spark, d).withColumnRenamed("hybrid", "score"), 12)
+    return S.top(_present(spark, d).withColumnRenamed("hybrid", "score"), 12)
 
 
 @query(f"""WITH {_KEPT12}, pieces AS (SELECT *, '[Document ' || rank || '] ' || source || ' | Page: N/A | Vendor: ' || lang || ' | Section: ' || source || ' | Score: ' || printf('%.3f', score) || chr(10) || text[1:2000] AS piece FROM kept),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import WS, clean
+from lexiforge.session import ship
 
 EXTENSIONS = ("pdf", "html", "htm", "md", "txt")
 
@@ -90,6 +91,7 @@ def pages_by(parser: Callable[[bytes], list[str]], files: DataFrame, original_nu
                 rows += [(path, i if original_numbers else n, t) for n, (i, t) in enumerate(kept, 1)]
             yield pd.DataFrame(rows, columns=["path", "page_id", "text"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, page_id int, text string")
 
 
