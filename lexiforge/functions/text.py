@@ -68,14 +68,22 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def telecom_terms(ascii_text: Column) -> Column:
-    return F.flatten(F.array(*[all_matches(ascii_text, "(?i)" + p) for p in P.TELECOM]))
+    """Matches of each pattern. Those that need a digit run only over texts that hold one."""
+    def found(patterns: list[str]) -> Column:
+        return F.flatten(F.array(*[all_matches(ascii_text, "(?i)" + p) for p in patterns]))
+
+    numbered = [p for p in P.TELECOM if r"\d" in p or "5G" in p or "[1-5]" in p]
+    digits = F.when(F.rlike(ascii_text, F.lit("[0-9]")), found(numbered)).otherwise(F.array().cast("array<string>"))
+    return F.concat(digits, found([p for p in P.TELECOM if p not in numbered]))
 
 
 def bm25_tokens(text: Column) -> Column:
     """Distinct tokens of at least two characters, protected terms after the others."""
-    low = F.lower(text)
-    split = words(F.regexp_replace(low, r"[^\p{L}\p{N}_\x09-\x0D\x20\-.]", " "))
-    return F.array_distinct(F.filter(F.concat(split, telecom_terms(plain(low))), lambda t: (F.length(t) >= 2) | t.isin(*P.SHORT)))
+    def made(low: Column) -> Column:
+        split = words(F.regexp_replace(low, r"[^\p{L}\p{N}_\x09-\x0D\x20\-.]", " "))
+        return F.array_distinct(F.filter(F.concat(split, bind(plain(low), telecom_terms)), lambda t: (F.length(t) >= 2) | t.isin(*P.SHORT)))
+
+    return bind(F.lower(text), made)
 
 
 def keywords(text: Column) -> Column:

@@ -73,20 +73,21 @@ def cascade(chunks: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     quoted text 5.0, a phrase of the question as indexed run of words 3.0 or in the text 2.5, an identifier 2.0, a synonym 1.5,
     words longer than three characters 0.5 + 0.2 each. Equal scores go to the earlier level, then the smaller idx.
     """
-    asked = F.broadcast(queries.select("query_id", "text").withColumnRenamed("text", "q"))  # the stated query batch
-    low = chunks.select("idx", "text", F.lower("text").alias("low"), F.upper("text").alias("up")).join(asked)
+    none = F.array().cast("array<string>")
+    own_ids = T.bind(F.upper(T.plain(F.col("text"))), lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.flatten(F.array(*[T.all_matches(t, p) for p, _ in P.QUERY_IDS]))).otherwise(none))
+    spaced = F.concat(F.lit(" "), F.array_join(T.words(F.lower("text")), " "), F.lit(" "))
+    texts = chunks.select("idx", F.lower("text").alias("low"), F.upper("text").alias("up"), spaced.alias("spaced"), own_ids.alias("own"))
+    asked = queries.select(
+        "query_id", F.transform(T.quoted_terms(F.col("text")), F.lower).alias("quoted"), T.query_phrases(F.col("text")).alias("phrases"), F.transform(T.query_ids(F.col("text")), lambda x: x["term"]).alias("ids"),
+        F.slice(T.expansions(F.col("text")), 2, 4).alias("variants"), F.filter(T.words(F.upper("text")), lambda w: F.length(w) > 3).alias("big"),
+    )
+    low = texts.join(F.broadcast(asked))  # the stated query batch
     any_in = lambda terms, where: F.exists(terms, lambda t: F.contains(where, t))
-    quoted = F.transform(T.quoted_terms(F.col("q")), F.lower)
-    own = F.array_join(T.words(F.col("low")), " ")
-    phrase = F.filter(T.query_phrases(F.col("q")), lambda p: F.length(p) > 10)
-    spaced = F.concat(F.lit(" "), own, F.lit(" "))
-    ids = F.transform(T.query_ids(F.col("q")), lambda x: x["term"])
-    found_ids = F.array_compact(F.flatten(F.array(*[T.all_matches(F.upper(T.plain(F.col("text"))), p) for p, _ in P.QUERY_IDS])))
-    count = F.size(F.filter(T.words(F.upper("q")), lambda w: (F.length(w) > 3) & F.contains(F.col("up"), w)))
-    variants = F.slice(T.expansions(F.col("q")), 2, 4)
+    run = F.exists("phrases", lambda p: (F.length(p) > 10) & F.contains(F.col("spaced"), F.concat(F.lit(" "), p, F.lit(" "))))
+    count = F.size(F.filter("big", lambda w: F.contains(F.col("up"), w)))
     levels = [
-        (any_in(quoted, F.col("low")), F.lit(5.0)), (F.exists(phrase, lambda p: F.contains(spaced, F.concat(F.lit(" "), p, F.lit(" ")))), F.lit(3.0)), (any_in(T.query_phrases(F.col("q")), F.col("low")), F.lit(2.5)),
-        (F.arrays_overlap(ids, found_ids), F.lit(2.0)), (any_in(variants, F.col("low")), F.lit(1.5)), (count > 0, F.round(0.5 + 0.2 * count, 6)),
+        (any_in(F.col("quoted"), F.col("low")), F.lit(5.0)), (run, F.lit(3.0)), (any_in(F.col("phrases"), F.col("low")), F.lit(2.5)),
+        (F.arrays_overlap("ids", "own"), F.lit(2.0)), (any_in(F.col("variants"), F.col("low")), F.lit(1.5)), (count > 0, F.round(0.5 + 0.2 * count, 6)),
     ]
     made = F.array_compact(F.array(*[F.when(hit, F.struct((-score).alias("neg"), F.lit(i).alias("level"), score.alias("score"))) for i, (hit, score) in enumerate(levels)]))
     best = low.select("query_id", "idx", F.array_min(made).alias("b")).where("b IS NOT NULL")

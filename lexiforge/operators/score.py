@@ -9,6 +9,7 @@ from lexiforge.config import V2, Settings
 from lexiforge.functions import measures as X
 from lexiforge.functions import text as T
 from lexiforge.operators import index as I
+from lexiforge.session import materialise
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame, cfg: Settings = V2) -> DataFrame:
     """query_id, idx, score > 0 (6 decimals) of the chunks that share a term with a query."""
-    tokens = chunks.select("idx", T.bm25_tokens(F.col("text")).alias("tokens"))
+    tokens = materialise(chunks.select("idx", T.bm25_tokens(F.col("text")).alias("tokens")), "tokens")
     n, average = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     idf = I.bm25_idf(tokens.select(F.explode("tokens").alias("term")), n)
     rows = tokens.select("idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.session import shared_root, spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -30,13 +31,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """documents as chunks: idx, text, source, vendor (the language), section (the source)."""
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("idx"), "text", "source", F.col("lang").alias("vendor"), F.col("source").alias("section"))
+    return spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("idx"), "text", "source", F.col("lang").alias("vendor"), F.col("source").alias("section"))
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     from lexiforge.operators.structure import lines_of
 
-    return lines_of(table(spark, folder, "documents"))
+    return lines_of(spread(table(spark, folder, "documents")))
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -46,8 +47,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 def ensure_checkpoint(spark: SparkSession) -> None:
     """A folder for checkpoints: the session's, or a local one where it names none."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints")
+    shared_root(spark)
 
 
 QUESTIONS = [

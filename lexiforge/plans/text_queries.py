@@ -10,6 +10,7 @@ from lexiforge.functions import patterns as P
 from lexiforge.functions import text as T
 from lexiforge.operators import clean as C
 from lexiforge.plans.registry import WS, document_lines, keywords_sql, norm_sql, plain_sql, query, table, tokens_sql, words_sql
+from lexiforge.session import spread
 
 
 def _case(c: str, rows) -> str:
@@ -18,35 +19,35 @@ def _case(c: str, rows) -> str:
 
 @query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'))) AS cleaned FROM documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned"))
 
 
 @query(rf"""SELECT doc_id, md5({norm_sql('text')}) AS md5_key, substr(sha256({norm_sql('text')}), 1, 32) AS sha_key,
   md5(trim(regexp_replace(regexp_replace(lower(text), '{WS}+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\x09-\x0D\x20.-]', '', 'g'))) AS similarity_key FROM documents""")
 def dedup_keys(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.md5_key(text).alias("md5_key"), T.sha_key(text).alias("sha_key"), F.md5(T.similarity_form(text)).alias("similarity_key"))
+    return spread(table(spark, d, "documents")).select("doc_id", T.md5_key(text).alias("md5_key"), T.sha_key(text).alias("sha_key"), F.md5(T.similarity_form(text)).alias("similarity_key"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {words_sql(norm_sql('text'))} AS w FROM documents)
 SELECT doc_id, CAST(CASE WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS INTEGER) AS shingles FROM w""")
 def shingle_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).alias("shingles"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(T.shingles(F.col("text"))).alias("shingles"))
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def tokenize_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.bm25_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
+    return spread(table(spark, d, "documents")).select("doc_id", T.bm25_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
 
 
 @query(f"SELECT doc_id, array_to_string({keywords_sql('text')}, ',') AS keywords FROM documents")
 def keywords(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.keywords(F.col("text")), ",").alias("keywords"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.keywords(F.col("text")), ",").alias("keywords"))
 
 
 @query("SELECT doc_id, array_to_string(list_concat(" + "list_filter([" + ", ".join(f"'{p}'" for p in P.PHRASES) + "], lambda p: contains(lower(text), p)), list_transform(regexp_extract_all(text, '(?m)^([A-Za-z][^:]{5,50}):$', 1), lambda t: trim(lower(t)))), ',') AS phrases FROM documents")
 def phrases(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.phrases(F.col("text")), ",").alias("phrases"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.phrases(F.col("text")), ",").alias("phrases"))
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)"
@@ -99,7 +100,7 @@ def _of_kind(kind: str):
 
 @query("WITH t AS (SELECT doc_id, " + plain_sql("text") + " AS p FROM documents) SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(upper(p), '{p}')) AS INTEGER) AS n_{kind}" for p, kind in P.QUERY_IDS) + r", CAST(len(regexp_extract_all(p, '\b[A-Z][A-Za-z]{3,}\b')) AS INTEGER) AS n_term FROM t")
 def query_ids(spark, d):
-    found = table(spark, d, "documents").select("doc_id", T.bind(T.query_ids(F.col("text")), lambda x: F.transform(x, lambda y: y["type"])).alias("k"))
+    found = spread(table(spark, d, "documents")).select("doc_id", T.bind(T.query_ids(F.col("text")), lambda x: F.transform(x, lambda y: y["type"])).alias("k"))
     return found.select("doc_id", *[_of_kind(kind) for kind in [k for _, k in P.QUERY_IDS] + ["term"]])
 
 
@@ -113,7 +114,7 @@ SELECT doc_id, {_case('h', P.VENDORS)} AS vendor, {_case('h', P.DOC_TYPES)} AS d
 FROM t""")
 def metadata_extract(spark, d):
     head = T.plain(F.lower(F.substring("text", 1, M.HEAD)))
-    read = table(spark, d, "documents").select("doc_id", T.bind(head, lambda h: F.struct(M.vendor(h).alias("vendor"), M.doc_type(h).alias("doc_type"), F.array_join(M.topics(h), ",").alias("topics"), M.spec_number(h).alias("spec"))).alias("m"))
+    read = spread(table(spark, d, "documents")).select("doc_id", T.bind(head, lambda h: F.struct(M.vendor(h).alias("vendor"), M.doc_type(h).alias("doc_type"), F.array_join(M.topics(h), ",").alias("topics"), M.spec_number(h).alias("spec"))).alias("m"))
     return read.select("doc_id", "m.*")
 
 
@@ -156,7 +157,7 @@ def _noise_sql(c: str) -> str:
 
 @query(f"SELECT doc_id, {_noise_sql('text')} AS reason FROM documents")
 def noise_pages(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.noise_reason(F.col("text")).alias("reason"))
+    return spread(table(spark, d, "documents")).select("doc_id", C.noise_reason(F.col("text")).alias("reason"))
 
 
 @query(f"WITH {_LINES} SELECT reason, count(*) AS pages FROM (SELECT coalesce({_noise_sql('line')}, 'kept') AS reason FROM lines) GROUP BY reason")
@@ -173,7 +174,7 @@ def clean_pages(spark, d):
   length(CASE WHEN length(text) <= 400 THEN text ELSE text[1:400] || '...' END) AS truncated, md5(text[1:200]) AS snippet FROM documents""")
 def text_counts(spark, d):
     text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.length(text).cast("long").alias("char_count"), F.size(T.words(text)).cast("long").alias("word_count"), T.estimate_tokens(text).alias("tokens"), F.length(T.truncate_to_tokens(text, 100)).cast("long").alias("truncated"), F.md5(F.substring(text, 1, 200)).alias("snippet"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.length(text).cast("long").alias("char_count"), F.size(T.words(text)).cast("long").alias("word_count"), T.estimate_tokens(text).alias("tokens"), F.length(T.truncate_to_tokens(text, 100)).cast("long").alias("truncated"), F.md5(F.substring(text, 1, 200)).alias("snippet"))
 
 
 @query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS heading FROM pages)
@@ -186,7 +187,7 @@ def heading_levels(spark, d):
 
 @query(r"""SELECT doc_id, CAST(2 * len(regexp_extract_all(text, '(?i)(?:figure|fig\.?)\s*\d+(?:\.\d+)?')) + len(regexp_extract_all(text, '(?i)(?:image|img\.?)\s*\d+(?:\.\d+)?')) AS INTEGER) AS n FROM documents""")
 def figure_references(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.figure_references(F.col("text"))).alias("n"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(T.figure_references(F.col("text"))).alias("n"))
 
 
 @query("""SELECT event_type, round(avg(list_dot_product([value, value + 1.0], [2.0, 1.0])), 6) AS mean_dot, CAST(sum(bit_count(xor(event_id, user_id))) AS BIGINT) AS bits FROM events GROUP BY event_type""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -35,3 +37,43 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     }.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one only where the session sets none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints"
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before the interpreter does
+        pass
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared root; it is removed when the driver ends."""
+    path = f"{shared_root(spark)}/lexiforge-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its files are fewer than these; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
