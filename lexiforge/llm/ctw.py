@@ -107,7 +107,7 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
         low = x < 8
         shift[low] += np.log(x[low])
         x[low] += 1
-    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) - shift
 
 
 def bit_counts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +220,7 @@ def fit_model(counts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Mo
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, known long, word long, times long"
 
 
-def _score(model, common, unit: float, total: float):
+def _score(model, common, end_log: float, end_known: bool):
     names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +233,8 @@ def _score(model, common, unit: float, total: float):
                 row = w.row
                 place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 here = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                end = np.searchsorted(keys, END_WORD.view(np.int64))
-                ends = logs[end] if end < len(keys) and keys[end] == END_WORD.view(np.int64) else None
-                base = np.bincount(row[here], weights=logs[place[here]], minlength=n) + (ends if ends is not None else unit)
-                known = np.bincount(row[here], minlength=n) + (ends is not None)
+                base = np.bincount(row[here], weights=logs[place[here]], minlength=n) + end_log
+                known = np.bincount(row[here], minlength=n) + end_known
                 ids, held, rows = (batch.column(i).slice(block.first, n) for i in (1, 2, 0))
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([rows, ids, held, pa.array(w.counts + 1), pa.array(model.value.score(block)), pa.array(base), pa.array(known), none, none], names)
@@ -262,16 +260,17 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, f
     counted = arrow_map(texts.select((~F.col("held_out")).alias("train"), "text"), _count, "kind byte, key long, n long")
     counts = materialise(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     vocabulary = counts.where("kind = 1").select("key", "n")
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    end = F.sum(F.when(F.col("key") == F.lit(int(END_WORD.view(np.int64))), F.col("n")))
+    n, v, ends = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(end, F.lit(0))).first()
     room = n + SMOOTH * (v + 1)
     common = vocabulary.orderBy(F.desc("n"), "key").limit(frequent).toArrow()  # a bounded number of words; all others are joined
     order = np.argsort(common.column("key").to_numpy())
     table = (common.column("key").to_numpy()[order], np.log10((common.column("n").to_numpy()[order] + SMOOTH) / room))
-    unit = math.log10(SMOOTH / room)
+    end_log = math.log10((ends + SMOOTH) / room)
     model = spark.sparkContext.broadcast(fit_model(counts.where("kind = 0").select("key", "n"), depth, share))
     # a row's number within its scan; both uses of it come from the one exchange below
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = arrow_map(numbered, _score(model, spark.sparkContext.broadcast(table), unit, room), _SCORED)
+    scored = arrow_map(numbered, _score(model, spark.sparkContext.broadcast(table), end_log, ends > 0), _SCORED)
     # a text's own row meets no word; it is dealt by its number
     dealt = scored.withColumn("_key", F.coalesce("word", F.xxhash64("row")))
     met = dealt.join(vocabulary.withColumnsRenamed({"key": "_key", "n": "_n"}), "_key", "left")

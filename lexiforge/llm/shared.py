@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.session import ship
+from lexiforge.session import materialise, scratch_path, ship
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the session sets none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
+__all__ = ["arrow_map", "join_rules", "materialise", "null_safe", "row_key", "scratch_path"]
 
 
 BATCH_ROWS = 1000  # of an Arrow batch of texts, where the session has Spark's default of 10,000
@@ -59,21 +39,6 @@ def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(tidy(f), schema)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared root; it is removed when the driver ends."""
-    path = f"{shared_root(spark)}/lexiforge-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def materialise(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Columns that tell rows apart when a doc_id occurs more than once with other texts."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
