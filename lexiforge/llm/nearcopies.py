@@ -278,3 +278,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ruled = small.join(named, "component", "left").select("rep", F.col("doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     full = signed.select("doc_id", "rep").join(ruled, "rep", "left")
     return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+#: DuckDB SQL for documents whose ids differ: all sets joined on all shingles, components by a recursive closure.
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM split),
+flat AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y, c = nx AND c = ny AS same FROM shared WHERE c >= 0.8 * (nx + ny - c) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+lowest AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+own AS (SELECT x, count(*) AS n, min(CASE WHEN same THEN y END) AS copy FROM links GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(lowest.y, doc_id)) AS class_id, least(doc_id, coalesce(own.copy, doc_id)) AS copy_of, coalesce(own.n, 0) AS n_links
+FROM sets LEFT JOIN lowest ON lowest.x = doc_id LEFT JOIN own ON own.x = doc_id
+"""

@@ -78,5 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_licence_scan": licences.oracle(),
+    "op5_near_copies": nearcopies.ORACLE,
+    "op7_exact_top_k": topk.ORACLE,
     "op8_source_mix": mixing.ORACLE,
 }
