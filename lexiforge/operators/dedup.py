@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import measures as X
 from lexiforge.functions import text as T
+from lexiforge.session import materialise
 
 SEED_STEP = 31337
 
@@ -45,6 +46,7 @@ def signature_pairs(signatures: DataFrame, threshold: float = 0.80, hashes: int
 
     Rows of an equal signature meet through their first row only (y is linked to the first; the first to all others).
     """
+    signatures = materialise(signatures.select("idx", "signature"), "signatures")
     parts = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", a + 1, n)) for i, (a, n) in enumerate(bands(hashes, threshold))])
     first = signatures.groupBy("signature").agg(F.min("idx").alias("idx"))
     keyed = first.select("idx", "signature", F.explode(parts).alias("band"))
@@ -60,9 +62,10 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.80, k: int = 5) -> DataF
     Prefix filter: shingles in order of frequency, rarest first; a pair shares one of the first n - ceil(t n) + 1 of each.
     """
     first = docs.groupBy(T.md5_key(F.col("text")).alias("_h")).agg(F.min_by("text", "idx").alias("text"), F.min("idx").alias("idx"))
-    rows = shingle_rows(first.select("idx", "text"), k)
+    hashed = materialise(first.select("idx", T.bind(T.shingles(F.col("text"), k), lambda x: F.transform(x, lambda y: F.xxhash64(y))).alias("set")), "shingles")
+    rows = hashed.select("idx", F.explode("set").alias("s"))
     frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
-    sets = rows.join(frequency, "s").groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda p: p["s"]).alias("set"))
+    sets = materialise(rows.join(frequency, "s").groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda p: p["s"]).alias("set")), "sets")
     prefix = sets.select("idx", F.size("set").alias("n"), F.explode(F.slice("set", F.lit(1), F.size("set") - F.ceil(F.size("set") * threshold - 1e-9).cast("int") + 1)).alias("s"))
     a, b = prefix.alias("a"), prefix.alias("b")
     close = (F.col("a.s") == F.col("b.s")) & (F.col("a.idx") < F.col("b.idx")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9)
@@ -83,7 +86,7 @@ def hamming_pairs(signed: DataFrame, most: int = 3) -> DataFrame:
     Cut in most + 1 slices, one of which must be equal.
     """
     width = 64 // (most + 1)
-    first = signed.groupBy("simhash").agg(F.min("idx").alias("idx"))
+    first = materialise(signed.groupBy("simhash").agg(F.min("idx").alias("idx")), "simhashes")
     slices = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(most + 1)])
     keyed = first.select("idx", "simhash", F.explode(slices).alias("slice"))
     near = keyed.alias("a").join(keyed.alias("b"), (F.col("a.slice") == F.col("b.slice")) & (F.col("a.idx") < F.col("b.idx")))
@@ -93,7 +96,7 @@ def hamming_pairs(signed: DataFrame, most: int = 3) -> DataFrame:
 
 def recent_pairs(docs: DataFrame, last: int = 99, threshold: float = 0.85, k: int = 5) -> DataFrame:
     """x, y, similarity of rows at most ``last`` apart in idx: a band join on two equal buckets."""
-    rows = shingle_rows(docs, k)
+    rows = materialise(shingle_rows(docs, k), "shingles")
     size = rows.groupBy("idx").agg(F.count("*").alias("n"))
     bucket = F.floor(F.col("idx") / (last + 1)).cast("long")
     later = rows.select(F.col("idx").alias("y"), "s", F.explode(F.array(bucket, bucket - 1)).alias("b"))
@@ -108,7 +111,7 @@ def accept_in_order(nodes: DataFrame, pairs: DataFrame, rounds_checkpoint: bool
 
     By rounds: a node without an undecided or accepted smaller neighbour is accepted, its larger neighbours are rejected.
     """
-    edges = pairs.select("x", "y").distinct()
+    edges = materialise(pairs.select("x", "y").distinct(), "edges")
     state = nodes.select("idx", F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("long").alias("duplicate_of"))
     while True:
         known = edges.join(state.select(F.col("idx").alias("x"), F.col("accepted").alias("ax")), "x")
