@@ -232,3 +232,34 @@ def image_text(caption: Column, alt: Column, ocr: Column) -> Column:
 def safe_name(title: Column) -> Column:
     """A file name from a title: signs that file systems refuse become _, at most 150 characters."""
     return F.substring(F.regexp_replace(F.trim(title), r'[<>:"/\\|?*]', "_"), 1, 150)
+
+
+def keywords_by_section(text: Column) -> Column:
+    """Section-aware generation: 18 patterns over upper-cased text (so every word of 3 to 15 letters), capitals, quoted terms.
+
+    Words with letters beyond ASCII give none.
+    """
+    def made(t: Column) -> Column:
+        quoted = F.transform(F.filter(quoted_terms(text), lambda q: F.length(q) > 2), F.upper)
+        return F.array_sort(F.array_distinct(F.concat(*[F.transform(all_matches(t, "(?i)" + p), F.upper) for p in P.SECTION_KEYWORDS], quoted)))
+
+    return bind(F.upper(plain(text)), made)
+
+
+def keywords_first(text: Column) -> Column:
+    """First generation: identifiers of the upper-cased text and its first ten capitalised words."""
+    def made(t: Column) -> Column:
+        capital = F.transform(F.slice(all_matches(t, r"\b[A-Z][A-Za-z]{3,}\b"), 1, 10), F.upper)
+        return F.array_sort(F.array_distinct(F.concat(*[all_matches(F.upper(t), p) for p, _ in P.QUERY_IDS], capital)))
+
+    return bind(plain(text), made)
+
+
+def bm25_tokens_by_section(text: Column, distinct: bool = True) -> Column:
+    """Section-aware generation's tokens; without ``distinct`` (for questions) repeats count."""
+    def made(low: Column) -> Column:
+        split = words(F.regexp_replace(low, r"[^\p{L}\p{N}_\x09-\x0D\x20\-.]", " "))
+        every = F.filter(F.concat(split, *[all_matches(plain(low), p) for p in P.SECTION_TOKENS]), lambda t: F.length(t) >= 2)
+        return F.array_distinct(every) if distinct else every
+
+    return bind(F.lower(text), made)

@@ -112,3 +112,34 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Generator]) -> Dat
 
     ship(prompts.sparkSession)
     return prompts.select("query_id", "system", "prompt").mapInPandas(run, "query_id int, answer string, error string")
+
+
+def average_hash(pixels: np.ndarray) -> str:
+    """32 hex digits of a 16 x 16 grey image: a bit for each pixel above the mean, cut to the first half."""
+    bits = "".join("1" if p > pixels.mean() else "0" for p in pixels.ravel())
+    return format(int(bits, 2), "064x")[:32]
+
+
+def image_hashes(images: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """path, hash of images (path, content); ``decode`` gives the 16 x 16 grey pixels."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "hash": [average_hash(decode(bytes(c))) for c in frame["content"]]})
+
+    ship(images.sparkSession)
+    return images.select("path", "content").mapInPandas(run, "path string, hash string")
+
+
+def store_vectors(rows: DataFrame, open_store: Callable[[], Callable[[list[dict]], None]], batch: int = 1000) -> None:
+    """Hands rows to an external vector store by partition, in batches; ``open_store`` connects and returns the insert function."""
+    def send(partition: Iterator) -> None:
+        insert, held = open_store(), []
+        for row in partition:
+            held.append(row.asDict())
+            if len(held) == batch:
+                insert(held)
+                held = []
+        if held:
+            insert(held)
+
+    rows.foreachPartition(send)

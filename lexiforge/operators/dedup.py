@@ -132,4 +132,30 @@ def star_clusters(resolved: DataFrame) -> DataFrame:
 
 
 def similarity_label(similarity: Column) -> Column:
-    return F.when(similarity >= 1.0, F.lit("exact")).when(similarity >= 0.9, F.lit("near")).when(similarity >= 0.7, F.lit("similar"))
+    return F.when(similarity >= 1.0, F.lit("exact")).when(similarity >= 0.9, F.lit("near_duplicate")).when(similarity >= 0.7, F.lit("similar"))
+
+
+def minhash_prefixed(docs: DataFrame, hashes: int = 128, k: int = 5) -> DataFrame:
+    """idx, signature of the layout-aware generation: for each i the smallest first 64 bits of md5("i:shingle"), as hex."""
+    def of(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), x)), 1, 16))))
+
+    return docs.select("idx", T.bind(T.shingles(F.col("text"), k), of).alias("signature"))
+
+
+def fingerprint_matches(candidates: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """x, y, score of candidate pairs: 1 for equal hashes, else the MinHash similarity if it reaches the threshold, else SimHash's.
+
+    candidates: x, y, hash_x, hash_y, minhash_x, minhash_y, simhash_x, simhash_y.
+    """
+    near = X.agreement(F.col("minhash_x"), F.col("minhash_y"))
+    bits = X.hamming_similarity(F.col("simhash_x"), F.col("simhash_y"))
+    score = F.when(F.col("hash_x") == F.col("hash_y"), F.lit(1.0)).when(near >= threshold, near).when(bits >= threshold, bits)
+    return candidates.select("x", "y", score.alias("score")).where("score IS NOT NULL")
+
+
+def most_similar(pairs: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:
+    """x, y, similarity, label: the k most similar of each row, both ways round."""
+    both = pairs.select("x", "y", "similarity").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity")).where(F.col("similarity") >= least)
+    order = Window.partitionBy("x").orderBy(F.desc("similarity"), "y")
+    return both.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).select("x", "y", "similarity", similarity_label(F.col("similarity")).alias("label"))

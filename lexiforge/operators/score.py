@@ -126,3 +126,10 @@ def vendor_penalty(results: DataFrame, asked: str | None = None, score: str = "h
     out = results.join(main, "query_id", "left")
     penalty = F.when(F.col("vendor") != F.col("_main"), F.lit(0.8)).otherwise(F.lit(1.0))
     return out.withColumn("penalty", F.coalesce(penalty, F.lit(1.0))).withColumn("penalised", F.round(F.col(score) * F.col("penalty"), 6)).drop("_main")
+
+
+def rerank_head(candidates: DataFrame, rerank_score: Column, head: int = 24, mix: tuple[float, float] = (0.35, 0.65)) -> DataFrame:
+    """candidates (query_id, idx, final): only the first ``head`` are mixed with the re-ranker's score; the others keep theirs and are sorted among them."""
+    ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "idx")))
+    mixed = mix[0] * F.col("final") + mix[1] * F.greatest(rerank_score, F.lit(0.0))
+    return ranked.withColumn("final", F.round(F.when(F.col("_rank") <= head, mixed).otherwise(F.col("final")), 8)).drop("_rank")

@@ -101,3 +101,19 @@ def near_dup_resolved(spark, d):
 def fingerprints(spark, d):
     text = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalise(text), 256).alias("content_hash"), F.size(T.shingles(text)).alias("shingles"), F.length(text).cast("long").alias("chars"))
+
+
+@query(f"""WITH {_SHINGLES}, sig AS (SELECT idx, i, min(substr(md5(i::VARCHAR || ':' || t), 1, 16)) AS m FROM flat, (SELECT unnest(range(0, 16)) AS i) GROUP BY idx, i)
+SELECT idx, md5(string_agg(m, ',' ORDER BY i)) AS signature FROM sig GROUP BY idx""")
+def minhash_prefixed(spark, d):
+    """Sixteen of the 128 hashes of the layout-aware generation."""
+    return D.minhash_prefixed(_docs(spark, d), hashes=16).select("idx", F.md5(F.array_join("signature", ",")).alias("signature"))
+
+
+@query(f"""WITH {_MINHASH}, firsts AS (SELECT signature, min(idx) AS idx FROM signatures GROUP BY signature),
+pairs AS (SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) / 16.0 AS s FROM firsts a JOIN firsts b ON a.idx < b.idx
+  WHERE len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) >= 13 UNION ALL SELECT f.idx, s.idx, 1.0 FROM signatures s JOIN firsts f USING (signature) WHERE s.idx <> f.idx),
+both_ AS (SELECT x, y, s FROM pairs UNION ALL SELECT y, x, s FROM pairs)
+SELECT x, y, s AS similarity, CASE WHEN s >= 1 THEN 'exact' WHEN s >= 0.9 THEN 'near_duplicate' ELSE 'similar' END AS label FROM both_ QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5""")
+def most_similar(spark, d):
+    return D.most_similar(D.signature_pairs(D.minhash(_docs(spark, d), hashes=16), 0.80, 16))

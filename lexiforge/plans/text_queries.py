@@ -195,3 +195,25 @@ def measure_checks(spark, d):
     events = table(spark, d, "events")
     pair = F.array(F.col("value"), F.col("value") + 1.0)
     return events.groupBy("event_type").agg(F.round(F.avg(X.dot(pair, F.array(F.lit(2.0), F.lit(1.0)))), 6).alias("mean_dot"), F.sum(F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id")))).cast("long").alias("bits"))
+
+
+_UPPER = f"upper({plain_sql('text')})"
+
+
+@query("SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"list_transform(regexp_extract_all({_UPPER}, '(?i){p}'), lambda k: upper(k))" for p in P.SECTION_KEYWORDS) + """, list_transform(list_filter(regexp_extract_all(text, '"([^"]+)"', 1), lambda q: length(q) > 2), lambda q: upper(q))))), ',')) AS keywords FROM documents""")
+def keywords_by_section(spark, d):
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(F.array_join(T.keywords_by_section(F.col("text")), ",")).alias("keywords"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all({_UPPER}, '{p}')" for p, _ in P.QUERY_IDS) + rf", list_transform(regexp_extract_all({plain_sql('text')}, '\b[A-Z][A-Za-z]{{3,}}\b')[1:10], lambda k: upper(k))))), ',') AS keywords FROM documents")
+def keywords_first(spark, d):
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.keywords_first(F.col("text")), ",").alias("keywords"))
+
+
+_SECTION_TOKENS = "list_concat(" + words_sql(r"regexp_replace(lower(text), '[^\p{L}\p{N}_\x09-\x0D\x20.-]', ' ', 'g')") + ", " + ", ".join(f"regexp_extract_all({plain_sql('lower(text)')}, '{p}')" for p in P.SECTION_TOKENS) + ")"
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter({_SECTION_TOKENS}, lambda t: length(t) >= 2)) AS INTEGER) AS every, CAST(len(list_distinct(list_filter({_SECTION_TOKENS}, lambda t: length(t) >= 2))) AS INTEGER) AS tokens FROM documents")
+def tokenize_by_section(spark, d):
+    text = F.col("text")
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(T.bm25_tokens_by_section(text, False)).alias("every"), F.size(T.bm25_tokens_by_section(text)).alias("tokens"))
