@@ -129,3 +129,54 @@ def test_streams(spark, tmp_path):
     q = read().writeStream.foreachBatch(stream.register(str(tmp_path / "kept"))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted(r.idx for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [1, 3]
+
+
+def test_smart_in_sequence(spark):
+    r = random.Random(8)
+    words = ["router", "fox", "AB12", "red", "this", "mode", "TABLE"]
+    texts = [" ".join(r.choice(words) for _ in range(8)) for _ in range(12)]
+    chunks = docs(spark, texts).withColumn("section", F.lit("s")).withColumn("vendor", F.lit("v"))
+    vectors = [[r.random(), r.random()] for _ in texts]
+    vectors = [[a / math.hypot(a, b), b / math.hypot(a, b)] for a, b in vectors]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "idx long, embedding array<float>")
+    asked = spark.createDataFrame([(1, 'this "red fox" AB12')], "query_id int, text string")
+    question = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<float>")
+    previous = spark.createDataFrame([(1, 0), (1, 5)], "query_id int, idx long")
+    got = {x.idx: (x.type, x.boost, x.final) for x in R.smart(chunks, asked, frame, question, previous=previous).collect()}
+    from lexiforge.config import V1_OPTIMISED as C
+
+    scores = lambda rows: {x.idx: x.score for x in rows.collect()}
+    near = scores(S.max_normalised(S.top(S.cosine(frame, question), C.semantic_k)))
+    bm = scores(S.max_normalised(S.top(S.bm25(chunks, asked, C), C.bm25_k)))
+    terms = spark.createDataFrame([(1, t) for t in ["THIS", "RED", "FOX", "red fox", "AB12"]], "query_id int, term string")
+    key = scores(S.keyword_scores(I.inverted_index(chunks), terms, C.postings_limit, lower=1.0))
+    exact = scores(S.top(S.exact_scores(chunks, spark.createDataFrame([(1, "red fox")], "query_id int, term string"), C.exact_boost), 15))
+    found = {i: {"s": 0.0, "b": 0.0, "k": 0.7, "type": "continuation", "boost": 1.5} for i in (0, 5)}
+    for name, hits, label in (("s", near, "semantic"), ("b", bm, "bm25")):
+        for i, v in hits.items():
+            found.setdefault(i, {"s": 0.0, "b": 0.0, "k": 0.0, "type": label, "boost": 1.0})[name] = v
+    for i, v in key.items():
+        if i in found:
+            found[i]["k"] = v
+            found[i]["boost"] *= 1.5
+        else:
+            found[i] = {"s": 0.0, "b": 0.0, "k": v, "type": "keyword", "boost": 1.2}
+    for i, v in exact.items():
+        if i in found:
+            found[i]["k"] = max(found[i]["k"], v)
+            found[i]["boost"] *= 2.0
+        else:
+            found[i] = {"s": 0.0, "b": 0.0, "k": v, "type": "exact_match", "boost": 2.0}
+    assert set(got) == set(found)
+    for i, f in found.items():
+        hybrid = C.weights[0] * f["s"] + C.weights[1] * f["b"] + C.weights[2] * f["k"]
+        assert got[i][0] == f["type"] and abs(got[i][1] - f["boost"]) < 1e-9 and abs(got[i][2] - hybrid * f["boost"]) < 1e-5
+
+
+def test_variants(spark):
+    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 0.8), (2, 3, 0.6)], "x long, y long, similarity double")
+    assert [(r.x, r.y, r.label) for r in D.most_similar(pairs).orderBy("x", "y").collect()] == [(1, 2, "exact"), (1, 3, "similar"), (2, 1, "exact"), (3, 1, "similar")]
+    prints = spark.createDataFrame([(1, 2, "h", "h", ["a"], ["b"], 0, 1), (1, 3, "h", "g", ["a"] * 20, ["a"] * 20, 0, -1), (1, 4, "h", "g", ["a"], ["b"], 0, 7), (1, 5, "h", "g", ["a"], ["b"], 0, 255)], "x long, y long, hash_x string, hash_y string, minhash_x array<string>, minhash_y array<string>, simhash_x long, simhash_y long")
+    assert {r.y: round(r.score, 4) for r in D.fingerprint_matches(prints).collect()} == {2: 1.0, 3: 1.0, 4: round(1 - 3 / 64, 4)}
+    rows = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (1, 3, 0.7)], "query_id int, idx long, final double")
+    assert [r.final for r in S.rerank_head(rows, F.lit(1.0), head=2).orderBy("idx").collect()] == [0.965, 0.93, 0.7]

@@ -1,6 +1,7 @@
 """Chunkers against sequential versions written here, and readers on small files."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,53 @@ def test_element_chunks(spark):
         assert got == sequential_elements(elements, CFG)
 
 
+def sentences(text, most):
+    if len(text) <= most:
+        return [text]
+    out, cur = [], ""
+    for s in re.split(r"(?<=[.!?])\s+", text):
+        if len(cur) + len(s) <= most:
+            cur = cur + " " + s if cur else s
+            continue
+        if cur:
+            out.append(cur.strip(" "))
+        if len(s) > most:
+            out += [s[i : i + most] for i in range(0, len(s), most)]
+            cur = ""
+        else:
+            cur = s
+    return [*out, cur.strip(" ")] if cur else out
+
+
+def sequential_hierarchy(pages, sections, cfg):
+    out, cur, at, sec = [], "", [], None
+    for i, (p, s) in enumerate(zip(pages, sections, strict=True), 1):
+        if s != sec and cur:
+            if len(cur) >= cfg.min_chunk:
+                out.append((cur, list(at), sec))
+            cur, at = "", []
+        sec = s
+        for piece in sentences(p, cfg.chunk_size):
+            if len(cur) + len(piece) <= cfg.max_chunk:
+                cur = cur + f"\n[Page {i}]\n{piece}" if cur else piece
+                at = at if i in at else [*at, i]
+            else:
+                if len(cur) >= cfg.min_chunk:
+                    out.append((cur, list(at), sec))
+                cur, at = (cur[-cfg.chunk_overlap :] if len(cur) > cfg.chunk_overlap else "") + piece, [i]
+    if cur and len(cur) >= cfg.min_chunk:
+        out.append((cur, list(at), sec))
+    return [(" ".join(t.split()), a, s, len(t)) for t, a, s in out]
+
+
+def test_hierarchical_chunks(spark):
+    for seed in range(3):
+        pages, sections = pages_of(seed)
+        rows = spark.createDataFrame([("d", i, p, s) for i, (p, s) in enumerate(zip(pages, sections, strict=True), 1)], "path string, page_id int, text string, section string")
+        got = [(r.text, r.pages, r.section, r.char_count) for r in S.hierarchical_chunks(rows, CFG).orderBy("chunk_no").collect()]
+        assert got == sequential_hierarchy(pages, sections, CFG)
+
+
 def test_hierarchical_chunks_bounds(spark):
     pages, sections = pages_of(9)
     rows = spark.createDataFrame([("d", i, p, s) for i, (p, s) in enumerate(zip(pages, sections, strict=True), 1)], "path string, page_id int, text string, section string")
