@@ -33,21 +33,20 @@ def jaccard_pairs(spark, d):
     return D.jaccard_pairs(_docs(spark, d)).select("x", "y", F.round("similarity", 6).alias("similarity"))
 
 
-_MINHASH = f"""{_SHINGLES}, seeds AS (SELECT unnest(range(0, 16)) AS i),
+_MINHASH = f"""{_SHINGLES}, seeds AS (SELECT unnest(range(0, 100)) AS i),
 sig AS (SELECT idx, i, min(md5((i * 31337)::VARCHAR || t)) AS m FROM flat, seeds GROUP BY idx, i), signatures AS (SELECT idx, list(m ORDER BY i) AS signature FROM sig GROUP BY idx)"""
 
 
 @query(f"WITH {_MINHASH} SELECT idx, md5(array_to_string(signature, ',')) AS signature FROM signatures")
 def minhash_signature(spark, d):
-    """Sixteen of the hundred hashes; the full signature takes the same path."""
-    return D.minhash(_docs(spark, d), hashes=16).select("idx", F.md5(F.array_join("signature", ",")).alias("signature"))
+    return D.minhash(_docs(spark, d)).select("idx", F.md5(F.array_join("signature", ",")).alias("signature"))
 
 
 @query(f"""WITH {_MINHASH}, firsts AS (SELECT signature, min(idx) AS idx FROM signatures GROUP BY signature)
-SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) / 16.0 AS similarity FROM firsts a JOIN firsts b ON a.idx < b.idx
-WHERE len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) >= 13 UNION ALL SELECT f.idx, s.idx, 1.0 FROM signatures s JOIN firsts f USING (signature) WHERE s.idx <> f.idx""")
+SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 101), lambda i: a.signature[i] = b.signature[i])) / 100.0 AS similarity FROM firsts a JOIN firsts b ON a.idx < b.idx
+WHERE len(list_filter(range(1, 101), lambda i: a.signature[i] = b.signature[i])) >= 80 UNION ALL SELECT f.idx, s.idx, 1.0 FROM signatures s JOIN firsts f USING (signature) WHERE s.idx <> f.idx""")
 def minhash_pairs(spark, d):
-    return D.signature_pairs(D.minhash(_docs(spark, d), hashes=16), 0.80, 16)
+    return D.signature_pairs(D.minhash(_docs(spark, d)))
 
 
 _BITS = " | ".join(f"(CASE WHEN sum(CASE WHEN (h & (1::UBIGINT << {i})) <> 0 THEN 1 ELSE -1 END) > 0 THEN (1::UBIGINT << {i}) ELSE 0::UBIGINT END)" for i in range(64))
@@ -73,15 +72,15 @@ def recent_window_pairs(spark, d):
     return D.recent_pairs(_docs(spark, d)).select("x", "y", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH {_MINHASH}, {_SIMHASH}, pairs AS (SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) / 16.0 AS m FROM signatures a JOIN signatures b ON a.idx < b.idx
-  WHERE len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) >= 13),
+@query(f"""WITH {_MINHASH}, {_SIMHASH}, pairs AS (SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 101), lambda i: a.signature[i] = b.signature[i])) / 100.0 AS m FROM signatures a JOIN signatures b ON a.idx < b.idx
+  WHERE len(list_filter(range(1, 101), lambda i: a.signature[i] = b.signature[i])) >= 80),
 firsts AS (SELECT signature, min(idx) AS idx FROM signatures GROUP BY signature)
 SELECT x, y, round(0.5 * m + 0.3 * (1 - bit_count(xor(p.simhash, q.simhash)) / 64.0) + 0.2 * (least(length(s.text), length(t.text)) / greatest(length(s.text), length(t.text), 1)), 6) AS similarity
 FROM pairs JOIN sims p ON p.idx = x JOIN sims q ON q.idx = y JOIN documents s ON s.doc_id = x JOIN documents t ON t.doc_id = y WHERE x IN (SELECT idx FROM firsts) AND (y IN (SELECT idx FROM firsts) OR m = 1)""")
 def combined_similarity(spark, d):
     """0.5 MinHash + 0.3 SimHash + 0.2 ratio of lengths of the pairs that MinHash proposes."""
     docs = _docs(spark, d)
-    pairs, signed, size = D.signature_pairs(D.minhash(docs, hashes=16), 0.80, 16), D.simhashes(docs), docs.select("idx", F.length("text").alias("n"))
+    pairs, signed, size = D.signature_pairs(D.minhash(docs)), D.simhashes(docs), docs.select("idx", F.length("text").alias("n"))
     side = lambda k: signed.join(size, "idx").select(F.col("idx").alias(k), F.col("simhash").alias(f"h{k}"), F.col("n").alias(f"n{k}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     return both.select("x", "y", F.round(X.combined(F.col("similarity"), X.hamming_similarity(F.col("hx"), F.col("hy")), F.col("nx"), F.col("ny")), 6).alias("similarity"))
@@ -103,17 +102,16 @@ def fingerprints(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalise(text), 256).alias("content_hash"), F.size(T.shingles(text)).alias("shingles"), F.length(text).cast("long").alias("chars"))
 
 
-@query(f"""WITH {_SHINGLES}, sig AS (SELECT idx, i, min(substr(md5(i::VARCHAR || ':' || t), 1, 16)) AS m FROM flat, (SELECT unnest(range(0, 16)) AS i) GROUP BY idx, i)
+@query(f"""WITH {_SHINGLES}, sig AS (SELECT idx, i, min(substr(md5(i::VARCHAR || ':' || t), 1, 16)) AS m FROM flat, (SELECT unnest(range(0, 128)) AS i) GROUP BY idx, i)
 SELECT idx, md5(string_agg(m, ',' ORDER BY i)) AS signature FROM sig GROUP BY idx""")
 def minhash_prefixed(spark, d):
-    """Sixteen of the 128 hashes of the layout-aware generation."""
-    return D.minhash_prefixed(_docs(spark, d), hashes=16).select("idx", F.md5(F.array_join("signature", ",")).alias("signature"))
+    return D.minhash_prefixed(_docs(spark, d)).select("idx", F.md5(F.array_join("signature", ",")).alias("signature"))
 
 
 @query(f"""WITH {_MINHASH}, firsts AS (SELECT signature, min(idx) AS idx FROM signatures GROUP BY signature),
-pairs AS (SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) / 16.0 AS s FROM firsts a JOIN firsts b ON a.idx < b.idx
-  WHERE len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i])) >= 13 UNION ALL SELECT f.idx, s.idx, 1.0 FROM signatures s JOIN firsts f USING (signature) WHERE s.idx <> f.idx),
+pairs AS (SELECT a.idx AS x, b.idx AS y, len(list_filter(range(1, 101), lambda i: a.signature[i] = b.signature[i])) / 100.0 AS s FROM firsts a JOIN firsts b ON a.idx < b.idx
+  WHERE len(list_filter(range(1, 101), lambda i: a.signature[i] = b.signature[i])) >= 80 UNION ALL SELECT f.idx, s.idx, 1.0 FROM signatures s JOIN firsts f USING (signature) WHERE s.idx <> f.idx),
 both_ AS (SELECT x, y, s FROM pairs UNION ALL SELECT y, x, s FROM pairs)
 SELECT x, y, s AS similarity, CASE WHEN s >= 1 THEN 'exact' WHEN s >= 0.9 THEN 'near_duplicate' ELSE 'similar' END AS label FROM both_ QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5""")
 def most_similar(spark, d):
-    return D.most_similar(D.signature_pairs(D.minhash(_docs(spark, d), hashes=16), 0.80, 16))
+    return D.most_similar(D.signature_pairs(D.minhash(_docs(spark, d))))
