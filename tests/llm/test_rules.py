@@ -174,3 +174,28 @@ def test_scores(spark):
 
 def test_scores_of_hard_rows(hard, empty):
     assert ctw.score_documents(hard).count() == hard.count() and ctw.score_documents(empty).count() == 0
+
+
+def test_shards_keep_every_context(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdé ") for _ in range(r.randint(0, 400))) for _ in range(150)]
+    texts += [None, "", "a퟿b 😀", "zebra quagga okapi " * 3] + ["common words here " * 200] * 30  # rare contexts beside very common ones
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    counted = spark.createDataFrame([(True, texts[i] or "") for i in train], "train boolean, text string").mapInArrow(ctw._count, "kind byte, key long, n long")
+    whole = ctw.fit_model(counted.where("kind = 0").groupBy("key").sum("n").toDF("key", "n"), share=0.0)
+    want = [float(whole.score(next(blocks(pa.array([t or ""]))))[0]) for t in texts]
+    for sent in (0, 50, 1 << 20):  # what is sent changes no score
+        rows = {x.doc_id: x.score for x in ctw.score_documents(docs, frequent_grams_sent=sent).collect()}
+        assert [rows[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_nodes_grow_with_the_corpus(spark):
+    """A context that held less than 1/32768 of the training bytes was no node: its text could not become likelier."""
+    rare = "wolds pray velmo nisare"
+    filler = [" ".join(r.choice(["some", "very", "plain", "words"]) for _ in range(3000)) for r in map(random.Random, range(100))]
+    n = len(filler)
+    texts = [*filler, *[f"{rare} {rare}"] * 12, rare]
+    ids = [i for i in range(10 * len(texts)) if zlib.crc32(str(i).encode()) % 10][: n + 12] + [next(i for i in range(10**6, 10**6 + 1000) if not zlib.crc32(str(i).encode()) % 10)]
+    rows = {x.doc_id: x for x in ctw.score_documents(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    assert rows[ids[-1]].held_out and -rows[ids[-1]].score * math.log2(10) / (len(rare) + 1) < 0.4  # 0.57 with the share, 0.29 without
