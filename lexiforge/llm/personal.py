@@ -4,7 +4,7 @@ All DataFrame functions. A text is cut by a kind's pattern and the lengths of th
 runs only over texts that hold its signs. Patterns are written without nested repetition that could overflow the matcher
 on very long texts: what the base definitions match greedily is matched possessively, and a run is tried once, from its start.
 
-Kinds: email, ip (parts up to 255), card (Luhn), phone (9 to 15 digits) are always reported; iban (mod 97) and ssn (three
+Kinds: email, ip (parts up to 255), card (Luhn), phone (9 to 15 digits) are always reported; iban (length by country, mod 97) and ssn (three
 number groups in valid ranges, with a word such as "social security" near) are added by this method. Null text is empty;
 rows are scanned one by one, so ties and repeats need no rule; an empty table gives no rows.
 """
@@ -34,12 +34,23 @@ class Kind:
     least: float = 0.0
 
 
+#: Characters of an account number by country; numbers of other countries are matched as far as they go.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+_IBAN = "|".join([
+    *(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()),
+    rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_LISTED})[0-9]{{2}}) ?[A-Z0-9]){{11,30}}",
+])
+
 KINDS = (
     Kind("email", r"@[A-Za-z0-9-]", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"mail|contact|write|reply", 0.8),
     Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"\bip\b|address|host|server|login", 0.5),
     Kind("card", r"[0-9](?:[ -]?[0-9]){12}", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", r"card|visa|master|credit|debit|pay", 0.8),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", r"phone|tel|call|mobile|fax|whatsapp", 0.6),
-    Kind("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"iban|account|bank|konto|compte|cuenta", 0.8),
+    Kind("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", r"iban|account|bank|konto|compte|cuenta", 0.8),
     Kind("ssn", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"\bssn\b|social security|tax", 0.4, 0.6),
 )
 BASE = 4  # the first so many kinds

@@ -117,3 +117,11 @@ def test_licences(spark):
 def test_no_crash_on_hard_rows(spark, hard, empty):
     for scan in (licences.scan_licences, secrets.scan_secrets, personal.scan_personal):
         assert scan(hard).count() == hard.count() and scan(empty).count() == 0
+
+
+def test_ibans_end_where_their_country_says(spark):
+    number = "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {number} BIC COBADEFFXXX", "DE89370400440532013000 2024", f"AB12 3456 7890 1234 {number} X"]
+    rows = {r.doc_id: r.spans for r in personal.scan_personal(frame(spark, texts)).collect()}
+    assert rows == {0: "iban:5:32", 1: "iban:0:22", 2: "iban:20:47"}
+    assert personal.masked(frame(spark, texts)).where("doc_id = 0").first().text == "IBAN <IBAN> BIC COBADEFFXXX"
