@@ -1,8 +1,10 @@
 """Secret scans: fixed forms of credentials, and sliding-window Shannon entropy over candidate strings.
 
 Candidates are runs of at least ``WINDOW`` characters of base64 and hexadecimal. A window slides over each, its entropy
-kept by incremental counts; windows above the class's threshold are joined to spans of kind ``entropy``. An allow-list
-suppresses such spans (identifiers, placeholders, words), never those of the fixed forms. Null text is empty; rows are
+kept by incremental counts; windows above the class's threshold are joined to spans of kind ``entropy``. The class is that
+of the candidate's characters. An allow-list leaves out candidates that are words or numbers as a whole, and windows that
+touch an identifier or a part (between signs) with a placeholder word; of a part above ``LONG`` characters, where such a word
+may stand by chance, only the word itself. It never suppresses spans of the fixed forms. Null text is empty; rows are
 scanned one by one, so repeats and ties need no rule; a text of any length is scanned whole, in linear time.
 """
 
@@ -22,8 +24,10 @@ from lexiforge.llm.shared import arrow_map
 from lexiforge.llm.words import as_strings, blocks, words
 
 WINDOW = 20
-#: Bits below which a window of each class is no secret: 20 random characters have about 3.3 and 4.1.
-MIN_BITS = {"hex": 2.9, "base64": 3.75}
+#: Bits below which a window of each class is no secret: 20 random characters have about 3.3 (hex) and 4.1 (base64).
+#: lower, upper: one case with digits; letters, digits: only those and signs.
+MIN_BITS = {"hex": 2.9, "base64": 3.75, "lower": 3.75, "upper": 3.75, "letters": 3.9, "digits": 3.1}
+LONG = 64
 KINDS = ("assign", "access", "hex", "entropy")
 ALLOW = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs
@@ -36,6 +40,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_PART = re.compile(r"[+/_=-]")
 _ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 
 _CODE = np.zeros(256, bool)
@@ -48,7 +53,7 @@ def entropy_windows(s: str, size: int = WINDOW) -> list[float]:
     """Shannon entropy in bits of each window, from counts that change by two characters a step."""
     if len(s) < size:
         return []
-    weigh = [0.0, *(c * math.log2(c) for c in range(1, size + 1))]
+    weigh = [0.0, *(c * math.log2(c) for c in range(1, size + 2))]
     counts: dict[str, int] = {}
     total = 0.0
     out = []
@@ -66,21 +71,39 @@ def entropy_windows(s: str, size: int = WINDOW) -> list[float]:
     return out
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
+def class_of(s: str) -> str:
+    if _ALL_HEX.fullmatch(s):
+        return "hex"
+    digit, lower, upper = (any(f(c) for c in s) for f in (str.isdigit, str.islower, str.isupper))
+    if not digit:
+        return "letters"
+    if not lower and not upper:
+        return "digits"
+    return "base64" if lower and upper else "lower" if lower else "upper"
+
+
+def _left_out(s: str, allow: tuple[re.Pattern, ...]) -> list[tuple[int, int]]:
+    """Places of a candidate that no window may touch."""
+    out = [(m.start(), m.end()) for m in allow[0].finditer(s)] if allow else []
+    for m in allow[1].finditer(s) if len(allow) > 1 else ():
+        near = s[max(m.start() - LONG, 0) : m.start()], s[m.end() : m.end() + LONG]
+        start, end = m.start() - len(_PART.split(near[0])[-1]), m.end() + len(_PART.split(near[1])[0])
+        out.append((start, end) if end - start <= LONG else (m.start(), m.end()))
+    return out
 
 
 def entropy_spans(text: str, allow: tuple[re.Pattern, ...], min_bits: dict[str, float]) -> Iterator[tuple[int, int]]:
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if any(a.fullmatch(s) or (i == 1 and a.search(s)) for i, a in enumerate(allow)):
-            continue
-        kind = "hex" if _ALL_HEX.fullmatch(s) else "base64"
-        if kind == "base64" and not _mixed(s):
+        if any(a.fullmatch(s) for a in allow):
             continue
+        least, closed = min_bits[class_of(s)], bytearray(len(s))
+        for a, b in _left_out(s, allow):
+            first = max(a - WINDOW + 1, 0)
+            closed[first:b] = b"\1" * (b - first)
         start = end = -1
         for i, bits in enumerate(entropy_windows(s)):
-            if bits < min_bits[kind]:
+            if bits < least or closed[i]:
                 continue
             if start >= 0 and i > end:
                 yield m.start() + start, m.start() + end
@@ -133,4 +156,4 @@ def _scan(allow: tuple[str, ...], min_bits: dict[str, float]):
 def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, min_bits: dict[str, float] | None = None) -> DataFrame:
     """Spans of each of docs (doc_id, text); positions count code points, ends are exclusive."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan(allow, min_bits or MIN_BITS), schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan(allow, MIN_BITS | (min_bits or {})), schema)

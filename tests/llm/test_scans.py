@@ -125,3 +125,13 @@ def test_ibans_end_where_their_country_says(spark):
     rows = {r.doc_id: r.spans for r in personal.scan_personal(frame(spark, texts)).collect()}
     assert rows == {0: "iban:5:32", 1: "iban:0:22", 2: "iban:20:47"}
     assert personal.masked(frame(spark, texts)).where("doc_id = 0").first().text == "IBAN <IBAN> BIC COBADEFFXXX"
+
+
+def test_entropy_of_every_class(spark):
+    r = random.Random(9)
+    keys = ["".join(r.choice(a) for _ in range(32)) for a in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(200)]
+    block = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400))
+    texts = [*keys, "src/tests/a7Fz9Qp2LmX4Tr8Vw1BnC3", block[:200] + "test" + block[200:], "unit/sample/placeholder-1"]
+    n = [x.n_entropy for x in sorted(secrets.scan_secrets(frame(spark, texts)).collect(), key=lambda x: x.doc_id)]
+    assert sum(map(bool, n[:200])) > 180 and sum(map(bool, n[200:400])) > 170
+    assert n[400] and n[401] and not n[402]
