@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm import mixing, nearcopies, packing, personal, quality
 from lexiforge.llm.queries import tokenizer_path
-from lexiforge.llm.shared import scratch_path
+from lexiforge.llm.shared import materialise, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are the smallest of their class; rows without an id can't be told apart and stay."""
-    classes = nearcopies.near_copies(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    kept = docs.join(classes, "doc_id", "left_anti")
-    once = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each class: that of the smallest id (none counts as the largest), then of the smallest hash of its text.
+
+    Rows are told apart by a written number, so ids may repeat or be missing; rows without near copies all stay.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = nearcopies.near_copies(numbered.select(F.col("_row").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id")
+    linked = materialise(classes.join(numbered.select("_row", "doc_id", F.xxhash64("text").alias("_th")), "_row"), "linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return numbered.join(linked.select("_row").join(first, "_row", "left_anti"), "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,3 +143,14 @@ def test_pipeline(spark, tmp_path):
     for name, stage in P.STAGES:
         empty = stage(spark, empty, data)
         assert empty.count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (None, c), (None, c), (None, c + " more"), (3, "other words " + b[:40]), (None, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, P.ngram_join(spark, docs, "").collect()), key=str)
+    left = [x for x in got if x[1] not in (c, c + " more")]
+    assert left == sorted([(1, a), (1, b), (3, "other words " + b[:40]), (None, None), (4, None)], key=str) and len(got) == len(left) + 1
