@@ -3,10 +3,11 @@
 Each text gets a vector of hashed word features projected to four dimensions; its Hilbert key orders the corpus.
 One range exchange by that key deals the texts, each task tokenises its range in curve order, lays the ids end to
 end and cuts every ``length`` ids. Only the last sequence of a range is shorter, so padding is at most one partial
-sequence a range. The range is split by (key, doc_id), so a large group of equal texts still spreads over tasks.
+sequence a range. Ranges split groups of one key by doc_id and a hash of the text, so a large group of equal texts still
+spreads over tasks.
 
-Null text is empty (its end id is packed); rows that share a doc_id are packed each; ties of the key go by doc_id,
-then text. An empty table gives no pieces. Extra columns are ignored.
+Null text is empty (its end id is packed); rows that share a doc_id are packed each; ties of the key go by doc_id, then the
+text's hash. A very long text is encoded in pieces. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import arrow_map
+from lexiforge.llm.shared import arrow_map, by_ranges, plan_bytes
 from lexiforge.llm.tokens import ENCODE_BYTES, encoder
 from lexiforge.llm.words import blocks, hashes, words
 
@@ -122,6 +123,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024, wit
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = arrow_map(texts, _keys, "doc_id long, text string, curve_key long")
-    ordered = keyed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "text").select("doc_id", "text", "curve_key")
+    ordered = by_ranges(keyed.withColumn("_h", F.xxhash64("text")), plan_bytes(docs), "curve_key", "doc_id", "_h").select("doc_id", "text", "curve_key")
     columns = ", ".join(f"{n} long" for n, _ in _PIECE) + (", ids array<int>" if with_ids else "")
     return arrow_map(ordered, _pack(tokenizer_path, length, with_ids), columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.session import materialise, scratch_path, ship
 
-__all__ = ["arrow_map", "join_rules", "materialise", "null_safe", "row_key", "scratch_path"]
+__all__ = ["arrow_map", "by_ranges", "join_rules", "materialise", "null_safe", "row_key", "scratch_path"]
 
 
 BATCH_ROWS = 1000  # of an Arrow batch of texts, where the session has Spark's default of 10,000
@@ -39,6 +40,22 @@ def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(tidy(f), schema)
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables below df as the optimizer knows them; None where it does not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 60 else None  # Spark's default for an unknown size is 2**63
+
+
+def by_ranges(df: DataFrame, size: int | None, *keys: str, range_bytes: int = 16 << 20) -> DataFrame:
+    """df in ranges of ``keys``, sorted within: one range for each ``range_bytes`` of ``size``, more on idle cores."""
+    if size is None:
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(math.ceil(size / range_bytes), min(cores, math.ceil(size / (1 << 20))), 1)
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Columns that tell rows apart when a doc_id occurs more than once with other texts."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]

@@ -5,13 +5,16 @@ Layout of a token folder: ``tokens/`` holds one file for each range of doc_id wi
 (Parquet 2 pages), row groups and pages have set sizes and pages carry indexes. ``index/`` holds one row a shard.
 A reader of metadata never touches the ids, a reader of some documents skips by page.
 
-Null text is empty; an empty text has the end id alone. Rows that share a doc_id are all kept, in order of text.
-An empty table gives an empty folder with the same schema. Extra columns are ignored.
+Ids are those of the tokenizers library for the whole text, special tokens written in it included. Null text is empty; an
+empty text has the end id alone. Rows that share a doc_id are all kept, in an order set by a hash of their text. A very
+long text is encoded in pieces. An empty table gives an empty folder with the same schema. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,127 +24,170 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import arrow_map
-from lexiforge.llm.words import Block, blocks, hashes, mix, words
+from lexiforge.llm.shared import arrow_map, by_ranges, plan_bytes
+from lexiforge.llm.words import _FIRST_BYTES, Block, blocks, eights, mix
 
 END_ID = 0
 ENCODE_BYTES = 1 << 19  # texts encoded at once
+SHORT = 16  # bytes of a part that are its key in the table
 
-NOT_BLANK = np.ones(256, bool)
-NOT_BLANK[32] = False
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_WIDE = np.zeros(256, bool)
-_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of white space beyond ASCII
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True  # before these a text may be cut
+_OPEN = np.zeros(256, bool)
+_OPEN[33:127] = True  # bytes that are surely no white space
+_CUT = re.compile(rb"(?<=[!-~])[\t\n\r ]")
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Byte-level BPE by the tokenizers library, remembering the ids of words.
+    """Byte-level BPE by the tokenizers library, remembering the ids of parts.
 
-    Its pre-tokenizer always begins a piece at a space that stands between two other characters, so a text
-    without other white space next to a space is the sum of its parts cut there. Other texts are encoded whole.
-    Words are looked up by their 64-bit hash in a direct-mapped table of fixed size, without a Python loop;
-    words that it lacks are encoded once a block, many in one call.
+    Where white space follows another character, a byte-level pre-tokenizer always begins a new piece, so a text is the
+    sum of its parts: white space with what follows it up to the next cut. Parts are looked up without a Python loop in a
+    direct-mapped table of fixed size whose keys are the parts' bytes themselves, longer ones in a dict; those not found
+    are encoded by the library, many in one call. A tokenizer of another build gets whole texts.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21, store: int = 1 << 23) -> None:
+    def __init__(self, path: str, slots: int = 1 << 20, store: int = 1 << 22, long_parts: int = 1 << 16) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        built = json.loads(self.tokenizer.to_str())
+        pre = built["pre_tokenizer"] or {}
+        plain = [t for t in built["added_tokens"] if not (t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]))]
+        self.cuts = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not built["normalizer"] and plain == built["added_tokens"]
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = piece.startswith("\u0120")  # how byte-level vocabularies write a space
-        self.keys, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.store = np.full(store, END_ID, np.uint16 if size <= 1 << 16 else np.uint32)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.slots, self.room, self.long_parts = slots, store, long_parts
+        self._forget()
+
+    def _forget(self) -> None:
+        self.low, self.high, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint8)
+        self.at, self.n = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.store = np.full(self.room, END_ID, self.kind)
         self.used = 1  # the end id stands at 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _keep(self, ids: np.ndarray) -> int:
-        """Appends to the store, which grows for a block and is emptied between blocks."""
+        """Appends to the store, which grows for a piece if it must and is emptied between pieces."""
         if self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store) // 2), self.store.dtype)])
+            self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store) // 2), self.kind)])
         at = self.used
         self.store[at : at + len(ids)] = ids
         self.used += len(ids)
         return at
 
-    def _learn(self, block: Block, starts: np.ndarray, ends: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the store the ids of these words stand, and how many. bare: no space comes before the word."""
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the store the ids of these parts stand, and how many."""
         at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        word = lambda i: block.data[starts[i] - (not bare[i]) : ends[i]].tobytes().decode()
-        alone = np.flatnonzero(bare).tolist()
-        after = np.flatnonzero(~bare)
+        # one space and no other: in a row of such parts an id that begins with a space begins a part
+        spaces = np.concatenate(([0], np.cumsum(data == 32)))
+        simple = (data[starts] == 32) & (spaces[ends] - spaces[starts] == 1)
+        alone = np.flatnonzero(~simple).tolist()
+        after = np.flatnonzero(simple)
         for lo in range(0, len(after), 1000):
             some = after[lo : lo + 1000]
-            sizes = ends[some] - starts[some] + 1
+            sizes = ends[some] - starts[some]
             edges = np.cumsum(sizes) - sizes
-            joined = block.data[np.arange(int(sizes.sum())) + np.repeat(starts[some] - 1 - edges, sizes)]
-            ids = np.array(self._encode([joined.tobytes().decode()])[0], self.store.dtype)
+            joined = data[np.arange(int(sizes.sum())) + np.repeat(starts[some] - edges, sizes)].tobytes().decode()
+            ids = np.array(self._encode([joined])[0], self.kind)
             first = np.flatnonzero(self.spaced[ids])
             if len(first) == len(some):
                 at[some] = self._keep(ids) + first
                 n[some] = np.diff(np.append(first, len(ids)))
-            else:
+            else:  # special tokens may do this
                 alone += some.tolist()
-        for i, ids in zip(alone, self._encode([word(i) for i in alone]), strict=True):
-            at[i], n[i] = self._keep(np.array(ids, self.store.dtype)), len(ids)
+        texts = [data[starts[i] : ends[i]].tobytes().decode() for i in alone]
+        for i, ids in zip(alone, self._encode(texts), strict=True):
+            at[i], n[i] = self._keep(np.array(ids, self.kind)), len(ids)
         return at, n
 
-    def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block's texts, each text's followed by the end id, and how many each text has."""
-        if self.used > (1 << 23) * 3 // 4:
-            self.keys[:], self.used = 0, 1
-            self.store = self.store[: 1 << 23]
-        w = words(block, NOT_BLANK)
-        row = w.row
-        odd = beside_blank(block)
-        h = hashes(block, w)
-        bare = w.starts == block.offsets[row]
-        h[bare] = mix(h[bare] + np.uint64(1))
-        slot = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
-        at, n = self.at[slot], self.n[slot]
-        new = np.flatnonzero((self.keys[slot] != h) & ~odd[row])
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the parts, and each text's first (one more at the end)."""
+        begins = np.zeros(len(data), bool)
+        if self.cuts:
+            begins[1:] = _BLANK[data[1:]] & _OPEN[data[:-1]]
+            wide = np.flatnonzero(_BLANK[data[1:]] & (data[:-1] >= 0x80)) + 1
+            begins[wide[~_white_before(data, wide)]] = True
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        return starts, np.searchsorted(starts, offsets)
+
+    def _encode_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's followed by the end id, and how many each text has."""
+        if self.used > self.room * 3 // 4 or len(self.long) > self.long_parts:
+            self._forget()
+        starts, first = self._parts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        size = ends - starts
+        short = np.flatnonzero(size <= SHORT)
+        eight = eights(data)
+        low = eight[starts[short]] & _FIRST_BYTES[np.minimum(size[short], 8)]
+        high = np.zeros(len(short), np.uint64)
+        more = np.flatnonzero(size[short] > 8)
+        high[more] = eight[starts[short[more]] + 8] & _FIRST_BYTES[size[short[more]] - 8]
+        slot = (mix(mix(low + size[short].astype(np.uint64)) ^ high) & np.uint64(self.slots - 1)).astype(np.int64)
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[short], n[short] = self.at[slot], self.n[slot]
+        new = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high) | (self.size[slot] != size[short]))
         if len(new):
-            keys, first, each = np.unique(h[new], return_index=True, return_inverse=True)
-            one = new[first]
-            new_at, new_n = self._learn(block, w.starts[one], w.ends[one], bare[one])
-            at[new], n[new] = new_at[each], new_n[each]
-            self.keys[slot[one]], self.at[slot[one]], self.n[slot[one]] = keys, new_at, new_n
-        n[odd[row]] = 0
-        at, n = np.insert(at, w.first[1:], 0), np.insert(n, w.first[1:], 1)
+            key = np.empty(len(new), [("low", "u8"), ("high", "u8"), ("size", "u1")])
+            key["low"], key["high"], key["size"] = low[new], high[new], size[short[new]]
+            order = np.lexsort((key["size"], key["high"], key["low"]))
+            differs = np.append(True, key[order][1:] != key[order][:-1])
+            one = new[order[differs]]
+            each = np.empty(len(new), np.int64)
+            each[order] = np.cumsum(differs) - 1
+            new_at, new_n = self._learn(data, starts[short[one]], ends[short[one]])
+            at[short[new]], n[short[new]] = new_at[each], new_n[each]
+            for table, values in ((self.low, low[one]), (self.high, high[one]), (self.size, size[short[one]]), (self.at, new_at), (self.n, new_n)):
+                table[slot[one]] = values  # of parts that share a slot the last one stays, in every table
+        unknown: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(size > SHORT).tolist():
+            part = data[starts[i] : ends[i]].tobytes()
+            known = self.long.get(part)
+            if known:
+                at[i], n[i] = known
+            else:
+                unknown.setdefault(part, []).append(i)
+        if unknown:
+            one = np.array([places[0] for places in unknown.values()])
+            for (part, places), a, m in zip(unknown.items(), *(x.tolist() for x in self._learn(data, starts[one], ends[one])), strict=True):
+                at[places], n[places] = a, m
+                if len(part) < 1 << 10:
+                    self.long[part] = a, m
+        at, n = np.insert(at, first[1:], 0), np.insert(n, first[1:], 1)
         total = np.concatenate(([0], np.cumsum(n)))
         flat = self.store[np.arange(total[-1]) + np.repeat(at - total[:-1], n)].astype(np.int32)
-        edges = total[w.first + np.arange(len(block) + 1)]
-        if odd.any():
-            parts = np.split(flat, edges[1:-1])
-            for i in np.flatnonzero(odd).tolist():
-                text = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode()
-                parts[i] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.int32)
-            flat, edges = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-        return flat, np.diff(edges)
-
-
-def beside_blank(block: Block) -> np.ndarray:
-    """Rows in which a space ends the text or stands beside white space, or that hold white space beyond ASCII."""
-    d, n = block.data, len(block.data)
-    out = np.zeros(len(block), bool)
-    if not n:
-        return out
-    blank = np.flatnonzero(d == 32)
-    row = np.searchsorted(block.offsets, blank, "right") - 1
-    last, first = blank + 1 == block.offsets[row + 1], blank == block.offsets[row]
-    out[row[last | _SPACE[d[np.minimum(blank + 1, n - 1)]] | (~first & _SPACE[d[blank - 1]])]] = True
-    wide = np.flatnonzero(_WIDE[d])
-    a, b, c = d[wide].astype(np.int32), d[np.minimum(wide + 1, n - 1)], d[np.minimum(wide + 2, n - 1)]
-    hit = (a == 0xC2) & np.isin(b, (0x85, 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | np.isin(c, (0xA8, 0xA9, 0xAF))) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
-    out[np.searchsorted(block.offsets, wide[hit], "right") - 1] = True
-    return out
+        return flat, np.diff(total[first + np.arange(len(offsets))])
+
+    def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts, each text's followed by the end id, and how many each text has."""
+        data = block.data
+        if len(block) > 1 or len(data) <= 2 * ENCODE_BYTES or not self.cuts:
+            return self._encode_piece(data, block.offsets)
+        view, parts, at = memoryview(data), [], 0
+        while at < len(data):
+            cut = _CUT.search(view, min(at + ENCODE_BYTES, len(data)))
+            to = cut.start() if cut else len(data)
+            parts.append(self._encode_piece(data[at:to], np.array([0, to - at]))[0][: None if to == len(data) else -1])
+            at = to
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+
+
+def _white_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character beyond ASCII that ends before these places is white space."""
+    a, b, c = (data[np.maximum(at - k, 0)] for k in (3, 2, 1))
+    two = (b == 0xC2) & ((c == 0x85) | (c == 0xA0))
+    three = (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E)) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+    return two | three | (a == 0xE2) & (b == 0x80) & ((c <= 0x8B) | np.isin(c, (0xA8, 0xA9, 0xAF)))
 
 
 def encoder(path: str) -> Encoder:
@@ -174,7 +220,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, row_gro
     rows of a page are bounded by the arguments.
     """
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sort("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # the hash keeps texts out of the sample of keys, and lets a range end within the rows of one doc_id
+    ordered = by_ranges(texts.withColumn("_h", F.xxhash64("text")), plan_bytes(docs), "doc_id", "_h").select("doc_id", "text")
     coded = arrow_map(ordered, _encode_shard(tokenizer_path), "shard int, doc_id long, local_start long, n_tokens long, ids array<int>")
     options = {
         "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,

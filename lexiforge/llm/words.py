@@ -1,11 +1,13 @@
 """Vectorised kernels over Arrow string columns: word spans and 64-bit word hashes without a Python loop per word.
 
-A hash is a polynomial over the word's bytes modulo 2**64, taken from one prefix sum over the block, then mixed.
-Two different words share a hash with probability about 2**-64; operators that count words by hash say so.
+A word's hash takes in eight bytes at a time, each through a bijective mixer; of a word above LONG_WORD bytes all the rest
+goes in as a BLAKE2 digest. Two different words share a hash with probability about 2**-64; operators that count words by
+hash say so, and those that must be exact compare bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,30 +15,17 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19  # texts handled at once; a longer text is a block of its own
+LONG_WORD = 256
 
-_rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: A word of the quality, mixing and scoring operators is a run of bytes other than space and \t \n \v \f \r.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -117,15 +106,29 @@ def words(block: Block, inside: np.ndarray = NOT_SPACE) -> Words:
     return Words(starts, ends, np.searchsorted(starts, block.offsets))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def hashes(block: Block, w: Words, lower: bool = False) -> np.ndarray:
     """uint64 for each word; lower: A-Z count as a-z."""
-    n = len(block.data)
-    power, inverse = _grow(n + 1)
-    prefix = np.empty(n + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[block.data] * power[:n], out=prefix[1:])
-    h = (prefix[w.ends] - prefix[w.starts]) * inverse[w.starts]
-    return mix(h ^ ((w.ends - w.starts).astype(np.uint64) << np.uint64(40)))
+    data = _LOWER[block.data] if lower else block.data
+    size = w.ends - w.starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, some, eight = 0, np.arange(len(size)), eights(data)
+    while len(some):
+        left = size[some] - at
+        out[some] = mix(out[some] ^ (eight[w.starts[some] + at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        at += 8
+        some = some[left > 8]
+        if at == LONG_WORD:
+            for i in some.tolist():
+                rest = hashlib.blake2b(data[w.starts[i] + at : w.ends[i]].tobytes(), digest_size=8).digest()
+                out[i : i + 1] = mix(out[i : i + 1] ^ np.frombuffer(rest, "<u8"))
+            break
+    return out
 
 
 def windows(h: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,18 +1,24 @@
 """op1 and op6: exact round trips against the tokenizer itself; the curve's properties."""
 
+import glob
+import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiforge.llm import packing, tokens
+from lexiforge.llm.words import blocks
 
 
 def ids_of(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -23,7 +29,8 @@ def crc(ids):
 def test_token_files(spark, hard, tokenizer_path, tmp_path):
     folder = f"{tmp_path}/tokens"
     tokens.write_token_files(hard, folder, tokenizer_path)
-    rows = sorted(((r.doc_id, r.text or "") for r in hard.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    hashed = hard.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = [(r.doc_id, r.text) for r in sorted(hashed.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
     want, at = [], 0
     for i, text in rows:
         ids = ids_of(tokenizer_path, text)
@@ -42,6 +49,70 @@ def test_token_files_of_nothing(spark, empty, tokenizer_path, tmp_path):
     assert tokens.token_digests(spark, f"{tmp_path}/t").count() == 0
 
 
+def morse(a, b):
+    """Two long words that agree in every sum of their bytes by powers modulo 2**64."""
+    w = a
+    for _ in range(10):
+        w += w.translate(str.maketrans(a + b, b + a))
+    return w
+
+
+def test_encoder_is_exact(tokenizer_path):
+    coder, t = tokens.Encoder(tokenizer_path, slots=64, store=512, long_parts=8), Tokenizer.from_file(tokenizer_path)
+    r = random.Random(1)
+    letters = [*" \n\t  aab'st\u00e9 \u3000 \u2002\r\x0b\x1c1.!\u00a0\x00", "<|endoftext|>", " there", "ing and"]
+    texts = [morse("a", "b"), morse("b", "a"), "a <|endoftext|> b", *("".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000))]
+    for block in blocks(pa.array(texts), 3000):
+        flat, n = coder.encode_block(block)
+        for i, ids in enumerate(np.split(flat, np.cumsum(n)[:-1]), block.first):
+            assert ids.tolist() == [*t.encode(texts[i], add_special_tokens=False).ids, 0]
+
+
+def test_a_very_long_text_is_encoded_in_pieces(tokenizer_path, monkeypatch):
+    monkeypatch.setattr(tokens, "ENCODE_BYTES", 1000)
+    text = " ".join(f"w{i}  x\n\n{i} \u00e9\u3000 ok <|endoftext|>" for i in range(2000))
+    block = next(blocks(pa.array([text])))
+    flat, n = tokens.Encoder(tokenizer_path).encode_block(block)
+    assert flat.tolist() == ids_of(tokenizer_path, text) and n.tolist() == [len(flat)]
+
+
+def test_memory_of_a_very_long_text(tokenizer_path):
+    code = f"""
+import resource, numpy as np, pyarrow as pa
+from lexiforge.llm import tokens, words
+coder = tokens.Encoder({tokenizer_path!r})
+text = "some words of a long text and more\\n" * (50_000_000 // 35)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+flat, n = coder.encode_block(next(words.blocks(pa.array([text]))))
+assert n[0] == len(flat) > 10_000_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout)
+    assert grown < 300  # MB: the ids, twice, and the text
+
+
+def test_layout_of_token_files(spark, tokenizer_path, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.repeat(F.concat(F.lit(" number "), F.col("id").cast("string")), 40)).alias("text"))
+    tokens.write_token_files(docs.coalesce(1), f"{tmp_path}/t", tokenizer_path, row_group_bytes=1 << 16, page_bytes=1 << 12, page_rows=100)
+    groups = 0
+    for path in glob.glob(f"{tmp_path}/t/tokens/*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                assert column.has_offset_index and (column.has_column_index or column.path_in_schema.startswith("ids"))
+                if column.path_in_schema.startswith("ids"):
+                    assert "RLE_DICTIONARY" in column.encodings
+                elif column.path_in_schema != "shard":
+                    assert "DELTA_BINARY_PACKED" in column.encodings
+    assert groups > 1
+    one = spark.read.parquet(f"{tmp_path}/t/tokens").where("doc_id = 1234").select("doc_id", "n_tokens")
+    assert [r.doc_id for r in one.collect()] == [1234]
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numOutputRows").value() <= 200  # the other pages were skipped
+
+
 def test_packing(spark, hard, empty, tokenizer_path):
     rows = packing.pack_documents(hard, tokenizer_path, with_ids=True).collect()
     sequences = defaultdict(list)
