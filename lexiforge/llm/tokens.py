@@ -15,16 +15,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import arrow_map, by_ranges, plan_bytes
+from lexiforge.llm.shared import arrow_map, by_ranges, materialise, plan_bytes
 from lexiforge.llm.words import _FIRST_BYTES, Block, blocks, eights, mix
 
 END_ID = 0
@@ -196,19 +200,66 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encode_shard(path: str):
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+TOKENS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_TOKENS = "shard int, doc_id long, local_start long, n_tokens long, ids array<int>"
+_SHARD = pa.schema([("shard", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
+
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's address, and the folder's path there."""
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"))
+
+
+class ShardWriter:
+    """One token file. It gets its name when it is whole, so an attempt that is lost leaves nothing that a reader sees."""
+
+    def __init__(self, folder: str, shard: int, row_group_bytes: int, page_bytes: int, page_rows: int) -> None:
+        self.files, root = _opened(folder)
+        self.temporary, self.name = f"{root}/tokens/_{shard:07d}-{uuid.uuid4().hex}", f"{root}/tokens/shard-{shard:07d}.parquet"
+        self.writer = pq.ParquetWriter(
+            self.temporary, TOKENS, filesystem=self.files, version="2.6", data_page_version="2.0", compression="zstd", write_page_index=True, data_page_size=page_bytes, max_rows_per_page=page_rows, write_batch_size=page_rows,
+            use_dictionary=["ids.list.element"], column_encoding={c: "DELTA_BINARY_PACKED" for c in ("shard", "doc_id", "local_start", "n_tokens")},
+        )
+        self.bytes, self.held, self.held_bytes = row_group_bytes, [], 0
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        self.held.append(batch)
+        self.held_bytes += batch.nbytes
+        if self.held_bytes >= self.bytes:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            rows = pa.Table.from_batches(self.held)
+            self.writer.write_table(rows, row_group_size=max(1, rows.num_rows))
+            self.held, self.held_bytes = [], 0
+
+    def close(self) -> None:
+        self._flush()
+        self.writer.close()
+        self.files.move(self.temporary, self.name)
+
+
+def _write_shard(path: str, folder: str, *bounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, start = encoder(path), TaskContext.get().partitionId(), 0
+        coder, shard, start, documents, docs = encoder(path), TaskContext.get().partitionId(), 0, 0, []
+        writer = None
         for batch in batches:
             ids = batch.column(0)
             for block in blocks(batch.column(1), ENCODE_BYTES):
+                writer = writer or ShardWriter(folder, shard, *bounds)
                 flat, n = coder.encode_block(block)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), ids.slice(block.first, len(n)), pa.array(start + ends - n), pa.array(n), lists], schema=schema)
+                own = ids.slice(block.first, len(n))
+                writer.write(pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), own, pa.array(start + ends - n), pa.array(n), lists], schema=TOKENS))
+                docs += [x for x in (pc.min(own).as_py(), pc.max(own).as_py()) if x is not None]
+                docs = [min(docs), max(docs)] if docs else []
                 start += int(ends[-1])
+                documents += len(n)
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, docs[0] if docs else None, docs[-1] if docs else None, documents, start), _SHARD, strict=True)], schema=_SHARD)
 
     return run
 
@@ -216,28 +267,26 @@ def _encode_shard(path: str):
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 500) -> None:
     """Encodes docs (doc_id, text) and writes a token folder in ascending doc_id order.
 
-    One range exchange of the texts; each task encodes its range and writes one file. Row groups, data pages and the
-    rows of a page are bounded by the arguments.
+    One range exchange of the texts; each task encodes its range and writes one file, ids never pass through the JVM. Row
+    groups, data pages and the rows of a page are bounded by the arguments. folder: an address that pyarrow opens on
+    every executor (file, hdfs, s3, gs).
     """
     spark = docs.sparkSession
+    files, root = _opened(folder)
+    files.create_dir(f"{root}/tokens")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the hash keeps texts out of the sample of keys, and lets a range end within the rows of one doc_id
     ordered = by_ranges(texts.withColumn("_h", F.xxhash64("text")), plan_bytes(docs), "doc_id", "_h").select("doc_id", "text")
-    coded = arrow_map(ordered, _encode_shard(tokenizer_path), "shard int, doc_id long, local_start long, n_tokens long, ids array<int>")
-    options = {
-        "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
-        "parquet.enable.dictionary#ids.list.element": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#local_start": "false", "parquet.enable.dictionary#n_tokens": "false",
-    }
-    coded.write.options(**{k: str(v) for k, v in options.items()}).parquet(f"{folder}/tokens")
-    tokens = spark.read.parquet(f"{folder}/tokens")
-    totals = tokens.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    schema = "shard int, first_doc long, last_doc long, documents long, tokens long"
+    written = arrow_map(ordered, _write_shard(tokenizer_path, folder, row_group_bytes, page_bytes, page_rows), schema)
+    totals = materialise(written, "shards")  # one row a file
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).write.parquet(f"{folder}/index")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of a token folder; columns that are not asked for are not read."""
-    tokens, index = spark.read.parquet(f"{folder}/tokens"), spark.read.parquet(f"{folder}/index").select("shard", F.col("start").alias("_base"))
+    tokens, index = spark.read.schema(_TOKENS).parquet(f"{folder}/tokens"), spark.read.parquet(f"{folder}/index").select("shard", F.col("start").alias("_base"))
     return tokens.join(index, "shard").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
@@ -247,24 +296,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = lists.offsets.to_numpy()
         data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4", copy=False)).cast("B")
         crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], ["shard", "doc_id", "local_start", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 as read back from the files; the ids stay in the tasks that read them."""
-    tokens = spark.read.parquet(f"{folder}/tokens").select("shard", "doc_id", "local_start", "ids")
+    tokens = spark.read.schema(_TOKENS).parquet(f"{folder}/tokens").select("shard", "doc_id", "local_start", "ids")
     index = spark.read.parquet(f"{folder}/index").select("shard", F.col("start").alias("_base"))
     schema = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
-    digests = arrow_map(tokens, _digest_with_count, schema)
+    digests = arrow_map(tokens, _digest, schema)
     return digests.join(index, "shard").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def _digest_with_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def kept(seen: list):
-        for batch in batches:
-            seen.append(pa.array(np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64)))
-            yield batch
-
-    seen: list = []
-    for out in _digest(kept(seen)):
-        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(2), seen.pop(), out.column(3)], ["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
