@@ -1,25 +1,31 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A text is the set of its five-word shingles (A-Z lower-cased; a shorter text is one shingle of all its words). Texts with
-the same set form a class and go on as one representative. A signature of TREES x MAX_DEPTH minimum hashes gives each
-representative a path in every tree; the forest is a set of prefix tries, kept as sorted runs of equal prefixes. The
-prefix is shortened from MAX_DEPTH until a pair at the threshold meets in some tree with the target recall; every pair of
-a run at that depth is then a candidate, whatever the run's size: a long run is cut into chunks and each pair of chunks
-becomes a cell of its own, so no task holds more than two chunks.
+the same set form a class and go on as one representative. Its signature is a path of LEVELS minimum hashes, a byte each,
+in every one of TREES prefix tries; two paths share a prefix of d levels with the probability s^d of their similarity s.
 
-Cells compare sketches of the signatures and keep a spanning forest of the pairs that may reach the threshold (six
-standard deviations below it), never the pairs themselves. Their components bring texts together once more, in cells of
-two chunks again, where intersections of the shingle sets are counted exactly by blocks of a sparse product. A cell
-returns for each text how many documents it links and one link to a smaller member; pairs are not expanded.
+Prefixes start at full length and are shortened as far as it takes. A prefix of ``shallow`` levels with few texts is not
+looked at further: its node is a cell. Where more texts tie, each of them asks for the shortest prefixes whose nodes stay
+small, allowing ever larger nodes until a pair at the threshold meets in some tree with the target recall; if nothing else
+reaches it, all trees are shortened to ``enough_depth``, where it holds for certain. A node that one of its texts asks for
+is a cell for all of them, so a text has one cell in each tree, and the recall holds for every text.
+
+A cell's pairs that have no earlier cell in common, and whose signatures and sizes leave the threshold within reach (six
+standard deviations), are verified exactly on their shingle sets. So each pair is looked at in full once. Cells of the
+same texts in several trees are one cell. A large cell is cut into chunks, each pair of chunks being a cell of its own;
+sets are verified in parts of bounded size. A cell returns for each text how many documents it links and one link to a
+smaller member; pairs are never expanded.
 
 Results: class_id, the smallest doc_id that verified links reach; copy_of, the representative of an equal set; n_links, the
 documents whose similarity is at least the threshold (copies of the same set included). Null and empty texts have no
 shingles: they are in a class of their own, with no links. Each row counts by itself, also if it shares a doc_id with
-others or has none (then class_id is null only if no linked row has one). An empty table gives no rows.
+others or has none (then class_id is null only if no linked row has one). An empty table gives no rows. Texts are whole,
+whatever their length. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +34,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.graph import components
-from lexiforge.llm.shared import arrow_map, materialise
+from lexiforge.llm.shared import arrow_map, materialise, salted_join
 from lexiforge.llm.words import Block, blocks, hashes, mix, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.99999
-MAYBE = 0.6  # of the sketch's positions; a pair at 0.8 falls below it with probability about 1e-9
-CHUNK = 512
+TREES, LEVELS, TARGET_RECALL = 32, 8, 0.99999
+SHALLOW = 4  # levels of the shortest prefix
+SMALL = 8  # texts of a node that is a cell at once
+CHUNK = 512  # texts of a chunk
+PART_BYTES = 32 << 20  # of the sets verified together
+NO_CELL = LEVELS + 1
 
 _rng = np.random.default_rng(77)
+_MULTIPLY = (_rng.integers(1, 2**31, TREES * LEVELS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, TREES * LEVELS, dtype=np.uint32)
 
 
-def depth_for(similarity: float, trees: int = TREES, deepest: int = MAX_DEPTH, recall: float = TARGET_RECALL) -> int:
-    """The longest prefix at which a pair of that similarity shares a path in some tree with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def missed(similarity: float, depth: np.ndarray | float) -> np.ndarray | float:
+    """Logarithm of the probability that a pair does not share a prefix of that depth in one tree."""
+    return np.log1p(-(min(similarity, 1 - 1e-9) ** depth))
 
 
-DEPTH = depth_for(SIMILARITY)
-_MULTIPLY = (_rng.integers(1, 2**31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
+def enough_depth(similarity: float, recall: float = TARGET_RECALL) -> int:
+    """The longest prefix at which a pair of that similarity meets in one of the trees with the target recall."""
+    depth = LEVELS
+    while depth > 1 and TREES * missed(similarity, depth) > math.log(1 - recall):
+        depth -= 1
+    return depth
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -71,15 +82,14 @@ def shingle_sets(block: Block, k: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minimum hashes, uint32."""
+    """TREES * LEVELS minimum hashes, a byte of each."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
+    out = np.full(TREES * LEVELS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 256):
         np.minimum(out, (x[None, at : at + 256] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=out)
-    return out
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
-_SIGNED = "doc_id long, rep long, paths binary, sketch binary"
 NO_SHINGLES = 0
 
 
@@ -95,25 +105,94 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "rep", "paths", "sketch"]
+    names = ["doc_id", "rep", "size", "signature"]
     for batch in batches:
         for block in blocks(batch.column(1)):
             n = len(block)
-            keys, paths, sketches = [NO_SHINGLES] * n, [b""] * n, [b""] * n
+            keys, sizes, signatures = [NO_SHINGLES] * n, [0] * n, [b""] * n
             for i, s in enumerate(shingle_sets(block)):
                 if len(s):
-                    keys[i], sig = set_key(s), signature(s)
-                    path = np.arange(TREES, dtype=np.uint64)
-                    for d in range(DEPTH):
-                        path = mix(path * np.uint64(0xD6E8FEB86659FD93) + sig[d::DEPTH])
-                    paths[i], sketches[i] = path.tobytes(), (sig ^ (sig >> np.uint32(11))).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(keys, pa.int64()), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())], names)
+                    keys[i], sizes[i], signatures[i] = set_key(s), len(s), signature(s).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], names)
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        path = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(path)], ["rep", "path"])
+def paths_of(signatures: np.ndarray) -> np.ndarray:
+    """Paths (rows by trees) of signatures (rows by bytes): the first level is the highest byte."""
+    return np.ascontiguousarray(signatures).view(">u8").astype(np.uint64)
+
+
+def _spread(shallow: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(rep, root, path) for each tree; root: the tree and the shortest prefix."""
+        for batch in batches:
+            path = paths_of(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, TREES * LEVELS))
+            root = (path >> np.uint64(8 * (LEVELS - shallow))) | (np.arange(TREES, dtype=np.uint64) << np.uint64(8 * shallow))[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(root.ravel().view(np.int64)), pa.array(path.ravel().view(np.int64))], ["rep", "root", "path"])
+
+    return run
+
+
+def asked_depths(sizes: np.ndarray, shallow: int, similarity: float, recall: float = TARGET_RECALL) -> np.ndarray:
+    """How far each crowded tree's prefix is shortened for one text.
+
+    sizes: crowded trees by the depths from ``shallow`` to LEVELS, the texts of the node there. Other trees are at ``shallow``.
+    """
+    goal = math.log(1 - recall) - (TREES - len(sizes)) * missed(similarity, shallow)
+    for allowed in (SMALL, 8 * SMALL, 64 * SMALL):
+        fits = sizes <= allowed
+        depth = np.where(fits.any(axis=1), shallow + fits.argmax(axis=1), LEVELS)
+        if missed(similarity, depth).sum() <= goal:
+            return depth
+    return np.full(len(sizes), max(shallow, enough_depth(similarity, recall)))
+
+
+def _ask(shallow: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(place, prefix) of the nodes that texts ask for. Columns: rep, nodes (place, prefix, n)."""
+        for batch in batches:
+            lists, nodes = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            place, prefix, n = (nodes.field(i).to_numpy() for i in range(3))
+            out = []
+            for a, b in zip(lists[:-1].tolist(), lists[1:].tolist(), strict=True):
+                trees, row = np.unique(place[a:b] // 16, return_inverse=True)
+                sizes = np.ones((len(trees), LEVELS - shallow + 1), np.int64)
+                sizes[row, place[a:b] % 16 - shallow] = n[a:b]
+                out.append(a + np.flatnonzero(place[a:b] % 16 == asked_depths(sizes, shallow, similarity)[row]))
+            found = np.concatenate([np.zeros(0, np.int64), *out])
+            found = found[n[found] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(place[found]), pa.array(prefix[found])], ["place", "prefix"])
+
+    return run
+
+
+def forest_cells(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(place, prefix, rep, texts) of all cells with two texts or more, and rep, depths of texts in crowded trees.
+
+    place: the tree times 16 plus the prefix's depth; depths: the places of the text's cells in crowded trees.
+    """
+    shallow = min(SHALLOW, enough_depth(similarity))
+    tries = arrow_map(classes.select("rep", "signature"), _spread(shallow), "rep long, root long, path long")
+    tied = materialise(tries.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "ties")
+    inside = materialise(salted_join(tries, tied, ["root"], salts=4), "tied")
+    tree = F.shiftright("root", 8 * shallow).cast("int")
+    near = inside.where(F.col("n") <= SMALL).select((tree * 16 + shallow).alias("place"), F.shiftrightunsigned("path", 8 * (LEVELS - shallow)).alias("prefix"), "rep")
+    steps = F.explode(F.array(*[F.struct((tree * 16 + d).alias("place"), F.shiftrightunsigned("path", 8 * (LEVELS - d)).alias("prefix")) for d in range(shallow, LEVELS + 1)]))
+    levels = inside.where(F.col("n") > SMALL).select("rep", steps.alias("_s")).select("rep", "_s.*")
+    sizes = materialise(levels.groupBy("place", "prefix").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    known = salted_join(levels, sizes, ["place", "prefix"])
+    nodes = known.groupBy("rep").agg(F.collect_list(F.struct("place", "prefix", "n")).alias("nodes"))  # at most five a tree
+    asked = materialise(arrow_map(nodes, _ask(shallow, similarity), "place int, prefix long").distinct(), "asked")
+    held = salted_join(levels, asked, ["place", "prefix"])
+    shortest = materialise(held.groupBy("rep", (F.col("place") / 16).cast("int").alias("tree")).agg(F.min(F.struct("place", "prefix")).alias("_m")).select("rep", "_m.*"), "shortest")
+    crowded = levels.select("rep", (F.col("place") / 16).cast("int").alias("tree")).distinct()
+    depths = crowded.join(shortest.select("rep", (F.col("place") / 16).cast("int").alias("tree"), "place"), ["rep", "tree"], "left")
+    depths = depths.groupBy("rep").agg(F.collect_list(F.coalesce("place", F.col("tree") * 16 + NO_CELL)).alias("depths"))
+    cells = near.unionByName(shortest.select("place", "prefix", "rep"))
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    known = cells.groupBy("place", "prefix").agg(F.count("*").alias("texts"), *marks).where("texts > 1")
+    first = known.groupBy("texts", "mark1", "mark2").agg(F.min(F.struct("place", "prefix")).alias("_m")).select("texts", "_m.*")
+    first = materialise(first, "cells")
+    return salted_join(cells, first, ["place", "prefix"]), depths
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -138,71 +217,126 @@ def _groups(table: pa.Table, n_keys: int) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of a cell's likely pairs. Columns: path, cell, rep, sketch."""
-    for table in runs(batches, 2):
-        rep = table.column("rep").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        edges = _groups(table, 2)
-        sizes = np.diff(edges)
-        least = MAYBE * sketch.shape[1]
-        out_a, out_b = [], []
-        small = np.repeat(sizes <= 8, sizes)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        for step in range(1, 8):
-            i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step])) if step < len(rep) else np.zeros(0, int)
-            for lo in range(0, len(i), 20_000):
-                p = i[lo : lo + 20_000]
-                hit = p[(sketch[p] == sketch[p + step]).sum(axis=1) >= least]
-                out_a.append(rep[hit])
-                out_b.append(rep[hit + step])
-        for g in np.flatnonzero(sizes > 8).tolist():
-            own, ids = sketch[edges[g] : edges[g + 1]], rep[edges[g] : edges[g + 1]]
-            rest, queue = np.arange(1, len(ids)), [0]
-            while len(rest):
-                at = queue.pop() if queue else rest[0]
-                rest = rest[rest != at]
-                near = (own[rest] == own[at]).sum(axis=1) >= least
-                out_a.append(np.full(int(near.sum()), ids[at]))
-                out_b.append(ids[rest[near]])
-                queue += rest[near].tolist()
-                rest = rest[~near]
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-
-def in_cells(members: DataFrame, key: str, sizes: DataFrame, chunk: int) -> DataFrame:
-    """members with chunk and cell: each pair of a key's chunks is a cell, and so is each chunk alone.
-
-    A key of up to ``chunk`` members has one cell. ``sizes``: key, members.
-    """
-    sized = members.join(sizes, key).withColumn("_chunks", F.ceil(F.col("members") / chunk).cast("int"))
+def in_chunks(cells: DataFrame, chunk: int) -> DataFrame:
+    """cells with chunk and pair: each pair of a cell's chunks, and each chunk alone. A cell of up to ``chunk`` texts has one."""
+    sized = cells.withColumn("_chunks", F.ceil(F.col("texts") / chunk).cast("int"))
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("_chunks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
-    spread = sized.select("*", others)
-    cell = F.least("chunk", "_other").cast("long") * F.lit(1 << 31) + F.greatest("chunk", "_other")
-    return spread.withColumn("cell", cell).drop("_chunks", "_other", "members")
+    spread = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other"))
+    pair = F.least("chunk", "_other").cast("long") * F.lit(1 << 31) + F.greatest("chunk", "_other")
+    return spread.withColumn("pair", pair).drop("_chunks", "_other", "texts")
+
+
+def _cell_keys(signatures: np.ndarray, depths: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """A number for the cell of each text (row) in each tree; texts share it if they share the cell."""
+    shown = np.minimum(depths, LEVELS).astype(np.uint64)
+    prefix = paths_of(signatures) >> (np.uint64(8) * (np.uint64(LEVELS) - shown))
+    alone = mix(rep.view(np.uint64))[:, None] ^ np.uint64(0x5851F42D4C957F2D)
+    return mix(np.where(depths > LEVELS, alone, prefix) ^ (depths.astype(np.uint64) << np.uint64(57)))
+
+
+def _meet(shallow: int, similarity: float):
+    least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / (TREES * LEVELS))
+
+    def near(i: np.ndarray, j: np.ndarray, signature: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of these pairs the ones that may reach the similarity."""
+        fits = np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+        out = [fits[:0]]
+        for lo in range(0, len(fits), 20_000):
+            p = fits[lo : lo + 20_000]
+            out.append(p[(signature[i[p]] == signature[j[p]]).sum(axis=1) >= least * TREES * LEVELS])
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(place, prefix, pair, part, rep, partners): cells with pairs to verify, cut to parts of bounded size.
+
+        partners: bits of the part's texts in order of rep. Columns: place, prefix, pair, rep, chunk, size, signature, depths.
+        """
+        names = ["place", "prefix", "pair", "part", "rep", "partners"]
+        for table in runs(batches, 3):
+            edges = _groups(table, 3)
+            place, prefix, pair, rep, chunk, size = (table.column(c).to_numpy() for c in ("place", "prefix", "pair", "rep", "chunk", "size"))
+            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(rep), -1)
+            depths = np.full((len(rep), TREES), shallow, np.int64)
+            lists = table.column("depths").combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            other = lists.flatten().to_numpy()
+            depths[np.repeat(np.arange(len(rep)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)), other // 16] = other % 16
+            keys, tree = _cell_keys(signature, depths, rep), place // 16
+            crossing = (pair >> 31) != (pair & 0x7FFFFFFF)
+            counts = np.diff(edges)
+            group = np.repeat(np.arange(len(counts)), counts)
+            little = np.repeat(counts <= SMALL, counts)
+            ours, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for step in range(1, min(SMALL, len(rep))):
+                i = np.flatnonzero(little[:-step] & (group[step:] == group[:-step]))
+                i = i[~crossing[i] | (chunk[i] != chunk[i + step])]
+                met = (keys[i] == keys[i + step]) & (np.arange(TREES)[None, :] < tree[i][:, None])
+                i = i[~met.any(axis=1)]
+                i = i[near(i, i + step, signature, size)]
+                ours.append(i)
+                theirs.append(i + step)
+            for g in np.flatnonzero(counts > SMALL).tolist():
+                for i in range(edges[g], edges[g + 1] - 1):
+                    j = np.arange(i + 1, edges[g + 1])
+                    if crossing[i]:
+                        j = j[chunk[j] != chunk[i]]
+                    for t in range(tree[i]):
+                        j = j[keys[j, t] != keys[i, t]]
+                        if not len(j):
+                            break
+                    j = j[near(np.full(len(j), i), j, signature, size)]
+                    ours.append(np.full(len(j), i))
+                    theirs.append(j)
+            ours, theirs = np.concatenate(ours), np.concatenate(theirs)
+            order = np.argsort(group[ours], kind="stable")
+            ours, theirs = ours[order], theirs[order]
+            cuts = np.flatnonzero(np.append(True, group[ours][1:] != group[ours][:-1])[: len(ours)])
+            rows: list[list] = [[] for _ in names]
+            for lo, hi in zip(cuts.tolist(), np.append(cuts, len(ours))[1:].tolist(), strict=True):
+                for part, (members, bits) in enumerate(parts_of(ours[lo:hi], theirs[lo:hi], size)):
+                    m = len(members)
+                    for column, v in zip(rows, (place[members], prefix[members], pair[members], np.full(m, part), rep[members], [b.tobytes() for b in bits]), strict=True):
+                        column.extend(v)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
+
+    return run
+
+
+def parts_of(i: np.ndarray, j: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of each part in ascending order, and bits that say which of them each one is to be compared with.
+
+    The texts of the pairs (i, j) are cut to runs of bounded size; a part holds the pairs between two runs.
+    """
+    members = np.unique(np.concatenate([i, j]))
+    run = np.cumsum(size[members] * 8) // PART_BYTES
+    a, b = run[np.searchsorted(members, i)], run[np.searchsorted(members, j)]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
+        some = (a == x) & (b == y)
+        own = np.unique(np.concatenate([i[some], j[some]]))
+        p, q = np.searchsorted(own, i[some]), np.searchsorted(own, j[some])
+        mask = np.zeros((len(own), len(own)), bool)
+        mask[p, q] = mask[q, p] = True
+        yield own, np.packbits(mask, axis=1)
 
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rep, root, links) of each member of a cell that has links. Columns: component, cell, rep, chunk, weight, shingles."""
-        for table in runs(batches, 2):
-            edges = _groups(table, 2)
-            rep, chunk, weight, cells = (table.column(c).to_numpy() for c in ("rep", "chunk", "weight", "cell"))
-            sets = table.column("shingles")
+        """(rep, root, links) of each member of a part that has links. Columns: place, prefix, pair, part, rep, partners, weight, shingles."""
+        for table in runs(batches, 4):
+            edges = _groups(table, 4)
+            rep, weight = (table.column(c).to_numpy() for c in ("rep", "weight"))
+            sets, partners = table.column("shingles"), table.column("partners")
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
+                n = hi - lo
                 own = [np.frombuffer(sets[i].as_py(), np.uint64) for i in range(lo, hi)]
-                linked = linked_pairs(own, similarity)
-                if cells[lo] >> 31 != cells[lo] & 0x7FFFFFFF:  # two chunks: pairs within one of them belong to its own cell
-                    linked &= chunk[lo:hi, None] != chunk[None, lo:hi]
+                bits = np.frombuffer(b"".join(partners[i].as_py() for i in range(lo, hi)), np.uint8).reshape(n, -1)
+                linked = linked_pairs(own, similarity) & np.unpackbits(bits, axis=1, count=n).astype(bool)
                 links = linked @ weight[lo:hi]
-                root = roots(linked, rep[lo:hi])
                 some = links > 0
                 if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi][some]), pa.array(root[some]), pa.array(links[some])], ["rep", "root", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi][some]), pa.array(roots(linked, rep[lo:hi])[some]), pa.array(links[some])], ["rep", "root", "links"])
 
     return run
 
@@ -250,34 +384,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, copy_of, n_links for each row of docs (doc_id, text); see the module for what they mean."""
-    if similarity < SIMILARITY:
-        raise ValueError(f"the forest is laid out for a similarity of {SIMILARITY} or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(arrow_map(texts, _sign, _SIGNED), "signed")
-    classes = signed.where(F.col("rep") != NO_SHINGLES).groupBy("rep").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    signed = materialise(arrow_map(texts, _sign, "doc_id long, rep long, size int, signature binary"), "signed")
+    firsts = [F.first(c).alias(c) for c in ("size", "signature")]
+    classes = signed.where(F.col("rep") != NO_SHINGLES).groupBy("rep").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), *firsts)
     classes = materialise(classes, "classes")
-    paths = arrow_map(classes.select("rep", "paths"), _spread, "rep long, path long")
-    met = materialise(paths.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "runs")
-    cells = in_cells(paths, "path", met, CHUNK).select("path", "cell", "rep").join(classes.select("rep", "sketch"), "rep")
-    laid = cells.select("path", "cell", "rep", "sketch").repartition("path", "cell").sortWithinPartitions("path", "cell", "rep")
-    likely = arrow_map(laid, _forest, "a long, b long")
-    likely = components(likely, "likely").withColumnRenamed("node", "rep")
-    sizes = likely.groupBy("component").agg(F.count("*").alias("members"))
-    members = in_cells(likely.join(classes.select("rep", "weight"), "rep"), "component", sizes, CHUNK)
-    one = classes.join(likely.select("rep"), "rep", "left_semi").select("doc")  # one row's text of each class is enough
+    cells, depths = forest_cells(classes, similarity)
+    members = classes.select("rep", "size", "signature").join(depths, "rep", "left")
+    keys = ["place", "prefix", "pair"]
+    laid = in_chunks(cells, CHUNK).join(members, "rep").select(*keys, "rep", "chunk", "size", "signature", "depths")
+    laid = laid.repartition(*keys).sortWithinPartitions(*keys, "rep")
+    meet = _meet(min(SHALLOW, enough_depth(similarity)), similarity)
+    likely = materialise(arrow_map(laid, meet, "place int, prefix long, pair long, part int, rep long, partners binary"), "likely")
+    one = classes.join(likely.select("rep").distinct(), "rep", "left_semi").select("doc")  # one row's text of each class is enough
     chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text")
     sets = arrow_map(chosen, _sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
-    together = members.join(sets, "rep").select("component", "cell", "rep", "chunk", "weight", "shingles")
-    laid = together.repartition("component", "cell").sortWithinPartitions("component", "cell", "rep")
-    found = arrow_map(laid, _verify(similarity), "rep long, root long, links long")
-    found = materialise(found, "links")
+    together = likely.join(classes.select("rep", "weight"), "rep").join(sets, "rep")
+    laid = together.select(*keys, "part", "rep", "partners", "weight", "shingles").repartition(*keys, "part").sortWithinPartitions(*keys, "part", "rep")
+    found = materialise(arrow_map(laid, _verify(similarity), "rep long, root long, links long"), "links")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "linked").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     small = classes.select("rep", "doc", "weight").join(linked, "rep", "left").join(links, "rep", "left")
     named = linked.join(classes.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("class_id"))
-    ruled = small.join(named, "component", "left").select("rep", F.col("doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    full = signed.select("doc_id", "rep").join(ruled, "rep", "left")
-    return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # a text without links has a component of its own, so that no value is shared by all of them
+    small = small.withColumn("component", F.coalesce("component", "rep"))
+    ruled = salted_join(small, named, ["component"], "left").select("rep", F.col("doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "weight")
+    ruled = materialise(ruled, "ruled")
+    # classes that hold a thousandth of the rows are a thousand at most
+    often = F.col("weight") * 1000 > signed.count()
+    rows = signed.select("doc_id", "rep")
+    many, few = F.broadcast(ruled.where(often)), ruled.where(~often)
+    alone = rows.where(F.col("rep") == NO_SHINGLES).select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    columns = ["doc_id", "copy_of", "class_id", "n_links"]
+    hot = rows.join(many, "rep").select(*columns)
+    cold = rows.join(many.select("rep"), "rep", "left_anti").join(few, "rep").select(*columns)
+    return alone.unionByName(hot).unionByName(cold).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.col("n_links").cast("long"))
 
 
 #: DuckDB SQL for documents whose ids differ: all sets joined on all shingles, components by a recursive closure.

@@ -279,7 +279,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, row_gro
     ordered = by_ranges(texts.withColumn("_h", F.xxhash64("text")), plan_bytes(docs), "doc_id", "_h").select("doc_id", "text")
     schema = "shard int, first_doc long, last_doc long, documents long, tokens long"
     written = arrow_map(ordered, _write_shard(tokenizer_path, folder, row_group_bytes, page_bytes, page_rows), schema)
-    totals = materialise(written, "shards")  # one row a file
+    totals = materialise(written.repartition(1), "shards")  # one row a file
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).write.parquet(f"{folder}/index")
 

@@ -74,9 +74,49 @@ def test_near_copies_of_hard_rows(hard, empty):
     assert nearcopies.near_copies(empty).count() == 0
 
 
-def test_forest_depth_reaches_the_recall():
-    depth = nearcopies.depth_for(0.8)
-    assert 1 - (1 - 0.8**depth) ** nearcopies.TREES >= nearcopies.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** nearcopies.TREES
+def test_prefixes_are_shortened_to_the_recall():
+    for similarity in (0.5, 0.8, 0.9):
+        depth = nearcopies.enough_depth(similarity)
+        reached = lambda d: 1 - (1 - similarity**d) ** nearcopies.TREES  # noqa: B023, E731
+        assert reached(depth) >= nearcopies.TARGET_RECALL and (depth == nearcopies.LEVELS or reached(depth + 1) < nearcopies.TARGET_RECALL)
+        shallow = min(nearcopies.SHALLOW, depth)
+        r = np.random.default_rng(1)
+        for crowded in (1, 5, 32):
+            sizes = np.sort(r.integers(1, 5000, (crowded, nearcopies.LEVELS - shallow + 1)), axis=1)[:, ::-1]
+            depths = nearcopies.asked_depths(sizes, shallow, similarity)
+            total = nearcopies.missed(similarity, depths).sum() + (nearcopies.TREES - crowded) * nearcopies.missed(similarity, shallow)
+            assert 1 - np.exp(total) >= nearcopies.TARGET_RECALL and (shallow <= depths).all()
+    crowd = lambda trees, n: nearcopies.asked_depths(np.full((trees, nearcopies.LEVELS - 3), n), 4, 0.8).tolist()
+    assert crowd(32, 9) == [4] * 32  # nodes stay small
+    assert crowd(4, 100_000) == [8] * 4  # the other trees reach the recall
+    assert crowd(32, 100_000) == [nearcopies.enough_depth(0.8)] * 32
+
+
+def test_other_similarities(spark):
+    texts = corpus(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    for similarity in (0.6, 0.9):
+        want = [sum(j != i and len(a & b) >= similarity * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+        got = {r.doc_id: r.n_links for r in nearcopies.near_copies(docs, similarity).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_crowded_tries(spark, monkeypatch):
+    """A group of many different near copies, so that prefixes are crowded, cells are cut and parts are small."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = [*corpus(7)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{r.randrange(99)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(nearcopies, "CHUNK", 16)
+    monkeypatch.setattr(nearcopies, "PART_BYTES", 4000)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in nearcopies.near_copies(docs).collect()) == sorted(brute(rows))
 
 
 def test_components(spark):
