@@ -1,12 +1,16 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every row has a 60-bit hash of its doc_id. Words are summed by source and hash bucket (10 bits at a time); the bucket in
-which a source's budget runs out is the only one that is split further, six times at most, and a source's rows are then
-taken or left by comparing their hash with its threshold: no sort of rows, and a larger budget takes a superset.
+Every row has a 60-bit hash of its doc_id and text. Words are summed by source and hash bucket (10 bits at a time); the
+bucket in which a source's budget runs out is the only one that is split further, six times at most, and a source's rows are
+then taken or left by comparing their hash with its threshold: no sort of rows, and a larger budget takes a superset.
 
-A source whose target exceeds its size takes every row ``repeats`` times and the rest by threshold. A row on the threshold
-is taken if more than half of it fits, so a source misses its target by half a row at most (rows of one doc_id count as
-one). Null text has no words; a null source comes last; null doc_ids share one hash. An empty table gives no rows.
+A source whose target exceeds its size takes every row ``repeats`` times and the rest by threshold. On the threshold stand
+one row or several equal ones; of these as many are taken as fit, to the nearest, so a source misses its target by half a
+row at most, whatever its doc_ids. Which of equal rows these are is open, so a second run gives the same rows.
+
+Null text has no words; a null source comes last; doc_ids may be null or repeated; a text of any length counts whole. An
+empty table gives no rows. Extra columns are ignored by ``mix`` and kept by ``mixed``, whatever their names. One row a source
+goes through windows of a single task.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ def n_words(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
-def row_hash(doc_id: str = "doc_id"):
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: str = "doc_id", text: str = "text"):
+    whole = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -49,9 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, source_size, target, repeats, last_hash: a row of size w is taken repeats times, once more up to last_hash.
+    """source, source_size, target, repeats, last_hash, edge_hash, edge_rows, edge_take.
 
-    sizes: source, size, hash. Each level reads the rows of one bucket a source.
+    A row is taken repeats times, once more up to last_hash; of the edge_rows rows with edge_hash edge_take are. sizes:
+    source, size, hash. Each level reads the rows of one bucket a source.
     """
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budgets = materialise(targets(sizes, weights, most).withColumn("repeats", full), "budgets")
@@ -59,16 +65,19 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     kept = ["source", "_left", "_before"]
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         open_rows = join_rules(sizes, state, "source").where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_prefix"))
-        sums = open_rows.groupBy(*kept, F.shiftright("hash", shift).alias("_bucket")).agg(F.sum("size").alias("_words"))
+        sums = open_rows.groupBy(*kept, F.shiftright("hash", shift).alias("_bucket")).agg(F.sum("size").alias("_words"), F.count("*").alias("_rows"))
         run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         start = F.col("_before") + F.coalesce(F.sum("_words").over(run), F.lit(0))
         sums = sums.withColumn("_start", start)
+        holds = (F.col("_start") <= F.col("_left")) & (F.col("_start") + F.col("_words") > F.col("_left"))
         if shift:
-            holds = (F.col("_start") <= F.col("_left")) & (F.col("_start") + F.col("_words") > F.col("_left"))
             state = materialise(sums.where(holds).groupBy("source", "_left").agg(F.min("_bucket").alias("_prefix"), F.min_by("_start", "_bucket").alias("_before")), "level")
         else:
-            fits = F.col("_start") + F.col("_words") / 2 <= F.col("_left")
-            state = sums.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("_bucket"))), F.min("_bucket") - 1).alias("last_hash"))
+            whole = F.max(F.when(F.col("_start") + F.col("_words") <= F.col("_left"), F.col("_bucket")))
+            take = F.floor((F.col("_left") - F.col("_start")) * F.col("_rows") / F.col("_words") + 0.5)
+            edge = F.min(F.when(holds, F.struct(F.col("_bucket").alias("hash"), F.col("_rows").alias("rows"), take.cast("long").alias("take"))))
+            state = sums.groupBy("source").agg(F.coalesce(whole, F.min("_bucket") - 1).alias("last_hash"), edge.alias("_edge"))
+            state = state.select("source", "last_hash", *[F.col(f"_edge.{c}").alias(f"edge_{c}") for c in ("hash", "rows", "take")])
     return null_safe(budgets, state, ["source"], "left").withColumn("last_hash", F.coalesce("last_hash", F.lit(-1).cast("long")))
 
 
@@ -76,28 +85,49 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words().alias("size"), row_hash().alias("hash"))
 
 
+def with_times(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (source, hash, ...) with the columns of rules and times: how often the mix takes each row.
+
+    Equal rows on a threshold are numbered within the tasks that read them, after the rows of the tasks before.
+    """
+    ruled = join_rules(rows, rules, "source")
+    sure = F.col("repeats") + (F.col("hash") <= F.col("last_hash")).cast("long")
+    if rules.where("edge_rows > 1").isEmpty():
+        return ruled.withColumn("times", sure + F.coalesce((F.col("hash") == F.col("edge_hash")) & (F.col("edge_take") > 0), F.lit(False)).cast("long"))
+    edge = F.coalesce(F.col("hash") == F.col("edge_hash"), F.lit(False))
+    numbered = materialise(ruled.where(edge).select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_n")), "edge")
+    before = Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = numbered.groupBy("source", "_task").count().withColumn("_earlier", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("source", "_task").orderBy("_n")) + F.col("_earlier")
+    taken = null_safe(numbered, tasks, ["source", "_task"], "inner").withColumn("times", sure + (place <= F.col("edge_take")).cast("long"))
+    return ruled.where(~edge).withColumn("times", sure).unionByName(taken.drop("_task", "_n", "_earlier"))
+
+
+def rules_for(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    return materialise(thresholds(sizes, weights, most), "rules")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, times, taken for each row of docs (doc_id, source, text)."""
     sizes = materialise(sized(docs), "mixing")
-    ruled = join_rules(sizes, materialise(thresholds(sizes, weights, most), "rules"), "source")
-    times = F.col("repeats") + (F.col("hash") <= F.col("last_hash")).cast("long")
-    return ruled.select("doc_id", "source", "size", "source_size", "target", times.alias("times")).withColumn("taken", F.col("size") * F.col("times"))
+    timed = with_times(sizes, rules_for(sizes, weights, most))
+    return timed.select("doc_id", "source", "size", "source_size", "target", "times").withColumn("taken", F.col("size") * F.col("times"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs as the mix takes them: rows that it takes more than once are repeated, others are left out."""
     sizes = materialise(sized(docs), "mixing")
-    rules = materialise(thresholds(sizes, weights, most), "rules").select("source", F.col("repeats").alias("_repeats"), F.col("last_hash").alias("_last"))
-    ruled = join_rules(docs.withColumn("_hash", row_hash()), rules, "source")
-    times = F.col("_repeats") + (F.col("_hash") <= F.col("_last")).cast("long")
-    return ruled.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)
+    rules = rules_for(sizes, weights, most).select("source", "repeats", "last_hash", "edge_hash", "edge_rows", "edge_take")
+    packed = docs.select("source", row_hash().alias("hash"), F.struct(*docs.columns).alias("row"))
+    timed = with_times(packed, rules).where("times > 0")
+    return timed.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 #: DuckDB SQL for the same rows: budgets by an ordered running sum where the operator uses histograms.
 ORACLE = r"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight FROM sizes GROUP BY source),
@@ -110,12 +140,12 @@ aims AS (
   SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce((SELECT min_by(level, fills_at) FROM levels WHERE level <= fills_at) * weight, CAST(most AS DOUBLE))) AS target FROM levels),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM aims),
-units AS (
-  SELECT source, hash, CAST(sum(size) AS BIGINT) AS words FROM sizes GROUP BY source, hash),
 placed AS (
-  SELECT source, hash, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM units)
+  SELECT doc_id, source, size, hash, row_number() OVER (PARTITION BY source, hash) AS place, count(*) OVER (PARTITION BY source, hash) AS n,
+         sum(size) OVER (PARTITION BY source ORDER BY hash) AS upto, sum(size) OVER (PARTITION BY source, hash) AS words FROM sizes)
 SELECT s.doc_id, s.size, b.source_size, b.target,
-       CAST(s.size * (b.repeats + CASE WHEN p.before + p.words / 2.0 <= b.target - b.repeats * b.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sizes s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
-JOIN placed p ON p.source IS NOT DISTINCT FROM s.source AND p.hash = s.hash
+       CAST(s.size * (b.repeats + CASE WHEN s.upto <= b.target - b.repeats * b.source_size THEN 1
+         WHEN s.upto - s.words > b.target - b.repeats * b.source_size THEN 0
+         WHEN s.place <= floor((b.target - b.repeats * b.source_size - s.upto + s.words) * s.n / s.words + 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 """

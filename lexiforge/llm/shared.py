@@ -90,5 +90,5 @@ def join_rules(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     if rules.count() <= MOST_SENT:
         return null_safe(rows, F.broadcast(rules), [key], "inner")  # counted just now
     salted = rules.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(SALTS)).cast("int"))
     return null_safe(dealt, salted, [key, "_salt"], "inner").drop("_salt")

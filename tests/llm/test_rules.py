@@ -95,6 +95,20 @@ def test_mixing(spark, seed):
     assert kept.selectExpr("sum(size(filter(split(text, ' '), x -> x <> '')))").first()[0] == got.taken.sum()
 
 
+def test_targets_are_met_whatever_the_ids(spark):
+    """Rows without an id, of one id, and equal in everything: no source misses its target by more than half a row."""
+    rows = [(None, f"w{i} " * (1 + i % 20), "a") for i in range(1000)] + [(7, f"v{i} " * 10, "b") for i in range(700)] + [(None, "same words of it", "c")] * 900 + [(i, "x " * (i % 30), None) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("source", "s").withColumnRenamed("s", "source").repartition(5)
+    got = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect()
+    assert len(got) == 4 and all(abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"] / 2 + 1e-6 for r in got)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    clash = docs.selectExpr("*", "'h' AS hash", "1 AS times", "2 AS repeats", "3 AS row", "4 AS edge_rows", "5 AS _hash")
+    kept = mixing.mixed(clash)
+    assert kept.columns == clash.columns and kept.where("hash <> 'h' OR times <> 1 OR row <> 3").isEmpty()
+    assert kept.where("source = 'c'").count() == mixing.mix(docs).where("source = 'c'").selectExpr("sum(times)").first()[0]
+
+
 def test_mixing_of_hard_rows(hard, empty):
     assert mixing.mix(hard).count() == hard.count() and mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert mixing.mixed(hard).columns == hard.columns
