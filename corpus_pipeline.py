@@ -28,11 +28,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a written number, so ids may repeat or be missing; rows without near copies all stay.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    classes = nearcopies.near_copies(numbered.select(F.col("_row").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id")
-    linked = materialise(classes.join(numbered.select("_row", "doc_id", F.xxhash64("text").alias("_th")), "_row"), "linked")
-    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
-    return numbered.join(linked.select("_row").join(first, "_row", "left_anti"), "_row", "left_anti").select(*docs.columns)
+    row = F.struct(*docs.columns).alias("row")  # one column, so that no name can clash
+    numbered = materialise(docs.select(row, F.monotonically_increasing_id().alias("number")), "numbered")
+    texts = numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
+    classes = nearcopies.near_copies(texts).where("n_links > 0").select(F.col("doc_id").alias("number"), "class_id")
+    linked = materialise(classes.join(numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash")), "number"), "linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "number")).alias("first")).select(F.col("first.number").alias("number"))
+    others = linked.select("number").join(first, "number", "left_anti")
+    return numbered.join(others, "number", "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

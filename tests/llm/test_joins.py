@@ -148,6 +148,30 @@ def test_top_k(spark):
     assert set(got) == {i for i in padded if i % 20 == 0}
 
 
+def test_top_k_of_large_whole_numbers():
+    """Ties and near ties of scores near 2**40 and above 2**53, seen block by block."""
+    r = np.random.default_rng(0)
+    for size in (1e4, 1e5, 1e6, 1e8):
+        q = np.floor(r.normal(size=(40, 7)) * size)
+        c = np.floor(r.normal(size=(40, 500)) * size)
+        c[:, 100:160] = q[:, [3]]
+        c[:, 160:200] = c[:, [100]] + r.integers(0, 2, (40, 40))
+        ids, best = r.permutation(500), topk.Best(np.arange(1000, 1007), q, 20)
+        for at in range(0, 500, 170):
+            best.see(ids[at : at + 170], c[:, at : at + 170])
+        exact = q.astype(np.int64).astype(object).T @ c.astype(np.int64).astype(object)
+        for i in range(7):
+            want = sorted((-x, j) for x, j in zip(exact[i], ids.tolist(), strict=True))[:20]
+            assert [(-s, j) for j, s in zip(best.found[best.rows == i].tolist(), best.scores[best.rows == i].tolist(), strict=True)] == want
+
+
+def test_top_k_with_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], 0, "x", i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, block string, query_id long")
+    got = topk.exact_top_k(frame, F.col("vec_id") % 20 == 0, k=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 15
+
+
 def test_top_k_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.exact_top_k(few, F.col("vec_id") % 20 == 0).collect())) == [(0, 1, 20, 4096), (0, 2, 3, 0), (20, 1, 0, 4096), (20, 2, 3, 0)]
@@ -194,3 +218,20 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = sorted(map(tuple, P.ngram_join(spark, docs, "").collect()), key=str)
     left = [x for x in got if x[1] not in (c, c + " more")]
     assert left == sorted([(1, a), (1, b), (3, "other words " + b[:40]), (None, None), (4, None)], key=str) and len(got) == len(left) + 1
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Columns named as those that the stages use inside, ids repeated and missing: all stages but the last keep them."""
+    import corpus_pipeline as P
+
+    data = "/root/testdata/sf0.001"
+    names = ["kept", "score", "n_words", "hash", "row", "number", "times", "repeats", "rep", "_hash", "doc", "class_id", "base_failed", "_judged", "label", "text_length"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 9 > 0, F.col("doc_id") % 9))
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("lang")).alias(n) for n in names]).cache()
+    for name, stage in P.STAGES[:-1]:
+        after = stage(spark, docs, data)
+        assert after.columns == docs.columns, name
+        assert all(after.where(~F.col(f"`{n}`").eqNullSafe(F.concat(F.lit(f"{n} "), F.col("lang")))).isEmpty() for n in names), name
+        docs = after.cache()
+    pieces = P.STAGES[-1][1](spark, docs, data)
+    assert pieces.agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == docs.count() > 0
