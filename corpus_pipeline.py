@@ -18,9 +18,7 @@ from lexiforge.llm.shared import materialise, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=columns)
-    return judged.where("kept").select(*columns)
+    return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

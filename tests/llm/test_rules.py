@@ -51,28 +51,60 @@ def test_quality_shape(spark, hard):
     assert quality.judge(hard.limit(0), labels.limit(0), buckets=1 << 12).count() == 0
 
 
-def test_quality_ratio_by_hand(spark):
-    r = random.Random(5)
-    good = [" ".join(r.choice(["the", "of", "and", "house", "tree"]) for _ in range(80)) for _ in range(60)]
-    junk = [" ".join(r.choice(["BUY!!", "$$$", "WIN##"]) for _ in range(80)) for _ in range(20)]
-    texts = [f"{g} {i}" for i, g in enumerate(good)] + [f"{j} {i}" for i, j in enumerate(junk)]
+def python_score(texts, target, prior=quality.PRIOR):
+    """Scores by exact n-grams, each its own bucket, without the operator's hashes."""
+    grams = [[*(w := SPLIT.findall(t)), *zip(w, w[1:], strict=False)] for t in texts]
+    raw, good = collections.Counter(g for k in grams for g in k), collections.Counter(g for i in target for g in grams[i])
+    scale, prior = good.total() / raw.total(), prior * good.total()
+    return [sum(math.log((good[g] + prior) / (raw[g] * scale + prior)) for g in k) / max(len(k), 1) for k in grams]
+
+
+def good_and_junk(n_good, n_junk, seed=5):
+    r = random.Random(seed)
+    good = [" ".join(r.choice("the of and house tree walks on a day in town under rain with old friends who sing at night".split()) for _ in range(80)) + f" {i}" for i in range(n_good)]
+    return good + [" ".join(r.choice("BUY!! $$$ WIN## now the CLICK here best price >>> free pills www cash deal hot offer today only you".split()) for _ in range(80)) + f" {i}" for i in range(n_junk)]
+
+
+def test_quality_score_by_hand(spark):
+    texts = good_and_junk(60, 20)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
-    buckets = 1 << 12
-    ratio = quality.fit_ratio(docs, labels, buckets)
-    raw, target, each = np.zeros(buckets), np.zeros(buckets), []
-    for i, t in enumerate(texts):
-        block = next(blocks(pa.array([t])))
-        w = words(block)
-        k, _ = quality.ngrams(hashes(block, w), w, buckets)
-        raw += np.bincount(k, minlength=buckets)
-        target += np.bincount(k, minlength=buckets) * (i < 60 and i % 2 == 0)
-        each.append(k)
-    want = np.log((target + quality.PRIOR) / (raw * target.sum() / raw.sum() + quality.PRIOR))
-    assert np.allclose(ratio, want, atol=1e-5)
-    rows = {x.doc_id: x for x in quality.judge(docs, labels, buckets=buckets).collect()}
-    assert all(abs(rows[i].score - want[k].mean()) < 1e-5 for i, k in enumerate(each))
-    assert all(rows[i].score > quality.THRESHOLD for i in range(60)) and all(rows[i].score < quality.THRESHOLD for i in range(60, 80))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(i, 0, 0) for i in range(60, 66)] + [(1, 1, 1), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    parts = {r.doc_id: r.part for r in quality.labelled(labels).collect()}
+    assert set(parts) == {*range(0, 60, 2), *range(60, 66)} and all((parts[i] == 2) == (i >= 60) for i in parts)  # toxic ones are not trusted
+    rows = {x.doc_id: x for x in quality.judge(docs, labels).collect()}
+    want = python_score(texts, [i for i, p in parts.items() if p == 0])
+    assert all(abs(rows[i].score - x) < 1e-4 for i, x in enumerate(want))
+    assert all(rows[i].kept == (i < 60) for i in rows)
+    assert not any(x.kept for x in quality.judge(docs, labels, threshold=9.0).collect())
+
+
+def test_verdict_is_alike_at_every_size(spark):
+    for n_good, step in ((250, 5), (3000, 1)):  # 50 labels, 3000 labels
+        texts = good_and_junk(n_good, n_good // 10)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        for bad in (range(n_good, n_good + n_good // 20), ()):
+            labels = spark.createDataFrame([(i, 1, 0) for i in range(0, n_good, step)] + [(i, 0, 0) for i in bad], "doc_id long, quality int, toxic int")
+            kept = {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()}
+            assert len(kept & set(range(n_good))) >= 0.99 * n_good and not kept - set(range(n_good))
+
+
+def test_cut():
+    assert quality.best_cut(np.array([1.0, 2, 3]), np.array([-3.0, -1])) == 0
+    assert quality.best_cut(np.array([1.0, 2, 3]), np.array([])) < 1 and quality.best_cut(np.array([]), np.array([1.0])) == -np.inf
+    r = np.random.default_rng(2)
+    good, bad = r.normal(1, 1, 300), r.normal(-1, 1, 200)
+    cut = quality.best_cut(good, bad)
+    shares = lambda x: (good >= x).mean() + (bad < x).mean()
+    assert shares(cut) == pytest.approx(max(shares(x) for x in np.concatenate([good, bad])))
+
+
+def test_kept_rows_with_clashing_columns(spark, hard):
+    texts = good_and_junk(40, 10)
+    docs = spark.createDataFrame([(i % 30, t, "k", 1.5, 7, ["a"]) for i, t in enumerate(texts)], "doc_id long, text string, kept string, score double, n_words int, own0 array<string>")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = quality.kept_rows(docs, labels)
+    assert got.columns == docs.columns and got.count() > 0 and got.where("kept <> 'k' OR score <> 1.5 OR n_words <> 7 OR own0[0] <> 'a'").isEmpty()
+    assert quality.judge(docs, labels).count() == 50
 
 
 @pytest.mark.parametrize("seed", [1, 2])
