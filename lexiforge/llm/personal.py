@@ -1,12 +1,14 @@
 r"""Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust their score.
 
-All DataFrame functions. A text is cut by a kind's pattern and the lengths of the parts give the places, so a pattern
-runs only over texts that hold its signs. Patterns are written without nested repetition that could overflow the matcher
+All DataFrame functions. A text is cut by a kind's pattern and running sums of the parts' lengths give the places, so a
+pattern runs only over texts that hold its signs. Arrays are worked on in groups of ``GROUP``, groups of groups and so on, so
+the time grows with the text and its spans, however many there are in one text. Patterns are written without nested repetition that could overflow the matcher
 on very long texts: what the base definitions match greedily is matched possessively, and a run is tried once, from its start.
 
 Kinds: email, ip (parts up to 255), card (Luhn), phone (9 to 15 digits) are always reported; iban (length by country, mod 97) and ssn (three
 number groups in valid ranges, with a word such as "social security" near) are added by this method. Null text is empty;
-rows are scanned one by one, so ties and repeats need no rule; an empty table gives no rows.
+rows are scanned one by one, whole, so ties and repeats need no rule; an empty table gives no rows. ``scan_personal`` ignores
+extra columns, ``masked`` returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.licences import bind
 
-NEAR = 40  # characters before a span in which context words count
-_NO_SPANS = "array<struct<start:int,end:int>>"
+NEAR = 40  # characters before a span in which context words count, back to the kind's last span but one
+GROUP, LEVELS = 64, 2
 
 
 @dataclass(frozen=True)
@@ -98,30 +100,53 @@ def confirmed(name: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def groups_of(values: Column, size: int) -> Column:
+    """The array cut to arrays of ``size``; an empty one gives none."""
+    n = F.ceil(F.size(values) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * size + 1, F.lit(size))))
+
+
+def before(values: Column, combine, levels: int = LEVELS) -> Column:
+    """For each of the whole numbers what ``combine`` makes of all before it, from 0: each group by itself, from what came before the group."""
+    def fold(some: Column, start: Column) -> Column:
+        first = F.struct(start.alias("so_far"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct(combine(a["so_far"], x).alias("so_far"), F.concat(a["out"], F.array(a["so_far"])).alias("out"))
+        return F.aggregate(some, first, step)["out"]
+
+    if not levels:
+        return fold(values, F.lit(0))
+
+    def whole(groups: Column) -> Column:
+        totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), combine))
+        return F.flatten(F.zip_with(groups, before(totals, combine, levels - 1), fold))
+
+    return F.when(F.size(values) > 0, bind(groups_of(values, GROUP), whole)).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """array<struct<start, end, score>> in order of start; code points, end exclusive."""
     cut = F.struct(F.split(text, kind.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hits"))
 
     def place(x: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            start = a["to"] + F.length(F.get(x["gaps"], i))
-            end = start + F.length(F.get(x["hits"], i))
-            return F.struct(end.alias("to"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+        sizes = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.length(g) + F.length(h))
+
+        def span(at: Column, i: Column) -> Column:
+            gap, hit = F.get(x["gaps"], i), F.get(x["hits"], i)
+            start = at + F.length(gap)
+            last = F.when(i > 0, F.concat(F.get(x["gaps"], i - 1), F.get(x["hits"], i - 1))).otherwise(F.lit(""))
+            value = score(kind, F.when(F.length(gap) < NEAR, F.concat(last, gap)).otherwise(gap))
+            return F.when(confirmed(kind.name, hit) & (value >= kind.least), F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), value.alias("score")))
 
-        empty = F.struct(F.lit(0).alias("to"), F.array().cast(_NO_SPANS).alias("out"))
-        placed = F.when(F.size(x["hits"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), empty, step)["out"]).otherwise(F.array().cast(_NO_SPANS))
-        scored = F.transform(placed, lambda s: F.struct(s["start"], s["end"], score(text, kind, s["start"]).alias("score")))
-        valid = F.zip_with(x["hits"], scored, lambda h, s: F.when(confirmed(kind.name, h) & (s["score"] >= kind.least), s))
-        return F.filter(valid, lambda s: s.isNotNull())
+        return F.filter(F.transform(before(sizes, lambda a, n: a + n), span), lambda s: s.isNotNull())
 
     none = F.array().cast("array<struct<start:int,end:int,score:double>>")
     return F.when(F.rlike(text, F.lit(kind.guard)), bind(cut, place)).otherwise(none)
 
 
-def score(text: Column, kind: Kind, start: Column) -> Column:
-    """The kind's prior, and half of what is missing to 1 if a context word stands shortly before the span."""
-    near = F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
-    return F.when(F.rlike(F.lower(near), F.lit(kind.context)), F.lit(kind.prior + (1 - kind.prior) / 2)).otherwise(F.lit(kind.prior))
+def score(kind: Kind, ahead: Column) -> Column:
+    """The kind's prior, and half of what is missing to 1 if a context word stands at the end of what is ahead of the span."""
+    near = F.lower(F.right(ahead, F.lit(NEAR)))
+    return F.when(F.rlike(near, F.lit(kind.context)), F.lit(kind.prior + (1 - kind.prior) / 2)).otherwise(F.lit(kind.prior))
 
 
 def _listed(spans: Column, kind: Kind) -> Column:
@@ -145,24 +170,33 @@ def scan_personal(docs: DataFrame) -> DataFrame:
     return found_spans(docs).select("doc_id", bind(F.col("found"), digest).alias("d")).select("doc_id", "d.*")
 
 
+def written(text: Column, pieces: Column, start: Column, levels: int = LEVELS) -> Column:
+    """Text from ``start`` on in which each piece (from, to, mark) is the text from ``from`` to ``to``, then the mark."""
+    if not levels:
+        return F.array_join(F.transform(pieces, lambda p: F.concat(F.substring(text, p["from"] - start + 1, p["to"] - p["from"]), p["mark"])), "")
+
+    def part(group: Column) -> Column:
+        first, last = F.get(group, F.lit(0))["from"], F.element_at(group, -1)["to"]
+        return bind(F.substring(text, first - start + 1, last - first), lambda t: written(t, group, first, levels - 1))
+
+    return F.array_join(F.transform(groups_of(pieces, GROUP**levels), part), "")
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in angle brackets; overlapping spans become one. n_chars follows."""
     def marked(t: Column, kind: Kind) -> Column:
         return F.transform(spans_of(t, kind), lambda s: F.struct(s["start"], s["end"], F.lit(f"<{kind.name.upper()}>").alias("mark")))
 
     def cover(t: Column) -> Column:
-        spans = F.array_sort(F.concat(*[marked(t, k) for k in KINDS]))
-
-        def step(a: Column, s: Column) -> Column:
-            gap = F.substring(t, a["to"] + 1, F.greatest(s["start"] - a["to"], F.lit(0)))
-            out = F.when(s["start"] >= a["to"], F.concat(a["out"], F.array(gap, s["mark"]))).otherwise(a["out"])
-            return F.struct(F.greatest(a["to"], s["end"]).alias("to"), out.alias("out"))
-
-        def write(found: Column) -> Column:
-            whole = bind(F.aggregate(found, F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("out")), step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, a["to"] + 1)))
-            return F.when(F.size(found) > 0, whole).otherwise(t)
-
-        return bind(spans, write)
+        def write(spans: Column) -> Column:
+            # each span hides what no span before it hides; the text between goes before its mark
+            piece = lambda s, to: F.struct(to.alias("from"), F.greatest(s["start"], to).alias("to"), F.when(s["start"] >= to, s["mark"]).otherwise("").alias("mark"), s["end"].alias("end"))
+            hidden = before(F.transform(spans, lambda s: s["end"]), lambda a, n: F.greatest(a, n))
+            pieces = F.zip_with(spans, hidden, piece)
+            rest = F.substr(t, F.array_max(F.transform(spans, lambda s: s["end"])) + 1)
+            return F.when(F.size(spans) > 0, bind(pieces, lambda p: F.concat(written(t, p, F.lit(0)), rest))).otherwise(t)
+
+        return bind(F.array_sort(F.concat(*[marked(t, k) for k in KINDS])), write)
 
     hidden = docs.withColumn("text", bind(F.col("text"), cover))
     return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
