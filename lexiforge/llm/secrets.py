@@ -2,10 +2,13 @@
 
 Candidates are runs of at least ``WINDOW`` characters of base64 and hexadecimal. A window slides over each, its entropy
 kept by incremental counts; windows above the class's threshold are joined to spans of kind ``entropy``. The class is that
-of the candidate's characters. An allow-list leaves out candidates that are words or numbers as a whole, and windows that
-touch an identifier or a part (between signs) with a placeholder word; of a part above ``LONG`` characters, where such a word
-may stand by chance, only the word itself. It never suppresses spans of the fixed forms. Null text is empty; rows are
-scanned one by one, so repeats and ties need no rule; a text of any length is scanned whole, in linear time.
+of the candidate's characters. An allow-list suppresses what is no secret: candidates that are wholly a word or number,
+windows that touch an identifier, and windows that touch a part (between signs) with a placeholder word; of a part above
+``LONG`` characters, where such a word may stand by chance, only those that touch the word. It never suppresses spans of the
+fixed forms. An entropy span within one of these is not reported again.
+
+Null text is empty; rows are scanned one by one, so repeats and ties need no rule; a text of any length is scanned whole, in
+linear time. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,20 @@ WINDOW = 20
 MIN_BITS = {"hex": 2.9, "base64": 3.75, "lower": 3.75, "upper": 3.75, "letters": 3.9, "digits": 3.1}
 LONG = 64
 KINDS = ("assign", "access", "hex", "entropy")
-ALLOW = (
-    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs
-    r"example|sample|placeholder|changeme|dummy|redacted|xxxx|lorem|test",
-    r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",  # words joined by signs
-    r"[0-9]+(?:[-_/][0-9]+)*",  # numbers, dates
-)
+
+
+@dataclass(frozen=True)
+class AllowList:
+    """Patterns, without regard to case: for whole candidates, for identifiers in them, and for placeholder words."""
+
+    wholes: tuple[str, ...] = (r"[A-Za-z]+(?:[-_/][A-Za-z]+)*", r"[0-9]+(?:[-_/][0-9]+)*")  # words joined by signs; numbers, dates
+    inside: tuple[str, ...] = (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",)  # UUIDs
+    words: tuple[str, ...] = ("example", "sample", "placeholder", "changeme", "dummy", "redacted", "xxxx", "lorem", "test")
+
+    def compiled(self) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+        made = ("|".join(f"(?:{p})" for p in patterns) or r"(?!)" for patterns in (self.wholes, self.inside, self.words))
+        return tuple(re.compile(p, re.I | re.A) for p in made)
+
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -82,23 +94,25 @@ def class_of(s: str) -> str:
     return "base64" if lower and upper else "lower" if lower else "upper"
 
 
-def _left_out(s: str, allow: tuple[re.Pattern, ...]) -> list[tuple[int, int]]:
+def _left_out(s: str, inside: re.Pattern, placeholder: re.Pattern) -> list[tuple[int, int]]:
     """Places of a candidate that no window may touch."""
-    out = [(m.start(), m.end()) for m in allow[0].finditer(s)] if allow else []
-    for m in allow[1].finditer(s) if len(allow) > 1 else ():
+    out = [(m.start(), m.end()) for m in inside.finditer(s)]
+    for m in placeholder.finditer(s):
         near = s[max(m.start() - LONG, 0) : m.start()], s[m.end() : m.end() + LONG]
         start, end = m.start() - len(_PART.split(near[0])[-1]), m.end() + len(_PART.split(near[1])[0])
         out.append((start, end) if end - start <= LONG else (m.start(), m.end()))
     return out
 
 
-def entropy_spans(text: str, allow: tuple[re.Pattern, ...], min_bits: dict[str, float]) -> Iterator[tuple[int, int]]:
+def entropy_spans(text: str, allow: tuple[re.Pattern, re.Pattern, re.Pattern], min_bits: dict[str, float]) -> Iterator[tuple[int, int]]:
+    """Spans in order of start."""
+    wholes, inside, placeholder = allow
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if any(a.fullmatch(s) for a in allow):
+        if wholes.fullmatch(s):
             continue
         least, closed = min_bits[class_of(s)], bytearray(len(s))
-        for a, b in _left_out(s, allow):
+        for a, b in _left_out(s, inside, placeholder):
             first = max(a - WINDOW + 1, 0)
             closed[first:b] = b"\1" * (b - first)
         start = end = -1
@@ -114,14 +128,19 @@ def entropy_spans(text: str, allow: tuple[re.Pattern, ...], min_bits: dict[str,
             yield m.start() + start, m.start() + end
 
 
-def scan_text(text: str, coded: bool, signed: bool, allow: tuple[re.Pattern, ...], min_bits: dict[str, float]) -> list[tuple[int, int, int]]:
+def scan_text(text: str, coded: bool, signed: bool, allow: tuple[re.Pattern, re.Pattern, re.Pattern], min_bits: dict[str, float]) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans. coded, signed: whether the text has a long run and a sign of assignment."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if signed else []
     if coded:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
         found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if len(m[0]) >= 24]
-        base = list(found)
-        found += [(a, 3, b) for a, b in entropy_spans(text, allow, min_bits) if not any(x <= a and b <= y for x, _, y in base)]
+        base, at, reached = sorted(found), 0, -1
+        for a, b in entropy_spans(text, allow, min_bits):
+            while at < len(base) and base[at][0] <= a:
+                reached = max(reached, base[at][2])
+                at += 1
+            if b > reached:  # else within a span of a fixed form
+                found.append((a, 3, b))
     return sorted(found)
 
 
@@ -129,11 +148,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan(allow: tuple[str, ...], min_bits: dict[str, float]):
+def _scan(allow: AllowList, min_bits: dict[str, float]):
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = tuple(re.compile(a, re.I | re.A) for a in allow)
+        rules = allow.compiled()
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             texts = as_strings(batch.column(1))
@@ -153,7 +172,7 @@ def _scan(allow: tuple[str, ...], min_bits: dict[str, float]):
     return run
 
 
-def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, min_bits: dict[str, float] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, allow: AllowList = AllowList(), min_bits: dict[str, float] | None = None) -> DataFrame:
     """Spans of each of docs (doc_id, text); positions count code points, ends are exclusive."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan(allow, MIN_BITS | (min_bits or {})), schema)

@@ -94,6 +94,86 @@ def test_entropy_windows_by_hand():
     assert secrets.entropy_windows(s) == pytest.approx(want)
 
 
+def slow_entropy_spans(t, allow, min_bits):
+    """Every window of every candidate counted anew, every place marked one by one."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        s = m[0]
+        if any(re.fullmatch(p, s, re.I | re.A) for p in allow.wholes):
+            continue
+        shut = set()
+        for p in allow.inside:
+            for x in re.finditer(p, s, re.I | re.A):
+                shut |= set(range(*x.span()))
+        for x in re.finditer("|".join(allow.words), s, re.I | re.A):
+            a, b = x.span()
+            while a and s[a - 1] not in "+/_=-":
+                a -= 1
+            while b < len(s) and s[b] not in "+/_=-":
+                b += 1
+            shut |= set(range(a, b)) if b - a <= 64 else set(range(*x.span()))
+        kinds = {"hex"} if all(c in "0123456789abcdefABCDEF" for c in s) else None
+        digit, lower, upper = (any(c in a for c in s) for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        name = "hex" if kinds else "letters" if not digit else "base64" if lower and upper else "lower" if lower else "upper" if upper else "digits"
+        hot = set()
+        for i in range(len(s) - 19):
+            w = s[i : i + 20]
+            bits = -sum(n / 20 * math.log2(n / 20) for n in map(w.count, set(w)))
+            if bits >= min_bits[name] - 1e-9 and not shut & set(range(i, i + 20)):
+                hot |= {(i, i + 20)}
+        spans = []
+        for a, b in sorted(hot):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+        out += [(m.start() + a, m.start() + b) for a, b in spans]
+    return out
+
+
+def test_entropy_spans_by_brute_force(spark):
+    parts = ["a7Fz9Qp2LmX4", "Tr8Vw1BnC3dK", "test", "-", "/", "example", "0123456789abcdef", "123e4567-e89b-12d3-a456-426614174000", " ", "QWERTZUIOP", "zzzz", "98765", "token=", "AKIA", "é", "k3j5h6g7f8d9"]
+    texts = mixed(spark, parts, 800, 11, 14)
+    rows = {r.doc_id: set(r.spans.split(",")) for r in secrets.scan_secrets(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = base_secrets(t)
+        more = {f"entropy:{a}:{b}" for a, b in slow_entropy_spans(t, secrets.AllowList(), secrets.MIN_BITS) if not any(x <= a and b <= y for _, x, y in base)}
+        assert {x for x in rows[i] if x.startswith("entropy")} == more, t
+
+
+def grows_linearly(spark, scan, text):
+    """Whether twice the text takes about twice as long, not four times."""
+    import time
+
+    def seconds(n):
+        one = spark.createDataFrame([(1, text * n)], "doc_id long, text string")
+        scan(one).collect()
+        t = time.perf_counter()
+        scan(one).collect()
+        return time.perf_counter() - t
+
+    return seconds(8000) < 3.2 * seconds(4000) + 0.5 and seconds(32000) < 12
+
+
+def test_time_grows_with_spans(spark):
+    assert grows_linearly(spark, secrets.scan_secrets, "token=abcdefg1 a7Fz9Qp2LmX4Tr8Vw1BnC3 ")
+    assert grows_linearly(spark, personal.scan_personal, "write to a.b@c.de or 1.2.3.4 ")
+    assert grows_linearly(spark, personal.masked, "write to a.b@c.de or 1.2.3.4 ")
+
+
+def test_many_spans_are_masked(spark):
+    n = 5000
+    text = "".join(f"x{i} a{i}@b.co é 1.2.3.{i % 256} " for i in range(n))
+    row = personal.masked(spark.createDataFrame([(1, text, "u")], "doc_id long, text string, mark string")).first()
+    assert row.text == "".join(f"x{i} <EMAIL> é <IP> " for i in range(n)) and row.mark == "u"
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    texts = ["+49 1.2.3.4 5678 end", "a@1.2.3.4 b"]
+    rows = {r.doc_id: r.text for r in personal.masked(frame(spark, texts)).collect()}
+    assert rows[0] == "<PHONE> end" and rows[1] == "<EMAIL> b"
+
+
 def test_entropy_spans(spark):
     texts = ["key a7Fz9Qp2LmX4Tr8Vw1BnC3 end", "id 123e4567-e89b-12d3-a456-426614174000 end", "a-very-long-joined-list-of-words here", "Example9Qp2LmX4Tr8Vw1BnC3Ex"]
     rows = {r.doc_id: r.n_entropy for r in secrets.scan_secrets(frame(spark, texts)).collect()}
