@@ -222,6 +222,71 @@ def test_scores_of_hard_rows(hard, empty):
     assert ctw.score_documents(hard).count() == hard.count() and ctw.score_documents(empty).count() == 0
 
 
+class PlainTree:
+    """Context-tree weighting as the definition reads: a dict of nodes a decision, weights by recursion in logarithms."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts = depth, collections.defaultdict(lambda: [0, 0])
+        for t in texts:
+            for context, node, bit in self.decisions(t):
+                for d in range(depth + 1):
+                    self.counts[node, context[:d]][bit] += 1
+        self.longer = collections.defaultdict(list)
+        for node, context in self.counts:
+            if context:
+                self.longer[node, context[:-1]].append(context)
+        self.weights = {}
+
+    def decisions(self, t):
+        data = t.encode() + b"\xff"
+        for i, c in enumerate(data):
+            context = tuple(data[i - d] if i >= d else 0 for d in range(1, self.depth + 1))  # the nearest byte first
+            node = 1
+            for shift in range(7, -1, -1):
+                bit = (c >> shift) & 1
+                yield context, node, bit
+                node = 2 * node + bit
+
+    def kt(self, zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    def weight(self, node, context):
+        if (node, context) not in self.weights:
+            own = self.kt(*self.counts[node, context])
+            if len(context) < self.depth:
+                below = sum(self.weight(node, c) for c in self.longer[node, context])
+                own = max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+            self.weights[node, context] = own
+        return self.weights[node, context]
+
+    def score(self, t):
+        """log10 of the probability; a context without training text is a leaf whose estimate is a half."""
+        total = 0.0
+        for context, node, bit in self.decisions(t):
+            p, reach = 0.0, 1.0
+            for d in range(self.depth + 1):
+                zeros, ones = self.counts[node, context[:d]] if (node, context[:d]) in self.counts else (0, 0)
+                stop = 1.0
+                if d < self.depth and zeros + ones:
+                    stop = math.exp(self.kt(zeros, ones) - math.log(2) - self.weight(node, context[:d]))
+                elif d < self.depth:
+                    stop = 0.5
+                p += reach * stop * ((zeros, ones)[bit] + 0.5) / (zeros + ones + 1)
+                reach *= 1 - stop
+            total += math.log10(p)
+        return total
+
+
+def test_scores_by_the_definition(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice(["ab", "ra", "cad", " ", "é", "Zx", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, "", "unseen QQ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lower = [(t or "").translate(LOW) for t in texts]
+    tree = PlainTree([t for i, t in enumerate(lower) if zlib.crc32(str(i).encode()) % 10], ctw.DEPTH)
+    rows = {x.doc_id: x.score for x in ctw.score_documents(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == pytest.approx([tree.score(t) for t in lower], rel=1e-5, abs=1e-5)
+
+
 def test_shards_keep_every_context(spark):
     r = random.Random(8)
     texts = ["".join(r.choice("abcdé ") for _ in range(r.randint(0, 400))) for _ in range(150)]

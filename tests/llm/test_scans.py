@@ -194,6 +194,51 @@ def test_licences(spark):
     assert got.labels.str.contains("mit").any()
 
 
+def slow_licences(text, templates, threshold):
+    """Every block of every class against every template, word by word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
+    labels = set()
+    for label, t in templates:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+        size = 8
+        while size < len(own):
+            size *= 2
+        own = set(zip(own, own[1:]))
+        for s in range(0, len(words), size):
+            block = words[s : s + 2 * size]
+            if len(own & set(zip(block, block[1:]))) >= math.ceil(threshold * len(own) - 1e-9):
+                labels.add(label)
+    return ",".join(sorted(labels))
+
+
+def test_whole_licences(spark, monkeypatch):
+    """Templates of every length, texts longer than a piece, licences with words changed, cut short, shuffled."""
+    r = random.Random(3)
+    long = [("long", " ".join(f"clause{i % 700} of{i}" for i in range(1500)))]
+    templates = [*licences.TEMPLATES, *long]
+    texts = []
+    for label, t in templates:
+        w = t.split()
+        some = list(w)
+        for _ in range(len(w) // 20):
+            some[r.randrange(len(w))] = "other"
+        shuffled = r.sample(w, len(w))
+        filler = ["filler"] * r.randint(0, 300)
+        texts += [" ".join([*filler, *w, *filler]), " ".join(filler + some), " ".join(w[: len(w) // 2]), " ".join(shuffled), " ".join(filler * 40 + w)]
+    rows = {x.doc_id: x.labels for x in licences.scan_licences(frame(spark, texts), templates, phrases=()).collect()}
+    want = {i: slow_licences(t, templates, 0.8) for i, t in enumerate(texts)}
+    assert rows == want and {label for label, _ in templates} <= set(",".join(want.values()).split(","))
+    monkeypatch.setattr(licences, "PIECE", 64)
+    assert {x.doc_id: x.labels for x in licences.scan_licences(frame(spark, texts), templates[:-1], phrases=()).collect()} == {i: slow_licences(t, templates[:-1], 0.8) for i, t in enumerate(texts)}
+
+
+def test_licences_are_told_apart(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", "Released under the GPL license", "Licensed under the GNU General Public License version 2.0", "cc nc by under licensed 0 4"]
+    rows = {x.doc_id: x.labels for x in licences.scan_licences(frame(spark, texts)).collect()}
+    assert rows == {0: "cc-by,cc-by-nc", 1: "cc-by", 2: "", 3: "gpl", 4: ""}  # the first holds the phrase "cc by"
+    assert licences.scan_licences(frame(spark, texts), templates=()).where("labels <> base_labels").isEmpty()
+
+
 def test_no_crash_on_hard_rows(spark, hard, empty):
     for scan in (licences.scan_licences, secrets.scan_secrets, personal.scan_personal):
         assert scan(hard).count() == hard.count() and scan(empty).count() == 0
