@@ -6,6 +6,7 @@ letters and digits became "__" and other signs became spaces, so that boundaries
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,14 +68,25 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def joined_terms() -> list[str]:
+    """The telecom patterns: each one that holds a class or a repetition alone, plain words as one alternation.
+
+    Two plain words never match at the same place, and a word within another one has a pattern of its own.
+    """
+    plain_word = re.compile(r"\\b[A-Za-z0-9]+\\b")
+    alone = [p for p in P.TELECOM if not plain_word.fullmatch(p)]
+    return [*alone, r"\b(?:" + "|".join(p[2:-2] for p in P.TELECOM if p not in alone) + r")\b"]
+
+
 def telecom_terms(ascii_text: Column) -> Column:
     """Matches of each pattern. Those that need a digit run only over texts that hold one."""
     def found(patterns: list[str]) -> Column:
         return F.flatten(F.array(*[all_matches(ascii_text, "(?i)" + p) for p in patterns]))
 
-    numbered = [p for p in P.TELECOM if r"\d" in p or "5G" in p or "[1-5]" in p]
+    terms = joined_terms()
+    numbered = [p for p in terms[:-1] if r"\d" in p or "5G" in p or "[1-5]" in p]
     digits = F.when(F.rlike(ascii_text, F.lit("[0-9]")), found(numbered)).otherwise(F.array().cast("array<string>"))
-    return F.concat(digits, found([p for p in P.TELECOM if p not in numbered]))
+    return F.concat(digits, found([p for p in terms if p not in numbered]))
 
 
 def bm25_tokens(text: Column) -> Column:
@@ -96,20 +108,26 @@ def keywords(text: Column) -> Column:
     return bind(plain(text), made)
 
 
-def phrases(text: Column) -> Column:
+def phrases(text: Column, listed: tuple[str, ...] = P.PHRASES) -> Column:
     """Listed phrases that occur, in the list's order, then titles that end a line with a colon."""
-    listed = F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(p)), F.lit(p)) for p in P.PHRASES]))
+    known = F.array(*map(F.lit, listed))
+    listed = bind(F.lower(text), lambda low: F.filter(known, lambda p: F.contains(low, p)))
     titles = F.transform(all_matches(text, r"(?m)^([A-Za-z][^:]{5,50}):$", 1), lambda t: F.trim(F.lower(t)))
     return F.concat(listed, titles)
 
 
+def either(patterns) -> str:
+    """One pattern for any of several; one alone stays as it is."""
+    return patterns if isinstance(patterns, str) else "|".join(patterns)
+
+
 def first_of(text: Column, table) -> Column:
-    """Label of the first pattern that is found in text."""
-    return reduce(lambda rest, row: F.when(F.rlike(text, F.lit(row[1])), F.lit(row[0])).otherwise(rest), reversed(table), F.lit(None).cast("string"))
+    """Label of the first row (label, pattern or patterns) that is found in text."""
+    return reduce(lambda rest, row: F.when(F.rlike(text, F.lit(either(row[1]))), F.lit(row[0])).otherwise(rest), reversed(table), F.lit(None).cast("string"))
 
 
 def all_of(text: Column, table) -> Column:
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(p)), F.lit(label)) for label, p in table]))
+    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(either(p))), F.lit(label)) for label, p in table]))
 
 
 def section_type(line: Column) -> Column:
@@ -235,7 +253,7 @@ def safe_name(title: Column) -> Column:
 
 
 def keywords_by_section(text: Column) -> Column:
-    """Section-aware generation: 18 patterns over upper-cased text (so every word of 3 to 15 letters), capitals, quoted terms.
+    """Section-aware generation: patterns over upper-cased text (so every word of 3 to 15 letters), capitals, quoted terms.
 
     Words with letters beyond ASCII give none.
     """

@@ -75,9 +75,9 @@ def plain_sql(c: str) -> str:
 
 
 def telecom_sql(c: str) -> str:
-    from lexiforge.functions.patterns import TELECOM
+    from lexiforge.functions.text import joined_terms
 
-    return "list_concat(" + ", ".join(f"regexp_extract_all({c}, '(?i){p}')" for p in TELECOM) + ")"
+    return "list_concat(" + ", ".join(f"regexp_extract_all({c}, '(?i){p}')" for p in joined_terms()) + ")"
 
 
 def tokens_sql(c: str) -> str:

@@ -14,7 +14,7 @@ from lexiforge.session import spread
 
 
 def _case(c: str, rows) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{label}'" for label, p in rows) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{T.either(p)}') THEN '{label}'" for label, p in rows) + " END"
 
 
 @query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'))) AS cleaned FROM documents")
@@ -45,9 +45,28 @@ def keywords(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.keywords(F.col("text")), ",").alias("keywords"))
 
 
-@query("SELECT doc_id, array_to_string(list_concat(" + "list_filter([" + ", ".join(f"'{p}'" for p in P.PHRASES) + "], lambda p: contains(lower(text), p)), list_transform(regexp_extract_all(text, '(?m)^([A-Za-z][^:]{5,50}):$', 1), lambda t: trim(lower(t)))), ',') AS phrases FROM documents")
+def _phrases_sql(listed) -> str:
+    known = ", ".join(f"'{p}'" for p in listed)
+    return f"SELECT doc_id, array_to_string(list_concat(list_filter([{known}], lambda p: contains(lower(text), p)), list_transform(regexp_extract_all(text, '(?m)^([A-Za-z][^:]{{5,50}}):$', 1), lambda t: trim(lower(t)))), ',') AS phrases FROM documents"
+
+
+def _phrases(spark, d, listed):
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.phrases(F.col("text"), listed), ",").alias("phrases"))
+
+
+@query(_phrases_sql(P.PHRASES))
 def phrases(spark, d):
-    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(T.phrases(F.col("text")), ",").alias("phrases"))
+    return _phrases(spark, d, P.PHRASES)
+
+
+@query(_phrases_sql(P.PHRASES_OPTIMISED))
+def phrases_optimised(spark, d):
+    return _phrases(spark, d, P.PHRASES_OPTIMISED)
+
+
+@query(_phrases_sql(P.PHRASES_BY_SECTION))
+def phrases_by_section(spark, d):
+    return _phrases(spark, d, P.PHRASES_BY_SECTION)
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)"
@@ -109,7 +128,7 @@ _HEAD = plain_sql("lower(text[1:5000])")
 
 @query(rf"""WITH t AS (SELECT doc_id, {_HEAD} AS h FROM documents)
 SELECT doc_id, {_case('h', P.VENDORS)} AS vendor, {_case('h', P.DOC_TYPES)} AS doc_type,
-  array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(h, '{p}') THEN '{t}' END" for t, p in P.TOPICS)}], lambda x: x IS NOT NULL), ',') AS topics,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(h, '{T.either(p)}') THEN '{t}' END" for t, p in P.TOPICS)}], lambda x: x IS NOT NULL), ',') AS topics,
   CASE WHEN regexp_extract(upper(h), '(TS|TR)\s*(\d{{2}}\.\d{{3}})', 2) <> '' THEN regexp_extract(upper(h), '(TS|TR)\s*(\d{{2}}\.\d{{3}})', 1) || ' ' || regexp_extract(upper(h), '(TS|TR)\s*(\d{{2}}\.\d{{3}})', 2) END AS spec
 FROM t""")
 def metadata_extract(spark, d):
@@ -213,7 +232,8 @@ def keywords_first(spark, d):
 _SECTION_TOKENS = "list_concat(" + words_sql(r"regexp_replace(lower(text), '[^\p{L}\p{N}_\x09-\x0D\x20.-]', ' ', 'g')") + ", " + ", ".join(f"regexp_extract_all({plain_sql('lower(text)')}, '{p}')" for p in P.SECTION_TOKENS) + ")"
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter({_SECTION_TOKENS}, lambda t: length(t) >= 2)) AS INTEGER) AS every, CAST(len(list_distinct(list_filter({_SECTION_TOKENS}, lambda t: length(t) >= 2))) AS INTEGER) AS tokens FROM documents")
+@query(f"SELECT doc_id, md5(array_to_string(list_sort(list_filter({_SECTION_TOKENS}, lambda t: length(t) >= 2)), ' ')) AS every, md5(array_to_string(list_sort(list_distinct(list_filter({_SECTION_TOKENS}, lambda t: length(t) >= 2))), ' ')) AS tokens FROM documents")
 def tokenize_by_section(spark, d):
     text = F.col("text")
-    return spread(table(spark, d, "documents")).select("doc_id", F.size(T.bm25_tokens_by_section(text, False)).alias("every"), F.size(T.bm25_tokens_by_section(text)).alias("tokens"))
+    told = lambda tokens: F.md5(F.array_join(F.array_sort(tokens), " "))
+    return spread(table(spark, d, "documents")).select("doc_id", told(T.bm25_tokens_by_section(text, False)).alias("every"), told(T.bm25_tokens_by_section(text)).alias("tokens"))
