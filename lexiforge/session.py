@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -40,13 +41,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the session sets none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where the session names none, one in the warehouse, or a local one without a cluster."""
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
+        found = sc._jsc.sc().getCheckpointDir()
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        root = found.get() if found.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints" if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -73,6 +76,11 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df to be broadcast if it has at most ``most`` rows, counted now; else as it is, to be joined by an exchange."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if its files are fewer than these; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
