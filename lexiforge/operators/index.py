@@ -15,16 +15,19 @@ def postings(chunks: DataFrame, name: str, terms: Column) -> DataFrame:
 
 
 def inverted_index(chunks: DataFrame) -> DataFrame:
-    """Postings of keywords (upper and lower case), phrases, sections and vendors of chunks (idx, text, section, vendor)."""
-    upper = T.keywords(F.col("text"))
-    parts = [
-        postings(chunks, "keyword", upper), postings(chunks, "keyword_lower", F.transform(upper, F.lower)), postings(chunks, "phrase", T.phrases(F.col("text"))),
-        postings(chunks.where("section IS NOT NULL"), "section", F.array("section")), postings(chunks.where("vendor IS NOT NULL"), "vendor", F.array("vendor")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Postings of keywords (upper and lower case), phrases, sections and vendors of chunks (idx, text, section, vendor).
+
+    One pass over the texts: all terms of a chunk are one array, which is exploded once.
+    """
+    def named(name: str, terms: Column) -> Column:
+        return F.transform(F.array_distinct(terms), lambda t: F.struct(F.lit(name).alias("index_name"), t.alias("term")))
+
+    def every(upper: Column) -> Column:
+        own = [named(name, F.when(F.col(name).isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))) for name in ("section", "vendor")]
+        return F.concat(named("keyword", upper), named("keyword_lower", F.transform(upper, F.lower)), named("phrase", T.phrases(F.col("text"))), *own)
+
+    listed = F.coalesce(T.bind(F.coalesce(T.keywords(F.col("text")), F.array().cast("array<string>")), every), F.array().cast("array<struct<index_name:string,term:string>>"))
+    return chunks.select("idx", F.explode(listed).alias("t")).select("t.index_name", "t.term", "idx")
 
 
 def first_postings(index: DataFrame, limit: int) -> DataFrame:

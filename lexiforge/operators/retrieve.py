@@ -12,6 +12,7 @@ from lexiforge.functions import patterns as P
 from lexiforge.functions import text as T
 from lexiforge.operators import index as I
 from lexiforge.operators import score as S
+from lexiforge.session import sent
 
 
 def feature_terms(queries: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def cascade(chunks: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
         "query_id", F.transform(T.quoted_terms(F.col("text")), F.lower).alias("quoted"), T.query_phrases(F.col("text")).alias("phrases"), F.transform(T.query_ids(F.col("text")), lambda x: x["term"]).alias("ids"),
         F.slice(T.expansions(F.col("text")), 2, 4).alias("variants"), F.filter(T.words(F.upper("text")), lambda w: F.length(w) > 3).alias("big"),
     )
-    low = texts.join(F.broadcast(asked))  # the stated query batch
+    low = texts.join(sent(asked))  # the stated query batch
     any_in = lambda terms, where: F.exists(terms, lambda t: F.contains(where, t))
     run = F.exists("phrases", lambda p: (F.length(p) > 10) & F.contains(F.col("spaced"), F.concat(F.lit(" "), p, F.lit(" "))))
     count = F.size(F.filter("big", lambda w: F.contains(F.col("up"), w)))
@@ -95,7 +96,7 @@ def cascade(chunks: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
 
 
 def smart(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Settings = V1_OPTIMISED, previous: DataFrame | None = None) -> DataFrame:
-    """query_id, idx, type, boost, hybrid, final: candidates boosted by how they were found.
+    """query_id, idx, type, boost, semantic, bm25, hybrid, final: candidates boosted by how they were found.
 
     previous (query_id, idx): what the turn before found, for continuing questions. Keyword hits raise a candidate's boost
     by 1.5 or enter with 1.2, exact hits by 2.0, continued ones start at 1.5.
@@ -118,13 +119,63 @@ def smart(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vecto
     before = has("continuation") | has("semantic") | has("bm25")
     boost = F.when(has("continuation"), F.lit(1.5)).otherwise(F.lit(1.0))
     boost = boost * F.when(has("keyword"), F.when(before, F.lit(1.5)).otherwise(F.lit(1.2))).otherwise(F.lit(1.0)) * F.when(has("exact"), F.lit(2.0)).otherwise(F.lit(1.0))
-    kind = F.coalesce(*[F.when(has(c), F.lit(label)) for c, label in (("continuation", "continuation"), ("semantic", "semantic"), ("bm25", "bm25"), ("keyword", "keyword"), ("exact", "exact_match"))])
+    found = (("continuation", "continuation"), ("semantic", "semantic"), ("bm25", "bm25"), ("keyword", "keyword"), ("exact", "exact_match"))
+    both = F.when(~has("continuation") & has("semantic") & has("bm25"), F.lit("+bm25")).otherwise(F.lit(""))
+    late = F.when(has("exact") & (before | has("keyword")), F.lit("+exact")).otherwise(F.lit(""))
+    kind = F.concat(F.coalesce(*[F.when(has(c), F.lit(label)) for c, label in found]), both, late)
     a, b, c = cfg.weights
     zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     own = F.when(has("keyword"), F.col("keyword")).when(has("continuation"), F.lit(0.7)).otherwise(F.lit(0.0))
-    scored = wide.select("query_id", "idx", kind.alias("type"), boost.alias("boost"), F.round(a * zero("semantic") + b * zero("bm25") + c * F.greatest(own, zero("exact")), 6).alias("hybrid"))
+    scored = wide.select("query_id", "idx", kind.alias("type"), boost.alias("boost"), zero("semantic").alias("semantic"), zero("bm25").alias("bm25"), F.round(a * zero("semantic") + b * zero("bm25") + c * F.greatest(own, zero("exact")), 6).alias("hybrid"))
     return scored.withColumn("final", F.round(F.col("hybrid") * F.col("boost"), 6))
 
 
+def retrieve(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Settings = V2, allowed: DataFrame | None = None, vendor: str | None = None, primary: DataFrame | None = None, reranker=S.lexical_overlap) -> DataFrame:
+    """query_id, rank, idx, type, hybrid, final: what a question gets, from candidates to the k results.
+
+    Fused candidates, of those chunks only that allowed (query_id, idx), such as ``document_stage`` gives, and the vendor
+    leave; the ``semantic_k`` best of them; re-ranked if they are more than five; of equal text heads and of equal primaries
+    (primary: idx, primary) the best one. chunks: idx, text, section, vendor.
+    """
+    fused = hybrid(chunks, queries, vectors, query_vectors, cfg)
+    if allowed is not None:
+        fused = fused.join(allowed.distinct(), ["query_id", "idx"], "left_semi")
+    shown = chunks.where(F.col("vendor") == vendor) if vendor is not None else chunks
+    kept = S.top(fused.join(shown.select("idx", "text"), "idx"), cfg.semantic_k, "hybrid").drop("rank")
+    asked = queries.select("query_id", F.col("text").alias("_q"))
+    mixed = cfg.rerank_mix[0] * F.col("hybrid") + cfg.rerank_mix[1] * F.greatest(reranker(F.col("text"), F.col("_q")), F.lit(0.0))
+    many = F.count("*").over(Window.partitionBy("query_id")) > 5
+    final = kept.join(sent(asked), "query_id").withColumn("final", F.round(F.when(many, mixed).otherwise(F.col("hybrid")), 8))
+    named = final.join(primary, "idx", "left") if primary is not None else final.withColumn("primary", F.col("idx"))
+    return S.deduplicate(named, cfg.final_k, "final").select("query_id", "rank", "idx", "type", "hybrid", "final")
+
+
+def smart_retrieve(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, adjacency: DataFrame, section_vectors: DataFrame | None = None, cfg: Settings = V1_OPTIMISED, previous: DataFrame | None = None, primary: DataFrame | None = None, reranker=S.lexical_overlap) -> DataFrame:
+    """query_id, rank, idx, type, final: the boosted candidates with sections and neighbours, re-ranked at the head, without duplicates.
+
+    section_vectors (query_id, vector): of what a question names as a section; all chunks of the section of the nearest chunk
+    enter with 0.3. Neighbours (adjacency: idx, neighbour) of the ``final_k`` best by semantic and BM25 scores enter with 0.1
+    and a boost of 0.8. The first 2 * semantic_k candidates are mixed with the re-ranker's score if there are more than five.
+    """
+    own = smart(chunks, queries, vectors, query_vectors, cfg, previous).select("query_id", "idx", "type", "semantic", "bm25", "final")
+    worth = lambda keyword, boost: F.round(F.round(F.lit(cfg.weights[2] * keyword), 6) * boost, 6).alias("final")
+    none = [F.lit(0.0).alias("semantic"), F.lit(0.0).alias("bm25")]
+    if section_vectors is not None:
+        nearest = S.top(S.cosine(vectors, section_vectors), 1).join(chunks.select("idx", "section"), "idx").where("section IS NOT NULL").select("query_id", "section")
+        whole = nearest.join(chunks.select("idx", "section"), "section").select("query_id", "idx")
+        more = whole.join(own, ["query_id", "idx"], "left_anti").select("query_id", "idx", F.lit("section").alias("type"), *none, worth(0.3, 1.0))
+        own = own.unionByName(more)
+    head = S.top(own.withColumn("_both", F.col("semantic") + F.col("bm25")), cfg.final_k, "_both").select("query_id", "idx")
+    beside = head.join(adjacency, "idx").select("query_id", F.col("neighbour").alias("idx")).distinct()
+    own = own.unionByName(beside.join(own, ["query_id", "idx"], "left_anti").select("query_id", "idx", F.lit("adjacent").alias("type"), *none, worth(0.1, 0.8)))
+    told = own.join(chunks.select("idx", "text"), "idx").join(sent(queries.select("query_id", F.col("text").alias("_q"))), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("final"), "idx")
+    placed = told.withColumn("_place", F.row_number().over(order)).withColumn("_many", F.count("*").over(Window.partitionBy("query_id")) > 5)
+    mixed = cfg.rerank_mix[0] * F.col("final") + cfg.rerank_mix[1] * F.greatest(reranker(F.col("text"), F.col("_q"), 1 << 30), F.lit(0.0))
+    ranked = placed.withColumn("final", F.round(F.when(F.col("_many") & (F.col("_place") <= 2 * cfg.semantic_k), mixed).otherwise(F.col("final")), 8))
+    named = ranked.join(primary, "idx", "left") if primary is not None else ranked.withColumn("primary", F.col("idx"))
+    return S.deduplicate(named, cfg.final_k, "final").select("query_id", "rank", "idx", "type", "final")
+
+
 def contains_any(text: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(F.lower(text), F.lower(t)))

@@ -9,7 +9,7 @@ from lexiforge.config import V2, Settings
 from lexiforge.functions import measures as X
 from lexiforge.functions import text as T
 from lexiforge.operators import index as I
-from lexiforge.session import materialise
+from lexiforge.session import materialise, sent
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -37,10 +37,12 @@ def top(scored: DataFrame, k: int, score: str = "score", by: str = "query_id") -
 
 def keyword_scores(index: DataFrame, terms: DataFrame, limit: int = 30, upper: float = 1.0, lower: float = 0.5) -> DataFrame:
     """query_id, idx, score: postings of query terms (query_id, term, repeats counted), over each query's largest."""
-    first = I.first_postings(index.where(F.col("index_name").isin("keyword", "keyword_lower")), limit)
     up = terms.select("query_id", F.upper("term").alias("term"), F.lit("keyword").alias("index_name"), F.lit(upper).alias("w"))
     low = terms.select("query_id", F.lower("term").alias("term"), F.lit("keyword_lower").alias("index_name"), F.lit(lower).alias("w"))
-    summed = first.join(up.unionByName(low), ["index_name", "term"]).groupBy("query_id", "idx").agg(F.sum("w").alias("raw"))
+    asked = up.unionByName(low)
+    # only postings of asked terms are ranked
+    met = index.join(sent(asked.select("index_name", "term").distinct()), ["index_name", "term"], "left_semi")
+    summed = I.first_postings(met, limit).join(asked, ["index_name", "term"]).groupBy("query_id", "idx").agg(F.sum("w").alias("raw"))
     return summed.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).drop("raw")
 
 
@@ -48,7 +50,7 @@ def exact_scores(chunks: DataFrame, terms: DataFrame, boost: float = 3.0) -> Dat
     """query_id, idx, score: non-overlapping occurrences of terms, each worth ``boost``, once more if one stands alone; over the largest."""
     asked = terms.select("query_id", F.lower("term").alias("term")).where("term <> ''")
     low = chunks.select("idx", F.lower("text").alias("low"))
-    found = low.join(F.broadcast(asked), F.contains(F.col("low"), F.col("term")))  # the stated query batch
+    found = low.join(sent(asked), F.contains(F.col("low"), F.col("term")))  # the stated query batch
     count = (F.length("low") - F.length(F.replace("low", "term", F.lit("")))) / F.length("term")
     edge = F.lit(r"(?:^|[^\p{L}\p{N}_])")
     end = F.lit(r"(?:$|[^\p{L}\p{N}_])")
@@ -59,7 +61,7 @@ def exact_scores(chunks: DataFrame, terms: DataFrame, boost: float = 3.0) -> Dat
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, idx, score (5 decimals): inner product of unit vectors (idx, embedding) with queries (query_id, vector)."""
-    pairs = vectors.join(F.broadcast(queries))  # the stated query batch against all rows
+    pairs = vectors.join(sent(queries))  # the stated query batch against all rows
     return pairs.select("query_id", "idx", F.round(X.dot(F.col("embedding"), F.col("vector")), 5).alias("score"))
 
 
@@ -82,7 +84,7 @@ def fuse(semantic: DataFrame, bm25_: DataFrame, keyword: DataFrame, exact: DataF
         every = every.unionByName(p)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score")))
     wide = every.groupBy("query_id", "idx").agg(*[of(kind).alias(f"_{kind}") for kind, _ in KINDS])
-    has = [F.when(F.col(f"_{kind}").isNotNull(), F.lit(kind if False else tag)) for kind, tag in KINDS]
+    has = [F.when(F.col(f"_{kind}").isNotNull(), F.lit(tag)) for kind, tag in KINDS]
     first = F.coalesce(*[F.when(F.col(f"_{kind}").isNotNull(), F.lit(kind)) for kind, _ in KINDS])
     tags = F.array_compact(F.array(*has))
     label = F.concat_ws("+", first, F.slice(tags, F.lit(2), F.greatest(F.size(tags) - 1, F.lit(0))))

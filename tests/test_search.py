@@ -154,6 +154,8 @@ def test_smart_in_sequence(spark):
     found = {i: {"s": 0.0, "b": 0.0, "k": 0.7, "type": "continuation", "boost": 1.5} for i in (0, 5)}
     for name, hits, label in (("s", near, "semantic"), ("b", bm, "bm25")):
         for i, v in hits.items():
+            if name == "b" and found.get(i, {}).get("type") == "semantic":
+                found[i]["type"] += "+bm25"
             found.setdefault(i, {"s": 0.0, "b": 0.0, "k": 0.0, "type": label, "boost": 1.0})[name] = v
     for i, v in key.items():
         if i in found:
@@ -165,6 +167,7 @@ def test_smart_in_sequence(spark):
         if i in found:
             found[i]["k"] = max(found[i]["k"], v)
             found[i]["boost"] *= 2.0
+            found[i]["type"] += "+exact"
         else:
             found[i] = {"s": 0.0, "b": 0.0, "k": v, "type": "exact_match", "boost": 2.0}
     assert set(got) == set(found)
