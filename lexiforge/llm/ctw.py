@@ -37,7 +37,7 @@ from lexiforge.llm.words import Block, blocks, hashes, words
 DEPTH = 6
 CUT = 3
 FREQUENT = 1 << 17
-FREQUENT_GRAMS = 1 << 22
+FREQUENT_GRAMS = 3 << 20
 SHARD_ROWS = 1 << 17  # grams fitted together, more if one shard has more
 END_BYTE = 0xFF  # no byte of UTF-8
 END_WORD = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -263,9 +263,8 @@ def frequent_grams(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     rows = logs.where(F.col("n") >= least).select("key", "log").toArrow() if least <= cap else None  # at most ``most``
     if rows is None:
         return np.zeros(0, np.int64), np.zeros(0)
-    key, log = rows.column("key").to_numpy(), rows.column("log").to_numpy()
-    order = np.argsort(key)
-    return key[order], log[order]
+    rows = rows.sort_by("key")
+    return rows.column("key").to_numpy(), rows.column("log").to_numpy()
 
 
 class Model:
