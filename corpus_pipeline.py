@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages of the training-data operators, each written as Parquet and read again as the next one's input.
 
-quality rules drop what they reject; of each group of near copies the document with the smallest id stays; personal data
-is masked in the text; sources are mixed to their target weights (documents repeat or go); what is left is packed along a
-space-filling curve. All stages but the last return the columns of documents.
+quality rules drop what they reject; of each group of near copies one row stays; personal data is masked in the text;
+sources are mixed to their target weights (documents repeat or go); what is left is packed along a space-filling curve.
+All stages but the last return the columns of documents, extra ones included, whatever their names.
+
+Null texts fail the quality rules. doc_ids may be null or repeated: rows are told apart by a written number where it matters,
+and different texts that share an id all stay. Equal rows count as copies. Texts are whole, whatever their length. Every
+stage takes an empty table.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Beside it the base score: word unigrams with add-0.1 smoothing. Word counts of a
 64-bit word hash; the ``FREQUENT`` most frequent words are scored where the text is, all others by a join with the counts.
 
 Training text is every document whose crc32(doc_id) modulo 10 is not 0. Null text is empty (one token, the end). Rows that
-share a doc_id are each counted and scored; null doc_ids count as held out and are scored each. An empty table gives no rows.
+share a doc_id are each counted and scored; null doc_ids count as held out and are scored each. A text of any length is read
+whole. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

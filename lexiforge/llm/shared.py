@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.session import materialise, scratch_path, ship
 
-__all__ = ["arrow_map", "by_ranges", "join_rules", "materialise", "null_safe", "plan_bytes", "row_key", "salted_join", "scratch_path"]
+__all__ = ["arrow_map", "by_ranges", "join_rules", "materialise", "null_safe", "plan_bytes", "salted_join", "scratch_path"]
 
 
 BATCH_ROWS = 1000  # of an Arrow batch of texts, where the session has Spark's default of 10,000
@@ -56,11 +56,6 @@ def by_ranges(df: DataFrame, size: int | None, *keys: str, range_bytes: int = 16
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
-    """Columns that tell rows apart when a doc_id occurs more than once with other texts."""
-    return [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
-
-
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join in which null keys meet; the right side's keys are dropped."""
     renamed = right
