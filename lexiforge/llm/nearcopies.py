@@ -396,7 +396,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     laid = laid.repartition(*keys).sortWithinPartitions(*keys, "rep")
     meet = _meet(min(SHALLOW, enough_depth(similarity)), similarity)
     likely = materialise(arrow_map(laid, meet, "place int, prefix long, pair long, part int, rep long, partners binary"), "likely")
-    one = classes.join(likely.select("rep").distinct(), "rep", "left_semi").select("doc")  # one row's text of each class is enough
+    # one row's text of each class is enough; a table, whose size is known before the texts are joined
+    one = materialise(classes.join(likely.select("rep").distinct(), "rep", "left_semi").select("doc").distinct(), "wanted")
     chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text")
     sets = arrow_map(chosen, _sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
     together = likely.join(classes.select("rep", "weight"), "rep").join(sets, "rep")
