@@ -18,6 +18,20 @@ def pieces(results: DataFrame, cut: int = 2000) -> DataFrame:
     return results.withColumn("piece", F.concat(head, F.substring("text", 1, cut)))
 
 
+def pieces_by_source(results: DataFrame, most: int = 5, cut: int = 2000) -> DataFrame:
+    """The section-aware generation's pieces: of the first ``most`` results, with source, page, section and score in the header line."""
+    pages = F.when(F.size("pages") > 0, F.concat(F.element_at("pages", 1).cast("string"), F.lit("-"), F.element_at("pages", -1).cast("string"))).otherwise(F.lit("N/A"))
+    section = F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" | Section: "), "section")).otherwise(F.lit(""))
+    head = F.concat(F.format_string("[Document %d] Source: ", F.col("rank")), F.coalesce("source", F.lit("unknown")), F.lit(" | Page: "), pages, section, F.lit(" | Score: "), F.format_string("%.3f", F.col("score")), F.lit("\n"))
+    return results.where(F.col("rank") <= most).withColumn("piece", F.concat(head, F.substring("text", 1, cut)))
+
+
+def pieces_first(results: DataFrame) -> DataFrame:
+    """The first generation's pieces: whole texts under source, page and score in brackets. page: the result's page."""
+    head = F.concat(F.lit("["), "source", F.lit(" | page "), F.col("page").cast("string"), F.lit(" | score="), F.format_string("%.3f", F.col("score")), F.lit("]\n"))
+    return results.withColumn("piece", F.concat(head, "text"))
+
+
 def within_budget(numbered: DataFrame, max_tokens: int = V2.context_tokens) -> DataFrame:
     """Pieces (query_id, rank, piece) up to the first that would exceed four characters a token."""
     total = F.sum(F.length("piece")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

@@ -143,6 +143,13 @@ def minhash_prefixed(docs: DataFrame, hashes: int = 128, k: int = 5) -> DataFram
     return docs.select("idx", T.bind(T.shingles(F.col("text"), k), of).alias("signature"))
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """idx, content_hash, minhash, simhash, shingles, chars of docs (idx, text): all that later comparisons need."""
+    text = F.col("text")
+    own = docs.select("idx", F.sha2(T.normalise(text), 256).alias("content_hash"), F.size(T.shingles(text)).alias("shingles"), F.length(T.normalise(text)).cast("long").alias("chars"))
+    return own.join(minhash_prefixed(docs).withColumnRenamed("signature", "minhash"), "idx").join(simhashes(docs), "idx")
+
+
 def fingerprint_matches(candidates: DataFrame, threshold: float = 0.95) -> DataFrame:
     """x, y, score of candidate pairs: 1 for equal hashes, else the MinHash similarity if it reaches the threshold, else SimHash's.
 

@@ -86,9 +86,16 @@ def combined_similarity(spark, d):
     return both.select("x", "y", F.round(X.combined(F.col("similarity"), X.hamming_similarity(F.col("hx"), F.col("hy")), F.col("nx"), F.col("ny")), 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SHINGLES}, {_FIRST}, f AS (SELECT flat.* FROM flat JOIN firsts USING (idx)), n AS (SELECT idx, count(*) AS n FROM f GROUP BY idx),
+common AS (SELECT a.idx AS x, b.idx AS y, count(*) AS c FROM f a JOIN f b ON a.t = b.t AND a.idx < b.idx GROUP BY ALL),
+alike AS (SELECT x, y FROM common JOIN n p ON p.idx = x JOIN n q ON q.idx = y WHERE c / (p.n + q.n - c) >= 0.8
+  UNION SELECT p, idx FROM (SELECT doc_id AS idx, min(doc_id) OVER (PARTITION BY md5({norm_sql('text')})) AS p FROM documents) WHERE idx <> p),
+earlier AS MATERIALIZED (SELECT idx, place, coalesce(xs, []) AS xs FROM (SELECT doc_id AS idx, row_number() OVER (ORDER BY doc_id) AS place FROM documents) LEFT JOIN (SELECT y AS idx, list(x) AS xs FROM alike GROUP BY y) USING (idx)),
+fold(i, acc) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(xs, acc)) = 0 THEN list_append(acc, idx) ELSE acc END FROM fold JOIN earlier ON place = i + 1),
+done AS (SELECT acc FROM fold ORDER BY i DESC LIMIT 1)
+SELECT idx, list_contains(acc, idx) AS accepted, CASE WHEN NOT list_contains(acc, idx) THEN list_min(list_intersect(xs, acc)) END AS duplicate_of FROM earlier, done""")
 def near_dup_resolved(spark, d):
-    """Acceptance in order of arrival; held against a sequential version in the tests."""
+    """Acceptance in order of arrival."""
     ensure_checkpoint(spark)
     docs = _docs(spark, d)
     pairs = D.jaccard_pairs(docs).select("x", "y")
@@ -96,10 +103,13 @@ def near_dup_resolved(spark, d):
     return D.accept_in_order(docs.select("idx"), pairs.unionByName(copies))
 
 
-@query(f"""WITH {_SHINGLES} SELECT doc_id, sha256({norm_sql('text')}) AS content_hash, CAST(len(s) AS INTEGER) AS shingles, length(text) AS chars FROM documents JOIN sh ON idx = doc_id""")
+@query(f"""WITH {_SHINGLES}, {_SIMHASH}, sig AS (SELECT idx, i, min(substr(md5(i::VARCHAR || ':' || t), 1, 16)) AS m FROM flat, (SELECT unnest(range(0, 128)) AS i) GROUP BY idx, i),
+signed AS (SELECT idx, md5(string_agg(m, ',' ORDER BY i)) AS minhash FROM sig GROUP BY idx)
+SELECT doc_id, sha256({norm_sql('text')}) AS content_hash, minhash, CAST(CASE WHEN simhash >= 9223372036854775808 THEN simhash::HUGEINT - 18446744073709551616 ELSE simhash END AS BIGINT) AS simhash,
+  CAST(len(s) AS INTEGER) AS shingles, length({norm_sql('text')}) AS chars FROM documents JOIN sh ON sh.idx = doc_id JOIN signed ON signed.idx = doc_id JOIN sims ON sims.idx = doc_id""")
 def fingerprints(spark, d):
-    text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalise(text), 256).alias("content_hash"), F.size(T.shingles(text)).alias("shingles"), F.length(text).cast("long").alias("chars"))
+    """The whole record of a text: hash, MinHash (as a digest), SimHash, shingles and length of its normal form."""
+    return D.fingerprints(_docs(spark, d)).select(F.col("idx").alias("doc_id"), "content_hash", F.md5(F.array_join("minhash", ",")).alias("minhash"), "simhash", "shingles", "chars")
 
 
 @query(f"""WITH {_SHINGLES}, sig AS (SELECT idx, i, min(substr(md5(i::VARCHAR || ':' || t), 1, 16)) AS m FROM flat, (SELECT unnest(range(0, 128)) AS i) GROUP BY idx, i)

@@ -208,6 +208,15 @@ def context_budget(spark, d):
     return K.context(kept).join(kept.groupBy("query_id").agg(F.count("*").alias("pieces")), "query_id").select("query_id", "pieces", F.md5("context").alias("context"))
 
 
+@query(f"""WITH {_KEPT12} SELECT query_id, md5(string_agg('[Document ' || rank || '] Source: ' || source || ' | Page: N/A | Section: ' || source || ' | Score: ' || printf('%.3f', score) || chr(10) || text[1:2000], chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 5)) AS by_source,
+  md5(string_agg('[' || source || ' | page ' || idx || ' | score=' || printf('%.3f', score) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS first FROM kept GROUP BY query_id""")
+def context_formats(spark, d):
+    """The contexts of the other generations; a document's id stands for its page."""
+    told = _kept12(spark, d).join(chunks(spark, d), "idx").withColumn("pages", F.array().cast("array<int>")).withColumn("page", F.col("idx"))
+    first = K.context(K.pieces_first(told)).select("query_id", F.md5("context").alias("first"))
+    return K.context(K.pieces_by_source(told)).select("query_id", F.md5("context").alias("by_source")).join(first, "query_id")
+
+
 @query(f"""WITH {_KEPT12}, kept3 AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 3)
 SELECT query_id, source AS section, md5(('Section: ' || source || chr(10) || string_agg('[' || source || ']' || chr(10) || text[1:1000] || chr(10), '' ORDER BY rank))[1:500]) AS text FROM kept3 GROUP BY query_id, source""")
 def compressed_sections(spark, d):

@@ -36,10 +36,31 @@ def fixed_chunks(spark, d):
     return S.fixed_chunks(table(spark, d, "documents")).select("doc_id", "pos", F.md5("chunk").alias("chunk"))
 
 
-@query()
+#: Chunkers as recursions: each round works off one line or element of every document.
+_CHUNK = "STRUCT(t VARCHAR, p INTEGER[], s VARCHAR)[]"
+_PAGE_CHUNKS = f"""{_LINES}, sects AS MATERIALIZED (SELECT path, page_id, line, coalesce(last_value({_HEADER} IGNORE NULLS) OVER (PARTITION BY path ORDER BY page_id ROWS UNBOUNDED PRECEDING), 'Introduction') AS section FROM lines),
+fold(path, i, cur, pages, section, out) AS (
+  SELECT doc_id, 0, '', []::INTEGER[], NULL::VARCHAR, []::{_CHUNK} FROM documents
+  UNION ALL
+  SELECT path, i + 1, CASE WHEN fits THEN cur1 WHEN length(cur1) > 80 THEN right(cur1, 80) ELSE '' END || chr(10) || '[Page ' || page_id || ']' || chr(10) || line,
+    CASE WHEN fits THEN list_append(pages1, page_id) ELSE [page_id] END, turned_to, CASE WHEN NOT fits AND cur1 <> '' THEN list_append(out1, {{'t': cur1, 'p': pages1, 's': section}}) ELSE out1 END
+  FROM (SELECT *, length(cur1) + length(line) <= 800 AS fits FROM (
+    SELECT path, i, page_id, line, section, turned_to, CASE WHEN turned THEN '' ELSE cur END AS cur1, CASE WHEN turned THEN [] ELSE pages END AS pages1,
+      CASE WHEN turned AND length(cur) > 100 THEN list_append(out, {{'t': cur, 'p': pages, 's': section}}) ELSE out END AS out1
+    FROM (SELECT f.*, s.page_id, s.line, s.section AS turned_to, (f.section IS NULL OR s.section <> f.section) AND f.cur <> '' AS turned FROM fold f JOIN sects s ON s.path = f.path AND s.page_id = f.i + 1)))),
+gathered AS (SELECT path, CASE WHEN length(cur) > 100 THEN list_append(out, {{'t': cur, 'p': pages, 's': section}}) ELSE out END AS out FROM fold QUALIFY row_number() OVER (PARTITION BY path ORDER BY i DESC) = 1),
+chunked AS MATERIALIZED (SELECT path, unnest(out) AS c, generate_subscripts(out, 1) AS no FROM gathered)"""
+
+
+def _told(chunked):
+    """Chunks with their texts and sections as digests and their pages as a list."""
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ",")
+    return chunked.select("path", "chunk_no", F.md5("text").alias("text"), pages.alias("pages"), F.md5("section").alias("section"))
+
+
+@query(f"WITH RECURSIVE {_PAGE_CHUNKS} SELECT path, CAST(no - 1 AS INTEGER) AS chunk_no, md5(c.t) AS text, array_to_string(c.p, ',') AS pages, md5(c.s) AS section FROM chunked")
 def page_chunks(spark, d):
-    """Held against a sequential version in the tests."""
-    return S.page_chunks(S.page_sections(document_lines(spark, d)), SMALL)
+    return _told(S.page_chunks(S.page_sections(document_lines(spark, d)), SMALL))
 
 
 @query()
@@ -48,10 +69,17 @@ def hier_chunks(spark, d):
     return S.hierarchical_chunks(S.page_sections(document_lines(spark, d)), SMALL)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAGE_CHUNKS}, merged(path, i, acc) AS (
+  SELECT DISTINCT path, CAST(0 AS BIGINT), []::{_CHUNK} FROM chunked
+  UNION ALL
+  SELECT m.path, i + 1, CASE WHEN len(acc) > 0 AND acc[-1].s = c.s AND length(acc[-1].t) + length(c.t) < 1500
+    THEN list_append(acc[1:len(acc) - 1], {{'t': acc[-1].t || chr(10) || c.t, 'p': list_sort(list_distinct(list_concat(acc[-1].p, c.p))), 's': c.s}}) ELSE list_append(acc, c) END
+  FROM merged m JOIN chunked k ON k.path = m.path AND k.no = m.i + 1),
+whole AS (SELECT path, acc FROM merged QUALIFY row_number() OVER (PARTITION BY path ORDER BY i DESC) = 1),
+told AS (SELECT path, unnest(acc) AS c, generate_subscripts(acc, 1) AS no FROM whole)
+SELECT path, CAST(no - 1 AS INTEGER) AS chunk_no, md5(c.t) AS text, array_to_string(c.p, ',') AS pages, md5(c.s) AS section FROM told""")
 def merged_chunks(spark, d):
-    """Held against a sequential version in the tests."""
-    return S.merge_chunks(S.page_chunks(S.page_sections(document_lines(spark, d)), SMALL), 1500)
+    return _told(S.merge_chunks(S.page_chunks(S.page_sections(document_lines(spark, d)), SMALL), 1500))
 
 
 def _elements(spark, d):
@@ -86,10 +114,21 @@ def element_documents(spark, d):
     return _elements(spark, d).groupBy("path").agg(F.coalesce(head, F.lit("Untitled Document")).alias("title"), F.count("*").alias("elements"), F.md5(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n")).alias("content_hash"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ELEMENTS}, fold(path, i, cur, pages, section, out) AS (
+  SELECT DISTINCT path, CAST(0 AS BIGINT), '', []::INTEGER[], '', []::{_CHUNK} FROM elements
+  UNION ALL
+  SELECT path, i + 1, CASE WHEN length(cur2) >= 300 THEN right(cur2, 50) ELSE cur2 END, [1], named, CASE WHEN length(cur2) >= 300 THEN list_append(out2, {{'t': cur2, 'p': [1], 's': named}}) ELSE out2 END
+  FROM (SELECT *, CASE WHEN cur1 = '' THEN content WHEN over THEN right(cur1, 50) || chr(10) || content ELSE cur1 || chr(10) || content END AS cur2,
+      CASE WHEN over AND length(cur1) >= 40 THEN list_append(out1, {{'t': cur1, 'p': [1], 's': named}}) ELSE out1 END AS out2
+    FROM (SELECT *, length(cur1) + length(content) + 1 > 400 AS over FROM (
+      SELECT path, i, content, CASE WHEN kind = 'heading' THEN content ELSE section END AS named, CASE WHEN flushed THEN '' ELSE cur END AS cur1,
+        CASE WHEN flushed THEN list_append(out, {{'t': cur, 'p': pages, 's': section}}) ELSE out END AS out1
+      FROM (SELECT f.*, e.kind, e.content, e.kind = 'heading' AND length(f.cur) >= 40 AS flushed FROM fold f JOIN elements e ON e.path = f.path AND e.ord = f.i + 1))))),
+whole AS (SELECT path, CASE WHEN length(cur) >= 40 THEN list_append(out, {{'t': cur, 'p': pages, 's': section}}) ELSE out END AS out FROM fold QUALIFY row_number() OVER (PARTITION BY path ORDER BY i DESC) = 1),
+told AS (SELECT path, unnest(out) AS c, generate_subscripts(out, 1) AS no FROM whole)
+SELECT path, CAST(no - 1 AS INTEGER) AS chunk_no, md5(c.t) AS text, array_to_string(c.p, ',') AS pages, md5(c.s) AS section FROM told""")
 def element_chunks(spark, d):
-    """Held against a sequential version in the tests."""
-    return S.element_chunks(_elements(spark, d), Settings(chunk_size=300, chunk_overlap=50, max_chunk=400, min_chunk=40))
+    return _told(S.element_chunks(_elements(spark, d), Settings(chunk_size=300, chunk_overlap=50, max_chunk=400, min_chunk=40)))
 
 
 def _strip(tags: tuple[str, ...]) -> str:
