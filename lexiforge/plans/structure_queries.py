@@ -173,18 +173,30 @@ def markdown_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(H.markdown_text(F.col("text"))).alias("text"), F.md5(H.markdown_plain(F.col("text"))).alias("plain"))
 
 
-@query(rf"""WITH s AS (SELECT doc_id, lang, text, source FROM documents)
-SELECT doc_id, md5('Vendor: ' || lang || chr(10) || 'Topics: ' || source || ', ' || lang || CASE WHEN text <> '' THEN chr(10) || 'Content preview: ' || text[1:1000] ELSE '' END) AS summary FROM s""")
+_TITLE = r"""trim(CASE WHEN regexp_extract(text[1:1000], '(?m)^#\s*(.+)$', 1) <> '' THEN regexp_extract(text[1:1000], '(?m)^#\s*(.+)$', 1) ELSE regexp_extract(text[1:1000], '(?m)^(.+)\n[=\-]{3,}', 1) END)"""
+_SPEC = r"""CASE WHEN regexp_extract(upper(text[1:5000]), '(TS|TR)\s*(\d{2}\.\d{3})', 2) <> '' THEN regexp_extract(upper(text[1:5000]), '(TS|TR)\s*(\d{2}\.\d{3})', 1) || ' ' || regexp_extract(upper(text[1:5000]), '(TS|TR)\s*(\d{2}\.\d{3})', 2) END"""
+_VERSION = r"coalesce(nullif(regexp_extract(lower(source), 'v(\d+(?:\.\d+)*)', 1), ''), nullif(regexp_extract(lower(source), 'rel[ease]*[-_]?(\d+)', 1), ''), nullif(regexp_extract(lower(source), 'l(\d{2}[a-z])', 1), ''), nullif(regexp_extract(lower(source), '(\d{4}[-_]\d{2})', 1), ''), nullif(regexp_extract(lower(source), 'rev[ision]*[-_]?(\d+)', 1), ''))"
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT path, page_id, coalesce(last_value({_HEADER} IGNORE NULLS) OVER (PARTITION BY path ORDER BY page_id ROWS UNBOUNDED PRECEDING), 'Introduction') AS section FROM lines),
+heads AS (SELECT path, list(section ORDER BY first)[1:20] AS s FROM (SELECT path, section, min(page_id) AS first FROM c GROUP BY ALL) GROUP BY path),
+s AS (SELECT doc_id, source, lang, text, {_TITLE} AS title, {_VERSION} AS version, {_SPEC} AS spec, array_to_string(h.s, '; ') AS sections FROM documents JOIN heads h ON path = doc_id)
+SELECT doc_id, md5(concat_ws(chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, 'Vendor: ' || lang, 'Version: ' || version, 'Specification: ' || spec, 'Topics: ' || source || ', ' || lang, 'Sections: ' || sections, CASE WHEN text <> '' THEN 'Content preview: ' || text[1:1000] END)) AS summary FROM s""")
 def document_summary(spark, d):
-    none = F.lit(None).cast("string")
-    docs = table(spark, d, "documents").select("doc_id", "text", none.alias("title"), F.col("lang").alias("vendor"), none.alias("version"), none.alias("spec_number"), F.array("source", "lang").alias("topics"), F.array().cast("array<string>").alias("sections"))
-    return S.document_summary(docs).select("doc_id", F.md5("summary").alias("summary"))
+    """The language stands for the vendor, source and language for the topics; the source's name holds the version."""
+    maps = S.section_maps(S.page_sections(document_lines(spark, d))).select("path", F.struct(F.element_at("pages", 1).alias("first"), "section").alias("_s"))
+    heads = maps.groupBy(F.col("path").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["section"]).alias("sections"))
+    text = F.col("text")
+    docs = table(spark, d, "documents").select("doc_id", "text", M.title(text).alias("title"), F.col("lang").alias("vendor"), M.version(F.col("source")).alias("version"), M.spec_number(text).alias("spec_number"), F.array("source", "lang").alias("topics"))
+    return S.document_summary(docs.join(heads, "doc_id")).select("doc_id", F.md5("summary").alias("summary"))
 
 
-@query(r"""SELECT page_id, lower(lang || '_TS38.331' || '_v' || '16.1') AS doc_key, 'Figure: ' || url || chr(10) || 'Content: ' || page_id AS image, regexp_replace(trim(url), '[<>:"/\\|?*]', '_', 'g')[1:150] AS file_name
-FROM (SELECT page_id, url, 'en' AS lang FROM pages)""")
+@query(f"""WITH s AS (SELECT doc_id, nullif(lang, 'en') AS vendor, replace({_SPEC}, ' ', '') AS spec, 'v' || {_VERSION} AS version, source || '.' || doc_id AS stem, source, lang, text FROM documents),
+k AS (SELECT *, concat_ws('_', vendor, spec, version) AS parts FROM s)""" + r"""
+SELECT doc_id, lower(CASE WHEN parts = '' THEN stem ELSE parts END) AS doc_key, 'Figure: ' || stem || chr(10) || 'Content: ' || md5(text) AS image, regexp_replace(trim(text[1:200]), '[<>:"/\\|?*]', '_', 'g')[1:150] AS file_name FROM k""")
 def naming(spark, d):
-    """Document ids, image texts and safe file names."""
-    key = M.document_id(F.lit("en"), F.lit("TS 38.331"), F.lit("16.1"), F.col("url"))
-    image = T.image_text(F.col("url"), F.lit(None).cast("string"), F.col("page_id").cast("string"))
-    return table(spark, d, "pages").select("page_id", key.alias("doc_key"), image.alias("image"), T.safe_name(F.col("url")).alias("file_name"))
+    """Document ids, image texts and safe file names. Other languages than English stand for vendors."""
+    path = F.concat(F.lit("all/"), "source", F.lit("."), F.col("doc_id").cast("string"), F.lit(".txt"))
+    key = M.document_id(F.expr("nullif(lang, 'en')"), M.spec_number(F.col("text")), M.version(F.col("source")), path)
+    image = T.image_text(M.stem(path), F.lit(None).cast("string"), F.md5("text"))
+    return table(spark, d, "documents").select("doc_id", key.alias("doc_key"), image.alias("image"), T.safe_name(F.substring("text", 1, 200)).alias("file_name"))

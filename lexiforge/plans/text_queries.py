@@ -209,11 +209,18 @@ def figure_references(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", F.size(T.figure_references(F.col("text"))).alias("n"))
 
 
-@query("""SELECT event_type, round(avg(list_dot_product([value, value + 1.0], [2.0, 1.0])), 6) AS mean_dot, CAST(sum(bit_count(xor(event_id, user_id))) AS BIGINT) AS bits FROM events GROUP BY event_type""")
+@query(f"""WITH w AS (SELECT doc_id, list_distinct({words_sql('lower(text)')}) AS w, length(text) AS n, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+pairs AS (SELECT a.doc_id, a.n AS n, b.n AS m, list_dot_product(a.e, b.e) AS dot, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS jaccard,
+  1 - bit_count(xor(a.doc_id, b.doc_id)) / 64.0 AS bits FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, round(jaccard, 6) AS jaccard, round(dot, 6) AS dot, round(0.5 * jaccard + 0.3 * bits + 0.2 * (least(n, m) / greatest(n, m, 1)), 6) AS combined FROM pairs""")
 def measure_checks(spark, d):
-    events = table(spark, d, "events")
-    pair = F.array(F.col("value"), F.col("value") + 1.0)
-    return events.groupBy("event_type").agg(F.round(F.avg(X.dot(pair, F.array(F.lit(2.0), F.lit(1.0)))), 6).alias("mean_dot"), F.sum(F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id")))).cast("long").alias("bits"))
+    """Measures of each document and the next one; their ids stand for SimHashes."""
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.array_distinct(T.words(F.lower("text"))).alias("w"), F.length("text").alias("n"))
+    one = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    other = one.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"), F.col("n").alias("m"), F.col("embedding").alias("e"))
+    jaccard = X.jaccard(F.col("w"), F.col("v"))
+    told = X.combined(jaccard, X.hamming_similarity(F.col("doc_id"), F.col("doc_id") + 1), F.col("n"), F.col("m"))
+    return one.join(other, "doc_id").select("doc_id", F.round(jaccard, 6).alias("jaccard"), F.round(X.dot(F.col("embedding"), F.col("e")), 6).alias("dot"), F.round(told, 6).alias("combined"))
 
 
 _UPPER = f"upper({plain_sql('text')})"
