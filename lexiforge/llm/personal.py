@@ -101,9 +101,12 @@ def confirmed(name: str, match: Column) -> Column:
 
 
 def groups_of(values: Column, size: int) -> Column:
-    """The array cut to arrays of ``size``; an empty one gives none."""
-    n = F.ceil(F.size(values) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * size + 1, F.lit(size))))
+    """The array cut to arrays of ``size``; null for an empty one. A slice reads its whole array, so it is first cut to larger groups."""
+    def cut(some: Column, length: int) -> Column:
+        n = F.ceil(F.size(some) / length).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(some, i * length + 1, F.lit(length))))
+
+    return F.flatten(F.transform(cut(values, size * GROUP), lambda g: cut(g, size)))
 
 
 def before(values: Column, combine, levels: int = LEVELS) -> Column:
@@ -184,19 +187,18 @@ def written(text: Column, pieces: Column, start: Column, levels: int = LEVELS) -
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in angle brackets; overlapping spans become one. n_chars follows."""
-    def marked(t: Column, kind: Kind) -> Column:
-        return F.transform(spans_of(t, kind), lambda s: F.struct(s["start"], s["end"], F.lit(f"<{kind.name.upper()}>").alias("mark")))
-
-    def cover(t: Column) -> Column:
-        def write(spans: Column) -> Column:
-            # each span hides what no span before it hides; the text between goes before its mark
-            piece = lambda s, to: F.struct(to.alias("from"), F.greatest(s["start"], to).alias("to"), F.when(s["start"] >= to, s["mark"]).otherwise("").alias("mark"), s["end"].alias("end"))
-            hidden = before(F.transform(spans, lambda s: s["end"]), lambda a, n: F.greatest(a, n))
-            pieces = F.zip_with(spans, hidden, piece)
-            rest = F.substr(t, F.array_max(F.transform(spans, lambda s: s["end"])) + 1)
-            return F.when(F.size(spans) > 0, bind(pieces, lambda p: F.concat(written(t, p, F.lit(0)), rest))).otherwise(t)
-
-        return bind(F.array_sort(F.concat(*[marked(t, k) for k in KINDS])), write)
-
-    hidden = docs.withColumn("text", bind(F.col("text"), cover))
-    return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
+    text = F.col("row.text")
+
+    def marked(kind: Kind) -> Column:
+        return F.transform(spans_of(text, kind), lambda s: F.struct(s["start"], s["end"], F.lit(f"<{kind.name.upper()}>").alias("mark")))
+
+    # steps of their own: one expression of all would be nested too deep
+    found = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.array_sort(F.concat(*map(marked, KINDS))).alias("spans"))
+    ends = F.transform("spans", lambda s: s["end"])
+    # each span hides what no span before it hides; the text between goes before its mark
+    piece = lambda s, to: F.struct(to.alias("from"), F.greatest(s["start"], to).alias("to"), F.when(s["start"] >= to, s["mark"]).otherwise("").alias("mark"))
+    hidden = found.select("row", F.array_max(ends).alias("end"), F.zip_with("spans", before(ends, lambda a, n: F.greatest(a, n)), piece).alias("pieces"))
+    whole = F.when(F.size("pieces") > 0, F.concat(written(text, F.col("pieces"), F.lit(0)), F.substr(text, F.col("end") + 1))).otherwise(text)
+    told = hidden.select("row", whole.alias("whole"))
+    changed = {"text": F.col("whole"), "n_chars": F.length("whole").cast("long")}
+    return told.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
