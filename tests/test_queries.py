@@ -20,10 +20,19 @@ def duck():
     return con
 
 
+def told(v):
+    """A value as text; whole numbers alike, whether or not nulls made their column a column of floats."""
+    if v is None or (isinstance(v, float) and np.isnan(v)):
+        return "~"
+    if isinstance(v, (float, np.floating)):
+        return str(int(v)) if float(v).is_integer() else repr(round(float(v), 7))
+    return str(v)
+
+
 def normal(frame):
     frame = frame[sorted(frame.columns)].copy()
     for c in frame:
-        frame[c] = [("~" if v is None or (isinstance(v, float) and np.isnan(v)) else repr(round(float(v), 7)) if isinstance(v, (float, np.floating)) else str(v)) for v in frame[c]]
+        frame[c] = [told(v) for v in frame[c]]
     return sorted(map(tuple, frame.to_numpy().tolist()))
 
 
