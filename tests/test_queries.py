@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from lexiforge.plans import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def duck():
 
 def told(v):
     """A value as text; whole numbers alike, whether or not nulls made their column a column of floats."""
-    if v is None or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "~"
     if isinstance(v, (float, np.floating)):
         return str(int(v)) if float(v).is_integer() else repr(round(float(v), 7))
