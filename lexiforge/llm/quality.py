@@ -1,13 +1,14 @@
 """Quality rules: a log-likelihood ratio of hashed word n-grams between trusted text and the raw corpus.
 
 Two multinomials over hashed one- and two-word n-grams: the raw one counts every document, the target one four fifths of the
-documents that a label calls good and not toxic (at most ``max_labels`` of them, those whose id hashes lowest). A document's
+documents that a label calls good and not toxic. A document's
 score is the mean over its n-grams of log(p_target / p_raw), so long and short texts compare. Both sides, on the target's
 scale, get the same prior, a fixed share of the target's n-grams, so scores mean the same at every size.
 
 A fixed threshold decides each document alone, in any order. Unless it is given, it is read from labels that the target
-does not hold: the fifth of the good documents left out, and at most ``max_labels`` that a label calls bad. It is the cut
-that keeps and rejects the largest shares of them, in the middle of the range where that is so. Simple shape rules are
+does not hold: the fifth of the good documents left out, and all that a label calls bad. It is the cut
+that keeps and rejects the largest shares of them, in the middle of the range where that is so. All labels count; their
+scores meet on the driver as numbers of documents by score, to five digits, so what it holds does not grow with them. Simple shape rules are
 computed beside it and reject first.
 
 Null text has no words and is rejected; rows that share a doc_id are scored each, all with its label; without a trusted
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import arrow_map
+from lexiforge.llm.shared import arrow_map, materialise, salted_join
 from lexiforge.llm.words import Block, Words, blocks, hashes, mix, windows, words
 
 BUCKETS = 1 << 20
 SLICE = 1 << 12
 PRIOR = 1e-5  # of the target's n-grams, added to both sides: a rare bucket says nothing of a text without a label
-MAX_LABELS = 50_000
+MOST_SENT = 500_000  # labels that are sent to every executor; more are joined by an exchange
+DIGITS = 5  # of a score, for the threshold: at most about two million different ones, as a ratio's logarithm is within 12
 HELD_OUT = 5  # one of so many trusted documents is left for the threshold
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -122,19 +124,26 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _slices(raw, target, k)
 
 
-def labelled(labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """doc_id, part of bounded samples: 0 good, for the target; 1 good, left out; 2 bad. Beyond the bounds those whose hash is lowest."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, part of all labels: 0 good, for the target; 1 good, left out; 2 bad."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    lowest = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     held = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
-    good = lowest(known.where("low = 1 AND toxic = 0")).select("doc_id", held.cast("int").alias("part"))
-    return good.unionByName(lowest(known.where("high = 0")).select("doc_id", F.lit(2).alias("part")))
+    part = F.when(F.expr("low = 1 AND toxic = 0"), held.cast("int")).when(F.col("high") == 0, F.lit(2))
+    return known.select("doc_id", part.alias("part")).where("part IS NOT NULL")
+
+
+def _with_parts(docs: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+    """doc_id, text of docs with parts' columns; parts has one row an id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if parts.count() <= MOST_SENT:
+        return rows.join(F.broadcast(parts), "doc_id", how)  # counted just now
+    return salted_join(rows, parts, ["doc_id"], how, salts=4)
 
 
 def fit_ratio(docs: DataFrame, parts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log(p_target / p_raw) of each bucket, from all of docs. The driver receives 16 bytes a bucket, whatever the corpus."""
-    trusted = F.broadcast(parts.where("part = 0").select("doc_id", F.lit(True).alias("trusted")))  # a bounded sample
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    trusted = parts.where("part = 0").select("doc_id", F.lit(True).alias("trusted"))
+    flagged = _with_parts(docs, trusted, "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     schema = "slice int, raw binary, target binary"
     added = arrow_map(arrow_map(flagged, _count(buckets), schema).repartition(min(64, buckets // SLICE), "slice"), _add, schema)
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -147,20 +156,35 @@ def fit_ratio(docs: DataFrame, parts: DataFrame, buckets: int = BUCKETS) -> np.n
     return np.log((target + prior) / (expected + prior)).astype(np.float32)
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
+def _ranked(values: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """values in ascending order, and how many there are before each, all in the end."""
+    order = np.argsort(values, kind="stable")
+    counts = np.ones(len(values), np.int64) if counts is None else np.asarray(counts, np.int64)
+    return values[order], np.concatenate(([0], np.cumsum(counts[order])))
+
+
+def _quantile(values: np.ndarray, before: np.ndarray, share: float) -> float:
+    at = share * (before[-1] - 1)
+    low, high = (values[np.searchsorted(before, f(at), side="right") - 1] for f in (np.floor, np.ceil))
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
+def best_cut(good: np.ndarray, bad: np.ndarray, n_good: np.ndarray | None = None, n_bad: np.ndarray | None = None) -> float:
     """The score from which on documents are kept: the largest share of good ones kept plus that of bad ones below.
 
-    Without bad ones as far below the lowest hundredth of the good ones as that is below their middle; without good ones all are kept.
+    n_good, n_bad: how often each score occurs; once, if not given. Without bad ones as far below the lowest hundredth of
+    the good ones as that is below their middle; without good ones all are kept.
     """
     if not len(good):
         return -np.inf
+    (good, good_before), (bad, bad_before) = _ranked(good, n_good), _ranked(bad, n_bad)
     if not len(bad):
-        low, middle = np.quantile(good, [0.01, 0.5])
-        return float(2 * low - middle)
+        low, middle = (_quantile(good, good_before, q) for q in (0.01, 0.5))
+        return 2 * low - middle
     scores = np.unique(np.concatenate([good, bad]))
     cuts = np.concatenate([[2 * scores[0] - scores[-1] - 1], (scores[1:] + scores[:-1]) / 2])  # the first one keeps all
-    kept = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
-    rejected = np.searchsorted(np.sort(bad), cuts) / len(bad)
+    kept = 1 - good_before[np.searchsorted(good, cuts)] / good_before[-1]
+    rejected = bad_before[np.searchsorted(bad, cuts)] / bad_before[-1]
     total = kept + rejected
     return float(np.median(cuts[total >= total.max() - 1e-12]))
 
@@ -199,28 +223,27 @@ def _judged(docs: DataFrame, columns: list[str], model, buckets: int, threshold:
     return arrow_map(taken, _judge(model, buckets, threshold, len(columns), place), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, max_labels: int = MAX_LABELS):
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None):
     """The ratios, on every executor, and the threshold."""
-    parts = labelled(labels, max_labels)
+    parts = materialise(labelled(labels), "labels")
     model = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, parts, buckets))
     if threshold is None:
-        left_out = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(F.broadcast(parts.where("part > 0")), "doc_id")  # bounded samples
+        left_out = _with_parts(docs, parts.where("part > 0"), "inner")
         rows = _judged(left_out, ["part"], model, buckets, -np.inf).where("NOT base_failed")
-        # rows may share an id, so their number is bounded here: each score to six digits with how often it occurs
-        found = rows.groupBy(F.col("own0").alias("part"), F.round("score", 6).alias("score")).count().orderBy(F.desc("count"), "part", "score").limit(2 * max_labels).collect()
-        good, bad = (np.repeat([r["score"] for r in found if r["part"] == p], [min(r["count"], 1000) for r in found if r["part"] == p]) for p in (1, 2))
-        threshold = best_cut(np.asarray(good, float), np.asarray(bad, float))
+        found = rows.groupBy(F.col("own0").alias("part"), F.round("score", DIGITS).alias("score")).agg(F.count("*").alias("n")).toArrow()
+        part, score, n = (found.column(c).to_numpy() for c in ("part", "score", "n"))
+        threshold = best_cut(score[part == 1], score[part == 2], n[part == 1], n[part == 2])
     return model, threshold
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None) -> DataFrame:
     """One row for each of docs (doc_id, text): doc_id, shape counts, base_failed, kept, score."""
-    model, cut = fit(docs, labels, buckets, threshold, max_labels)
+    model, cut = fit(docs, labels, buckets, threshold)
     return _judged(docs, ["doc_id"], model, buckets, cut).withColumnRenamed("own0", "doc_id")
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
+def kept_rows(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    model, cut = fit(docs, labels, buckets, threshold, max_labels)
+    model, cut = fit(docs, labels, buckets, threshold)
     rows = _judged(docs, docs.columns, model, buckets, cut).where("kept")
     return rows.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns)])
