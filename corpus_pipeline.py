@@ -33,7 +33,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(*docs.columns).alias("row")  # one column, so that no name can clash
     numbered = materialise(docs.select(row, F.monotonically_increasing_id().alias("number")), "numbered")
     texts = numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
-    classes = nearcopies.near_copies(texts).where("n_links > 0").select(F.col("doc_id").alias("number"), "class_id")
+    classes = nearcopies.near_copies(texts, counted=False).where("n_links > 0").select(F.col("doc_id").alias("number"), "class_id")
     linked = materialise(classes.join(numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash")), "number"), "linked")
     first = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "number")).alias("first")).select(F.col("first.number").alias("number"))
     others = materialise(linked.select("number").join(first, "number", "left_anti"), "copies")  # a table: its size is known before the documents are joined

@@ -16,6 +16,10 @@ same texts in several trees are one cell. A large cell is cut into chunks, each
 sets are verified in parts of bounded size. A cell returns for each text how many documents it links and one link to a
 smaller member; pairs are never expanded.
 
+Where only classes are asked for, pairs of texts that links connect already need no look. Each text of a large cell is
+verified against one text of the cell first; what this leaves apart is tried again with another one, in a few rounds. Then
+only the texts outside a cell's largest component meet the others: a group of n near copies takes n verifications, not n^2.
+
 Results: class_id, the smallest doc_id that verified links reach; copy_of, the representative of an equal set; n_links, the
 documents whose similarity is at least the threshold (copies of the same set included). Null and empty texts have no
 shingles: they are in a class of their own, with no links. Each row counts by itself, also if it shares a doc_id with
@@ -44,6 +48,7 @@ SMALL = 8  # texts of a node that is a cell at once
 CHUNK = 512  # texts of a chunk
 PART_BYTES = 32 << 20  # of the sets verified together
 NO_CELL = LEVELS + 1
+ROUNDS = 4  # of stars in large cells; the pairs that they leave apart are all looked at
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = (_rng.integers(1, 2**31, TREES * LEVELS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -226,6 +231,59 @@ def in_chunks(cells: DataFrame, chunk: int) -> DataFrame:
     return spread.withColumn("pair", pair).drop("_chunks", "_other", "texts")
 
 
+def _largest(named: DataFrame) -> DataFrame:
+    """place, prefix, main, inside, outside: of each cell the largest component, its texts and the other ones."""
+    counts = named.groupBy("place", "prefix", "component").agg(F.count("*").alias("n"))
+    best = counts.groupBy("place", "prefix").agg(F.max(F.struct("n", "component")).alias("_m"), F.sum("n").alias("_all"))
+    return best.select("place", "prefix", F.col("_m.component").alias("main"), F.col("_m.n").alias("inside"), (F.col("_all") - F.col("_m.n")).alias("outside"))
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(rep, root) of the pairs that are linked. Columns: rep, root, shingles, other."""
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+            linked = [c >= similarity * (len(x) + len(y) - c) - 1e-6 for x, y, c in zip(a, b, shared, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(linked, pa.bool_())) for i in (0, 1)], ["rep", "root"])
+
+    return run
+
+
+def _stars(large: DataFrame, sets_of, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """The texts of large cells (place, prefix, rep) with their component, and the links (rep, root) that were found on the way."""
+    cell, links = ["place", "prefix"], None
+    named = large.withColumn("component", F.col("rep"))
+    for _ in range(ROUNDS):
+        crowded = materialise(_largest(named).where(F.col("outside") > CHUNK), "crowded")
+        if crowded.isEmpty():
+            break
+        apart = salted_join(named, crowded, cell).where("component <> main")
+        # one star for each text, in the cell where most texts are left
+        chosen = apart.groupBy("rep").agg(F.max(F.struct("outside", *cell)).alias("_m")).select("rep", "_m.place", "_m.prefix")
+        chosen = materialise(chosen, "apart")
+        stars = salted_join(chosen, chosen.groupBy(*cell).agg(F.min("rep").alias("root")), cell).where("rep <> root").select("rep", "root")
+        stars = materialise(stars, "stars")
+        roots = stars.select(F.col("root").alias("rep")).distinct()
+        told = salted_join(stars.join(sets_of(stars.select("rep")), "rep"), sets_of(roots).select(F.col("rep").alias("root"), F.col("shingles").alias("other")), ["root"])
+        found = materialise(arrow_map(told.select("rep", "root", "shingles", "other"), _alike(similarity), "rep long, root long"), "star-links")
+        links = found if links is None else links.unionByName(found)
+        joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), "stars").withColumnRenamed("node", "rep")
+        named = materialise(large.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+    return named, links
+
+
+def across(named: DataFrame, chunk: int) -> DataFrame:
+    """place, prefix, rep, chunk, pair as of in_chunks, without the pairs inside a cell's largest component; cells of one component go."""
+    left = salted_join(named, materialise(_largest(named).where("outside > 0"), "left"), ["place", "prefix"])
+    inside, outside = (F.ceil(F.col(c) / chunk).cast("int") for c in ("inside", "outside"))
+    main, dealt = F.col("component") == F.col("main"), F.xxhash64("rep", F.lit(5))
+    own = F.when(main, F.pmod(dealt, inside)).otherwise(inside + F.pmod(dealt, outside)).cast("int")
+    spread = left.withColumn("chunk", own).select("*", F.explode(F.sequence(F.when(main, inside).otherwise(F.lit(0)), inside + outside - 1)).alias("_other"))
+    pair = F.least("chunk", "_other").cast("long") * F.lit(1 << 31) + F.greatest("chunk", "_other")
+    return spread.select("place", "prefix", "rep", "chunk", pair.alias("pair"))
+
+
 def _cell_keys(signatures: np.ndarray, depths: np.ndarray, rep: np.ndarray) -> np.ndarray:
     """A number for the cell of each text (row) in each tree; texts share it if they share the cell."""
     shown = np.minimum(depths, LEVELS).astype(np.uint64)
@@ -382,8 +440,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links for each row of docs (doc_id, text); see the module for what they mean."""
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = True) -> DataFrame:
+    """doc_id, class_id, copy_of, n_links for each row of docs (doc_id, text); see the module for what they mean.
+
+    Without ``counted`` n_links is 1 where there is a link, else 0, and large groups of near copies take far less work.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(arrow_map(texts, _sign, "doc_id long, rep long, size int, signature binary"), "signed")
     firsts = [F.first(c).alias(c) for c in ("size", "signature")]
@@ -392,17 +453,30 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cells, depths = forest_cells(classes, similarity)
     members = classes.select("rep", "size", "signature").join(depths, "rep", "left")
     keys = ["place", "prefix", "pair"]
-    laid = in_chunks(cells, CHUNK).join(members, "rep").select(*keys, "rep", "chunk", "size", "signature", "depths")
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        # one row's text of each class is enough; a table, whose size is known before the texts are joined
+        one = materialise(classes.join(reps.distinct(), "rep", "left_semi").select("doc").distinct(), "wanted")
+        chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text")
+        return arrow_map(chosen, _sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+
+    stars = None
+    if not counted:
+        large = materialise(cells.where(F.col("texts") > CHUNK).select("place", "prefix", "rep"), "large")
+        if not large.isEmpty():
+            named, stars = _stars(large, sets_of, similarity)
+            met = in_chunks(cells.where(F.col("texts") <= CHUNK), CHUNK).select(*keys, "rep", "chunk").unionByName(across(named, CHUNK))
+    if stars is None:
+        met = in_chunks(cells, CHUNK)
+    laid = met.join(members, "rep").select(*keys, "rep", "chunk", "size", "signature", "depths")
     laid = laid.repartition(*keys).sortWithinPartitions(*keys, "rep")
     meet = _meet(min(SHALLOW, enough_depth(similarity)), similarity)
     likely = materialise(arrow_map(laid, meet, "place int, prefix long, pair long, part int, rep long, partners binary"), "likely")
-    # one row's text of each class is enough; a table, whose size is known before the texts are joined
-    one = materialise(classes.join(likely.select("rep").distinct(), "rep", "left_semi").select("doc").distinct(), "wanted")
-    chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text")
-    sets = arrow_map(chosen, _sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
-    together = likely.join(classes.select("rep", "weight"), "rep").join(sets, "rep")
+    together = likely.join(classes.select("rep", "weight"), "rep").join(sets_of(likely.select("rep")), "rep")
     laid = together.select(*keys, "part", "rep", "partners", "weight", "shingles").repartition(*keys, "part").sortWithinPartitions(*keys, "part", "rep")
     found = materialise(arrow_map(laid, _verify(similarity), "rep long, root long, links long"), "links")
+    if stars is not None:
+        found = found.unionByName(stars.unionByName(stars.select(F.col("root").alias("rep"), "root")).select("rep", "root", F.lit(1).cast("long").alias("links")))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "linked").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     small = classes.select("rep", "doc", "weight").join(linked, "rep", "left").join(links, "rep", "left")
@@ -417,6 +491,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     many, few = F.broadcast(ruled.where(often)), ruled.where(~often)
     alone = rows.where(F.col("rep") == NO_SHINGLES).select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     columns = ["doc_id", "copy_of", "class_id", "n_links"]
+    if not counted:
+        many, few = (x.withColumn("n_links", F.least("n_links", F.lit(1))) for x in (many, few))
     hot = rows.join(many, "rep").select(*columns)
     cold = rows.join(many.select("rep"), "rep", "left_anti").join(few, "rep").select(*columns)
     return alone.unionByName(hot).unionByName(cold).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.col("n_links").cast("long"))

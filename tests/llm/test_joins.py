@@ -119,6 +119,41 @@ def test_crowded_tries(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in nearcopies.near_copies(docs).collect()) == sorted(brute(rows))
 
 
+def test_classes_without_counts(spark, monkeypatch):
+    """Large groups by stars: one of near copies, one whose ends are no near copies of each other, and texts with common words."""
+    r = random.Random(12)
+    texts = [*corpus(7)]
+    base, chain, shared = ([f"{k}{i}" for i in range(150)] for k in "wcs")
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{r.randrange(99)}"
+        texts += [" ".join(w), " ".join(chain[i:] + [f"d{k}" for k in range(i)]), " ".join(shared[:100] + [f"y{r.randrange(10**6)}" for _ in range(40)])]
+    rows = list(enumerate([*texts, texts[5], None, "two words"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted((i, c, min(n, 1)) for i, c, n in brute(rows))
+    for chunk in (4, 20, 512):
+        monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+        assert sorted((x.doc_id, x.class_id, x.n_links) for x in nearcopies.near_copies(docs, counted=False).collect()) == want
+    for rounds in (0, 1):
+        monkeypatch.setattr(nearcopies, "CHUNK", 4)
+        monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
+        assert sorted((x.doc_id, x.class_id, x.n_links) for x in nearcopies.near_copies(docs, counted=False).collect()) == want
+
+
+def test_a_connected_cell_is_not_spread(spark):
+    """Rows of a large cell grow with its size, not with its square; every pair that links do not connect yet meets once."""
+    cell = lambda n, apart: spark.range(n).selectExpr("16 AS place", "CAST(7 AS long) AS prefix", "id AS rep", f"IF(id < {apart}, id, {apart}) AS component")
+    assert nearcopies.across(cell(4000, 0), 50).count() == 0
+    assert nearcopies.across(cell(4000, 10), 50).count() == 3990 + 10 * 81
+    met = nearcopies.across(cell(60, 20), 8).collect()
+    groups = collections.defaultdict(list)
+    for x in met:
+        groups[x.pair].append((x.rep, x.chunk))
+    pairs = [(a, b) for pair, g in groups.items() for a, ca in g for b, cb in g if a < b and ((pair >> 31) == (pair & 0x7FFFFFFF) or ca != cb)]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in range(20) for b in range(a + 1, 60)}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
