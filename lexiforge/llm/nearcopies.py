@@ -181,18 +181,23 @@ def forest_cells(classes: DataFrame, similarity: float) -> tuple[DataFrame, Data
     inside = materialise(salted_join(tries, tied, ["root"], salts=4), "tied")
     tree = F.shiftright("root", 8 * shallow).cast("int")
     near = inside.where(F.col("n") <= SMALL).select((tree * 16 + shallow).alias("place"), F.shiftrightunsigned("path", 8 * (LEVELS - shallow)).alias("prefix"), "rep")
+    # texts of one path have the same nodes: these are found once for each path, and given to its texts after that
+    crowded = inside.where(F.col("n") > SMALL).select("rep", "root", "path", "n")
+    paths = materialise(crowded.groupBy("root", "path", "n").agg(F.count("*").alias("texts")), "paths")
     steps = F.explode(F.array(*[F.struct((tree * 16 + d).alias("place"), F.shiftrightunsigned("path", 8 * (LEVELS - d)).alias("prefix")) for d in range(shallow, LEVELS + 1)]))
-    levels = inside.where(F.col("n") > SMALL).select("rep", steps.alias("_s")).select("rep", "_s.*")
-    sizes = materialise(levels.groupBy("place", "prefix").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    known = salted_join(levels, sizes, ["place", "prefix"])
-    nodes = known.groupBy("rep").agg(F.collect_list(F.struct("place", "prefix", "n")).alias("nodes"))  # at most five a tree
-    asked = materialise(arrow_map(nodes, _ask(shallow, similarity), "place int, prefix long").distinct(), "asked")
-    held = salted_join(levels, asked, ["place", "prefix"])
-    shortest = materialise(held.groupBy("rep", (F.col("place") / 16).cast("int").alias("tree")).agg(F.min(F.struct("place", "prefix")).alias("_m")).select("rep", "_m.*"), "shortest")
-    crowded = levels.select("rep", (F.col("place") / 16).cast("int").alias("tree")).distinct()
-    depths = crowded.join(shortest.select("rep", (F.col("place") / 16).cast("int").alias("tree"), "place"), ["rep", "tree"], "left")
-    depths = depths.groupBy("rep").agg(F.collect_list(F.coalesce("place", F.col("tree") * 16 + NO_CELL)).alias("depths"))
-    cells = near.unionByName(shortest.select("place", "prefix", "rep"))
+    levels = paths.select("root", "path", "n", "texts", steps.alias("_s")).select("root", "path", "n", "texts", "_s.*")
+    top = F.col("place") % 16 == shallow  # the root, whose size is known
+    deeper = levels.where(~top)
+    sizes = materialise(deeper.groupBy("place", "prefix").agg(F.sum("texts").alias("n")).where("n > 1"), "sizes")
+    known = salted_join(deeper.select("root", "path", "place", "prefix"), sizes, ["place", "prefix"]).unionByName(levels.where(top).select("root", "path", "place", "prefix", "n"))
+    nodes = known.groupBy("root", "path").agg(F.collect_list(F.struct("place", "prefix", "n")).alias("nodes"))  # five at most
+    told = salted_join(crowded.drop("n"), nodes, ["root", "path"], salts=4).groupBy("rep").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
+    asked = materialise(arrow_map(told, _ask(shallow, similarity), "place int, prefix long").distinct(), "asked")
+    held = salted_join(levels.select("root", "path", "place", "prefix"), asked, ["place", "prefix"])
+    shortest = held.groupBy("root", "path").agg(F.min(F.struct("place", "prefix")).alias("_m")).select("root", "path", "_m.*")
+    placed = materialise(salted_join(crowded.drop("n"), shortest, ["root", "path"], "left", salts=4).select("rep", tree.alias("tree"), "place", "prefix"), "placed")
+    depths = placed.groupBy("rep").agg(F.collect_list(F.coalesce("place", F.col("tree") * 16 + NO_CELL)).alias("depths"))
+    cells = near.unionByName(placed.where("place IS NOT NULL").select("place", "prefix", "rep"))
     marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
     known = cells.groupBy("place", "prefix").agg(F.count("*").alias("texts"), *marks).where("texts > 1")
     first = known.groupBy("texts", "mark1", "mark2").agg(F.min(F.struct("place", "prefix")).alias("_m")).select("texts", "_m.*")
@@ -252,18 +257,23 @@ def _alike(similarity: float):
 
 def _stars(large: DataFrame, sets_of, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """The texts of large cells (place, prefix, rep) with their component, and the links (rep, root) that were found on the way."""
-    cell, links = ["place", "prefix"], None
+    cell, links, tried, before = ["place", "prefix"], None, None, math.inf
     named = large.withColumn("component", F.col("rep"))
     for _ in range(ROUNDS):
         crowded = materialise(_largest(named).where(F.col("outside") > CHUNK), "crowded")
-        if crowded.isEmpty():
+        left = crowded.agg(F.sum("outside")).head()[0] or 0
+        if left == 0 or left > 0.9 * before:  # nothing is apart, or a round no longer pays
             break
+        before = left
         apart = salted_join(named, crowded, cell).where("component <> main")
         # one star for each text, in the cell where most texts are left
-        chosen = apart.groupBy("rep").agg(F.max(F.struct("outside", *cell)).alias("_m")).select("rep", "_m.place", "_m.prefix")
+        chosen = apart.groupBy("rep").agg(F.max(F.struct("outside", *cell)).alias("_m"), F.count("*").alias("met")).select("rep", "met", "_m.place", "_m.prefix")
         chosen = materialise(chosen, "apart")
-        stars = salted_join(chosen, chosen.groupBy(*cell).agg(F.min("rep").alias("root")), cell).where("rep <> root").select("rep", "root")
-        stars = materialise(stars, "stars")
+        # the text that most cells hold is nearest to the middle of its group; each is a root once
+        able = chosen if tried is None else chosen.join(tried, "rep", "left_anti")
+        centres = materialise(able.groupBy(*cell).agg(F.max(F.struct("met", "rep")).alias("_m")).select(*cell, F.col("_m.rep").alias("root")), "centres")
+        tried = centres.select(F.col("root").alias("rep")) if tried is None else tried.unionByName(centres.select(F.col("root").alias("rep")))
+        stars = materialise(salted_join(chosen, centres, cell).where("rep <> root").select("rep", "root"), "stars")
         roots = stars.select(F.col("root").alias("rep")).distinct()
         told = salted_join(stars.join(sets_of(stars.select("rep")), "rep"), sets_of(roots).select(F.col("rep").alias("root"), F.col("shingles").alias("other")), ["root"])
         found = materialise(arrow_map(told.select("rep", "root", "shingles", "other"), _alike(similarity), "rep long, root long"), "star-links")

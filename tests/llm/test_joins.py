@@ -141,6 +141,46 @@ def test_classes_without_counts(spark, monkeypatch):
         assert sorted((x.doc_id, x.class_id, x.n_links) for x in nearcopies.near_copies(docs, counted=False).collect()) == want
 
 
+def test_nodes_of_a_crowd_are_found_once_a_path(spark, monkeypatch):
+    """Texts that share paths in many trees: prefixes of each depth meet their sizes by path, not by text."""
+    r = random.Random(21)
+    rows = []
+    for i in range(400):
+        s = bytearray(r.randbytes(1)[0] if r.random() < 0.02 else k % 251 for k in range(nearcopies.TREES * nearcopies.LEVELS))
+        rows.append((i + 1, 100, bytes(s)))
+    classes = spark.createDataFrame(rows, "rep long, size int, signature binary").repartition(4)
+    made, join = [], nearcopies.salted_join
+
+    def counting(rows, table, keys, how="inner", salts=16):
+        out = join(rows, table, keys, how, salts)
+        made.append((keys, out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "salted_join", counting)
+    cells, depths = nearcopies.forest_cells(classes, 0.8)
+    by_node = [n for keys, n in made if keys == ["place", "prefix"]]
+    assert sum(by_node[:-1]) < 400 * nearcopies.TREES  # the last one gives the cells themselves
+    # sizes by hand: every text's cell is a node that holds it
+    path = {rep: nearcopies.paths_of(np.frombuffer(s, np.uint8)[None, :])[0] for rep, _, s in rows}
+    members = collections.defaultdict(set)
+    for x in cells.collect():
+        assert int(path[x.rep][x.place // 16]) >> 8 * (nearcopies.LEVELS - x.place % 16) == x.prefix & (2**64 - 1)
+        members[x.place, x.prefix, x.texts].add(x.rep)
+    assert members and all(n == len(reps) for (_, _, n), reps in members.items())
+    assert len(depths.collect()) == 400
+
+
+def test_stars_start_in_the_middle(spark, monkeypatch):
+    """A round whose first root is near to nothing is followed by one with another root."""
+    monkeypatch.setattr(nearcopies, "CHUNK", 4)
+    sets = {i: np.arange(100, dtype=np.uint64) for i in range(2, 40)} | {1: np.arange(500, 600, dtype=np.uint64)}
+    large = spark.createDataFrame([(place, 7, rep) for place in (16, 32) for rep in sets if place == 16 or rep > 1], "place int, prefix long, rep long")
+    held = spark.createDataFrame([(k, v.tobytes()) for k, v in sets.items()], "rep long, shingles binary")
+    named, links = nearcopies._stars(large, lambda reps: held.join(reps.distinct(), "rep", "left_semi"), 0.8)
+    assert {x.component for x in named.where("rep BETWEEN 2 AND 38").collect()} == {2}  # 39 was the largest component of one and waits for the others
+    assert links.count() >= 36
+
+
 def test_a_connected_cell_is_not_spread(spark):
     """Rows of a large cell grow with its size, not with its square; every pair that links do not connect yet meets once."""
     cell = lambda n, apart: spark.range(n).selectExpr("16 AS place", "CAST(7 AS long) AS prefix", "id AS rep", f"IF(id < {apart}, id, {apart}) AS component")
