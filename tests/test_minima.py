@@ -55,3 +55,17 @@ def test_signature_pairs_by_hand(spark):
     got = D.signature_pairs(spark.createDataFrame(list(enumerate(rows)), "idx long, signature array<string>"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "signature" not in got._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_digests_by_the_jvm(spark):
+    """Texts of one shingle to many tiles, messages of one md5 block to many, prefixes of all lengths; equal runs count once."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["ab", "é", "😀x", "long" * 20, "c", "w" * 300, f"v{r.randrange(99)}"]) for _ in range(n)) for n in (0, 1, 4, 5, 6, 60, 261, 1200)] + ["x" * n for n in range(44, 130)] + ["one two three four five " * 40]
+    prefixes = [b"", b"7", b"31337", b"94011", b"125348", b"3102363", b"123456789:"]
+    docs = spark.createDataFrame(list(enumerate([t.strip() for t in texts])), "idx int, text string").repartition(3)
+    got = D._minima(docs, prefixes, 32, 5)
+    assert {x.idx: x.signature for x in got.collect()} == {i: brute(t, [p.decode() for p in prefixes], 32) for i, t in enumerate(texts)}
+    assert "lexiforge_minima" in got._jdf.queryExecution().optimizedPlan().toString()  # not left to NumPy
+    other = spark.newSession()
+    again = D.minhash_prefixed(other.createDataFrame([(1, "a b")], "idx int, text string"), 3)
+    assert again.head().signature == brute("a b", ["0:", "1:", "2:"], 16)
