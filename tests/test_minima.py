@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -69,3 +70,23 @@ def test_digests_by_the_jvm(spark):
     other = spark.newSession()
     again = D.minhash_prefixed(other.createDataFrame([(1, "a b")], "idx int, text string"), 3)
     assert again.head().signature == brute("a b", ["0:", "1:", "2:"], 16)
+
+
+def test_fingerprints_by_hand(spark):
+    """SimHash with repeated, long and no words, double spaces of its form; shingles are counted once; nothing is exploded to words."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["Ab", "é", "😀", "w" * 300, "x" * 60, f"v{r.randrange(9)}", "a.b-c", "&"]) for _ in range(n)) for n in (1, 2, 5, 40, 700, 3000)] + ["a & b", "b", "same words here again " * 50]
+    docs = spark.createDataFrame([*enumerate(texts), (98, "&"), (99, None)], "idx int, text string").repartition(3)
+
+    def votes(text):
+        words = re.sub(r"[^\w\s.-]", "", text.lower()).split()
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in words]
+        bits = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+        return words and (bits - 2**64 if bits >= 2**63 else bits)
+
+    want = {i: votes(t) for i, t in enumerate(texts) if votes(t)}
+    assert {x.idx: x.simhash for x in D.simhashes(docs).collect()} == want
+    got = D.fingerprints(docs)
+    runs = lambda w: len({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {""})
+    assert {x.idx: (x.shingles, x.simhash) for x in got.collect()} == {i: (runs(texts[i].split()), s) for i, s in want.items()}
+    assert "bit_or" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
