@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.shared import materialise, salted_join
+from lexiforge.llm.shared import exchanged, materialise, salted_join
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-labels")
     while True:
         told = salted_join(both, labels.withColumnRenamed("node", "b"), ["b"]).groupBy("a").agg(F.min("label").alias("near"))
-        heard = labels.join(told, labels["node"] == told["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        heard = labels.join(exchanged(told), labels["node"] == told["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         heard = materialise(heard, f"{name}-heard")
         ahead = heard.select(F.col("node").alias("label"), F.col("label").alias("_l"))
         after = materialise(salted_join(heard, ahead, ["label"]).select("node", "old", F.least("label", "_l").alias("label")), f"{name}-labels")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.graph import components
-from lexiforge.llm.shared import arrow_map, materialise, salted_join
+from lexiforge.llm.shared import arrow_map, exchanged, materialise, salted_join
 from lexiforge.llm.words import Block, blocks, hashes, mix, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -48,6 +48,7 @@ SMALL = 8  # texts of a node that is a cell at once
 CHUNK = 512  # texts of a chunk
 PART_BYTES = 32 << 20  # of the sets verified together
 NO_CELL = LEVELS + 1
+MOST_WANTED = 500_000  # ids that are broadcast to choose texts: about 50 MB in the driver; for more, the texts are dealt by id
 ROUNDS = 4  # of stars in large cells; the pairs that they leave apart are all looked at
 
 _rng = np.random.default_rng(77)
@@ -270,16 +271,16 @@ def _stars(large: DataFrame, sets_of, similarity: float) -> tuple[DataFrame, Dat
         chosen = apart.groupBy("rep").agg(F.max(F.struct("outside", *cell)).alias("_m"), F.count("*").alias("met")).select("rep", "met", "_m.place", "_m.prefix")
         chosen = materialise(chosen, "apart")
         # the text that most cells hold is nearest to the middle of its group; each is a root once
-        able = chosen if tried is None else chosen.join(tried, "rep", "left_anti")
+        able = chosen if tried is None else chosen.join(exchanged(tried), "rep", "left_anti")
         centres = materialise(able.groupBy(*cell).agg(F.max(F.struct("met", "rep")).alias("_m")).select(*cell, F.col("_m.rep").alias("root")), "centres")
         tried = centres.select(F.col("root").alias("rep")) if tried is None else tried.unionByName(centres.select(F.col("root").alias("rep")))
         stars = materialise(salted_join(chosen, centres, cell).where("rep <> root").select("rep", "root"), "stars")
         roots = stars.select(F.col("root").alias("rep")).distinct()
-        told = salted_join(stars.join(sets_of(stars.select("rep")), "rep"), sets_of(roots).select(F.col("rep").alias("root"), F.col("shingles").alias("other")), ["root"])
+        told = salted_join(stars.join(exchanged(sets_of(stars.select("rep"))), "rep"), sets_of(roots).select(F.col("rep").alias("root"), F.col("shingles").alias("other")), ["root"])
         found = materialise(arrow_map(told.select("rep", "root", "shingles", "other"), _alike(similarity), "rep long, root long"), "star-links")
         links = found if links is None else links.unionByName(found)
         joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), "stars").withColumnRenamed("node", "rep")
-        named = materialise(large.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+        named = materialise(large.join(exchanged(joined), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
     return named, links
 
 
@@ -461,12 +462,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, counted: bool =
     classes = signed.where(F.col("rep") != NO_SHINGLES).groupBy("rep").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), *firsts)
     classes = materialise(classes, "classes")
     cells, depths = forest_cells(classes, similarity)
-    members = classes.select("rep", "size", "signature").join(depths, "rep", "left")
+    members = classes.select("rep", "size", "signature").join(exchanged(depths), "rep", "left")
     keys = ["place", "prefix", "pair"]
 
     def sets_of(reps: DataFrame) -> DataFrame:
         # one row's text of each class is enough; a table, whose size is known before the texts are joined
-        one = materialise(classes.join(reps.distinct(), "rep", "left_semi").select("doc").distinct(), "wanted")
+        one = materialise(classes.join(exchanged(reps.distinct()), "rep", "left_semi").select("doc").distinct(), "wanted")
+        one = F.broadcast(one) if one.limit(MOST_WANTED + 1).count() <= MOST_WANTED else exchanged(one)
         chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc"]), "left_semi").select("text")
         return arrow_map(chosen, _sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
@@ -478,19 +480,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, counted: bool =
             met = in_chunks(cells.where(F.col("texts") <= CHUNK), CHUNK).select(*keys, "rep", "chunk").unionByName(across(named, CHUNK))
     if stars is None:
         met = in_chunks(cells, CHUNK)
-    laid = met.join(members, "rep").select(*keys, "rep", "chunk", "size", "signature", "depths")
+    laid = met.join(exchanged(members), "rep").select(*keys, "rep", "chunk", "size", "signature", "depths")
     laid = laid.repartition(*keys).sortWithinPartitions(*keys, "rep")
     meet = _meet(min(SHALLOW, enough_depth(similarity)), similarity)
     likely = materialise(arrow_map(laid, meet, "place int, prefix long, pair long, part int, rep long, partners binary"), "likely")
-    together = likely.join(classes.select("rep", "weight"), "rep").join(sets_of(likely.select("rep")), "rep")
+    together = likely.join(exchanged(classes.select("rep", "weight")), "rep").join(exchanged(sets_of(likely.select("rep"))), "rep")
     laid = together.select(*keys, "part", "rep", "partners", "weight", "shingles").repartition(*keys, "part").sortWithinPartitions(*keys, "part", "rep")
     found = materialise(arrow_map(laid, _verify(similarity), "rep long, root long, links long"), "links")
     if stars is not None:
         found = found.unionByName(stars.unionByName(stars.select(F.col("root").alias("rep"), "root")).select("rep", "root", F.lit(1).cast("long").alias("links")))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "linked").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    small = classes.select("rep", "doc", "weight").join(linked, "rep", "left").join(links, "rep", "left")
-    named = linked.join(classes.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("class_id"))
+    small = classes.select("rep", "doc", "weight").join(exchanged(linked), "rep", "left").join(exchanged(links), "rep", "left")
+    named = linked.join(exchanged(classes.select("rep", "doc")), "rep").groupBy("component").agg(F.min("doc").alias("class_id"))
     # a text without links has a component of its own, so that no value is shared by all of them
     small = small.withColumn("component", F.coalesce("component", "rep"))
     ruled = salted_join(small, named, ["component"], "left").select("rep", F.col("doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "weight")
@@ -504,7 +506,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, counted: bool =
     if not counted:
         many, few = (x.withColumn("n_links", F.least("n_links", F.lit(1))) for x in (many, few))
     hot = rows.join(many, "rep").select(*columns)
-    cold = rows.join(many.select("rep"), "rep", "left_anti").join(few, "rep").select(*columns)
+    cold = rows.join(many.select("rep"), "rep", "left_anti").join(exchanged(few), "rep").select(*columns)
     return alone.unionByName(hot).unionByName(cold).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.col("n_links").cast("long"))
 
 

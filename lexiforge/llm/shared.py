@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.session import materialise, scratch_path, ship
 
-__all__ = ["arrow_map", "by_ranges", "join_rules", "materialise", "null_safe", "plan_bytes", "salted_join", "scratch_path"]
+__all__ = ["arrow_map", "by_ranges", "exchanged", "join_rules", "materialise", "null_safe", "plan_bytes", "salted_join", "scratch_path"]
 
 
 BATCH_ROWS = 1000  # of an Arrow batch of texts, where the session has Spark's default of 10,000
@@ -67,10 +67,19 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def exchanged(table: DataFrame) -> DataFrame:
+    """table, to be joined by an exchange however small Spark takes it to be: what is broadcast is built in the driver's memory.
+
+    For tables that grow with the input. Spark goes by files and exchanges, which are compressed and hold a row once before
+    it is salted: in memory it is many times as large.
+    """
+    return table.hint("merge")
+
+
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join with a table of distinct keys, each of which many of rows may hold: these are dealt to ``salts`` tasks."""
+    """Equi-join with a table of distinct keys, each of which many of rows may hold: these are dealt to ``salts`` tasks. No broadcast."""
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return dealt.join(table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(exchanged(table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))), [*keys, "_salt"], how).drop("_salt")
 
 
 #: Rule tables up to so many rows are sent to every executor; larger ones are joined by an exchange with salted keys.

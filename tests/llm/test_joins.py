@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.llm import nearcopies, topk
+from lexiforge.llm import graph, nearcopies, topk
 from lexiforge.llm.graph import components
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +120,26 @@ def test_crowded_tries(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in nearcopies.near_copies(docs).collect()) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_growing_tables_are_not_broadcast(spark, monkeypatch, counted):
+    """The driver holds only what has a bound: the ids of wanted texts up to a number, and the sets that many rows share."""
+    plans, write = [], nearcopies.materialise
+
+    def seen(df, name, **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name, **options)
+
+    for module in (nearcopies, graph):
+        monkeypatch.setattr(module, "materialise", seen)
+    monkeypatch.setattr(nearcopies, "CHUNK", 4)
+    monkeypatch.setattr(nearcopies, "MOST_WANTED", 0)
+    rows = list(enumerate(corpus(7)))
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), counted=counted)
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in got.collect()) == sorted((i, c, n if counted else min(n, 1)) for i, c, n in brute(rows))
+    assert len(plans) > 10 and [name for name, plan in plans if "Broadcast" in plan] == []
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2  # weight * 1000 > rows
+
+
 def test_classes_without_counts(spark, monkeypatch):
     """Large groups by stars: one of near copies, one whose ends are no near copies of each other, and texts with common words."""
     r = random.Random(12)
