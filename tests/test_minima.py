@@ -8,6 +8,7 @@ import pytest
 
 from lexiforge.operators import dedup as D
 from lexiforge.operators import minima as M
+from lexiforge.plans import QUERIES
 
 
 @pytest.mark.parametrize("few", [1, 512])
@@ -90,3 +91,31 @@ def test_fingerprints_by_hand(spark):
     runs = lambda w: len({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {""})
     assert {x.idx: (x.shingles, x.simhash) for x in got.collect()} == {i: (runs(texts[i].split()), s) for i, s in want.items()}
     assert "bit_or" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("members", [2, 500])
+def test_similar_rows_are_all_in_pairs(spark, monkeypatch, members):
+    """Rows of one signature, whose texts may differ, meet each other and all rows that are similar, once each."""
+    monkeypatch.setattr(D, "MEMBERS", members)
+    r = random.Random(4)
+    base = [[f"{r.getrandbits(40):x}" for _ in range(100)] for _ in range(3)]
+    near = [[x if r.random() > share else f"{r.getrandbits(40):x}" for x in b] for b in base for share in (0, 0.08, 0.15)]
+    rows = [s for i, s in enumerate(near) for _ in range(1 + 5 * (i % 3 == 0))] + near[1:2]
+    want = {(i, j, sum(a == b for a, b in zip(rows[i], rows[j], strict=True)) / 100) for i in range(len(rows)) for j in range(i + 1, len(rows))}
+    signatures = spark.createDataFrame(list(enumerate(rows)), "idx long, signature array<string>").repartition(3)
+    got = [(min(x.a.idx, x.b.idx), max(x.a.idx, x.b.idx), x.similarity) for x in D.similar_rows(signatures, signatures.selectExpr("idx", "idx + 7 AS other")).collect()]
+    assert sorted(got) == sorted(x for x in want if x[2] >= 0.8) and len(got) > 50
+
+
+def test_combined_similarity_leaves_no_pair_out(spark, tmp_path):
+    """Texts of one signature that differ in their repeats, and so in length and SimHash."""
+    text = " ".join(f"w{i}" for i in range(60))
+    texts = [text, f"{text} {text}", text, f"{text} {text} {text}", text.upper(), "another text of its own"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    signatures = [brute(t, [str(31337 * s) for s in range(100)], 32) for t in texts]
+    want = {(i, j) for i in range(6) for j in range(i + 1, 6) if sum(a == b for a, b in zip(signatures[i], signatures[j], strict=True)) >= 80}
+    got = QUERIES["combined_similarity"](spark, str(tmp_path)).collect()
+    assert len(want) == 10 and sorted((x.x, x.y) for x in got) == sorted(want)
+    assert {x.similarity for x in got if (x.x, x.y) in {(0, 2), (0, 4), (2, 4)}} == {1.0}
+    assert all(x.similarity < 1 for x in got if 1 in (x.x, x.y))
